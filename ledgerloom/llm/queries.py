@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exactdedup, mixing, packing, simhash, tokencount
+from ledgerloom.llm import exactdedup, langid, mixing, packing, simhash, tokencount, toxicity
 from ledgerloom.llm.common import documents
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of doc_id as text, mod n; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    languages, prototypes = langid.train(docs.where(_remainder(5) != 0))
+    out = langid.identify(docs, languages, prototypes)
+    return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    lexicon = toxicity.train(docs, labels.where(_remainder(4) != 2))
+    out = toxicity.score(docs, lexicon)
+    return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,7 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_exact_dedup, op7_simhash, op8_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_toxicity, op5_mixing, op6_exact_dedup, op7_simhash, op8_packing, op10_token_counts)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
