@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,23 @@ def without(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     """df with a unique integer for each row; the same for each read of the same files."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet into the shared folder and read again."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp())
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rereadable(df: DataFrame) -> DataFrame:
+    """df if each run gives its rows the same ids, as a scan of files does; else a stored copy."""
+
+    def narrow(plan) -> bool:
+        children = plan.children()
+        return plan.nodeName() in ("LogicalRelation", "LogicalRDD", "LocalRelation", "Project", "Filter", "SubqueryAlias") and all(narrow(children.apply(i)) for i in range(children.size()))
+
+    return df if narrow(df._jdf.queryExecution().analyzed()) else stored(df)

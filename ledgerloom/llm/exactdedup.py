@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ascii_lower, cut, with_row_id, without
+from ledgerloom.llm.common import ascii_lower, cut, rereadable, with_row_id, without
 
 BLOCK_BYTES = 4096
 BUCKETS = 65_536
@@ -72,13 +72,15 @@ def exact_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Of equal texts the row with the largest doc_id is kept; of rows that share that doc_id too, the last read. A null
     doc_id counts as the smallest. An empty table gives no rows.
     """
-    ids = identities(df, doc_id, text, **options)
+    ids = identities(rereadable(df), doc_id, text, **options)
     groups = ids.groupBy("level", "name").agg(F.max(F.struct("doc_id", "_rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut(groups)  # so that the join gets an exchange on both sides
     out = ids.join(groups, ["level", "name"])  # a hot identity is split by the adaptive skew join
     return out.select("_rid", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("_rid") == F.col("keep._rid")).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """df without the rows that exact_duplicates doesn't keep; its columns stay as they are."""
+    df = rereadable(df)
     dropped = cut(exact_duplicates(df, doc_id, text, **options).where(~F.col("kept")).select("_rid"))
     return without(with_row_id(df), dropped, "_rid").drop("_rid")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exactdedup, langid, mixing, packing, simhash, tokencount, toxicity
+from ledgerloom.llm import exactdedup, langid, mixing, packing, quality, simhash, tokencount, toxicity
 from ledgerloom.llm.common import documents
 
 
@@ -21,6 +21,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.train(docs, labels.where(_remainder(4) != 2))
@@ -49,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_toxicity, op5_mixing, op6_exact_dedup, op7_simhash, op8_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_toxicity, op5_mixing, op6_exact_dedup, op7_simhash, op8_packing, op10_token_counts)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
