@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exactdedup, langid, mixing, packing, quality, simhash, tokencount, toxicity
+from ledgerloom.llm import exactdedup, langid, mixing, packing, perplexity, quality, simhash, tokencount, toxicity, urlgraph
 from ledgerloom.llm.common import documents
 
 
@@ -33,6 +33,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op4_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,11 +54,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return perplexity.classify(documents(spark, sf_dir), trusted).select("doc_id", "n_grams", "perplexity", "kept")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_toxicity, op5_mixing, op6_exact_dedup, op7_simhash, op8_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_toxicity, op4_url_graph, op5_mixing, op6_exact_dedup, op7_simhash, op8_packing, op9_perplexity, op10_token_counts)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
