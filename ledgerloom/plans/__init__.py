@@ -1 +1,5 @@
+"""Registered queries by theme."""
 
+from ledgerloom.plans import documents, evaluation, relational
+
+REGISTRIES = (relational.registry, documents.registry, evaluation.registry)
