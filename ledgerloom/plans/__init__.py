@@ -1,5 +1,5 @@
 """Registered queries by theme."""
 
-from ledgerloom.plans import documents, evaluation, relational
+from ledgerloom.plans import documents, evaluation, relational, streams
 
-REGISTRIES = (relational.registry, documents.registry, evaluation.registry)
+REGISTRIES = (relational.registry, documents.registry, evaluation.registry, streams.registry)
