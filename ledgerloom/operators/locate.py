@@ -101,7 +101,7 @@ def header_dates(column: Column) -> Column:
     """Dates written in a column header."""
     found = F.regexp_extract_all(column, F.lit(r"\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s*\d{4})"), F.lit(1))
     parts = lambda x: F.concat_ws(" ", F.substring(x, 1, 3), F.regexp_extract(x, r"(\d{1,2}),?\s*\d{4}$", 1), F.right(x, F.lit(4)))
-    return F.transform(found, lambda x: F.try_to_date(parts(x), F.lit("MMM d yyyy")))
+    return F.transform(found, lambda x: F.try_to_date(parts(x), "MMM d yyyy"))
 
 
 def period_score(start: Column, end: Column, instant: Column, column: Column) -> Column:
@@ -161,7 +161,7 @@ def segment_notes(places: DataFrame, filing: str = "filing_id") -> DataFrame:
     A null-safe equi-join of a fact to those of the same name and period without dimensions, the first in the document.
     """
     facts = places.where("method = 'ixbrl'")
-    segment = F.filter("dims", lambda d: d["axis"].isin(*SEGMENT_AXES))[0]
+    segment = F.get(F.filter("dims", lambda d: d["axis"].isin(*SEGMENT_AXES)), 0)
     part = facts.withColumn("_s", segment).where("_s is not null").select(filing, "fact_id", "concept", "start", "end", "instant", F.col("value").alias("_v"), "_s")
     key = [filing, "concept", "start", "end", "instant"]
     whole = facts.where(F.size("dims") == 0).groupBy(*key).agg(F.min_by(F.struct("raw", "sign", "fact_id"), "node").alias("_t"), F.collect_set("value").alias("_all"))
