@@ -16,16 +16,18 @@ from ledgerloom.llm.common import WORD, cut
 COMMON = 32
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Largest distances that are kept, and the words from which on they count.
-MAX_CLASS, CLASS_FROM = 0.26, 50
+MAX_CLASS, CLASS_FROM = 0.29, 50
 MAX_WORDS, WORDS_FROM = 0.32, 100
 #: References are broadcast for at most so many languages (a few KB each), else joined by shuffle.
 BROADCAST_LANGUAGES = 2000
 SYMBOLS = "#*$%&|<>"
 #: Characters that aren't capitals, digits or sentence marks: counting a class is dropping the runs of all others.
 _NOT_CAPITALS, _NOT_DIGITS, _NOT_MARKS = r"\P{Lu}+", r"\P{Nd}+", r"[^.,;:?'\"()-]+"
-_NOT_SYMBOLS, _SPACES = f"[^{SYMBOLS}]+", r"[\x20\x09-\x0D]+"
-#: Classes: capitals, digits, sentence marks, symbols, white space, and the rest.
-N_CLASSES = 6
+_NOT_SYMBOLS = f"[^{SYMBOLS}]+"
+#: Classes of characters of words: capitals, digits, sentence marks, symbols, and the rest.
+N_CLASSES = 5
+#: For at most so many languages, words are first held against one set of the common words of all of them.
+SET_LANGUAGES = 64
 
 
 def _left(text: Column, dropped: str) -> Column:
@@ -61,10 +63,8 @@ def base_features(df: DataFrame) -> DataFrame:
 
 def class_counts(text: Column, word_chars: Column, n_symbols: Column) -> Column:
     """Array of the numbers of characters of each class."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.char_length(text)
-    known = F.array(_left(text, _NOT_CAPITALS), _left(text, _NOT_DIGITS), _left(text, _NOT_MARKS), n_symbols.cast("int"), n - word_chars.cast("int"))
-    return F.transform(F.array(known), lambda a: F.transform(F.concat(a, F.array(n - F.aggregate(a, F.lit(0), lambda s, x: s + x))), lambda x: x.cast("double")))[0]
+    known = F.array(_left(text, _NOT_CAPITALS), _left(text, _NOT_DIGITS), _left(text, _NOT_MARKS), n_symbols.cast("int"))
+    return F.transform(F.array(known), lambda a: F.transform(F.concat(a, F.array(word_chars.cast("int") - F.aggregate(a, F.lit(0), lambda s, x: s + x))), lambda x: x.cast("double")))[0]
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -87,12 +87,9 @@ def references(df: DataFrame, common: int = COMMON) -> DataFrame:
     top = every.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))).where(F.col("k") <= common)
     lists = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "w", "count"))).alias("t"))
     totals = every.groupBy("lang").agg(F.sum("count").alias("n"))
-    width = N_CLASSES
-    per_class = texts.select("lang", class_counts(F.col("text"), _left(F.col("text"), _SPACES), _left(F.col("text"), _NOT_SYMBOLS)).alias("c"))
-    sums = [F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(width)]
-    by_lang = cut(per_class.groupBy("lang").agg(*sums))
-    overall = by_lang.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(width)]).select(F.lit(None).cast("string").alias("lang"), *[f"c{i}" for i in range(width)])
-    classes = by_lang.where("lang is not null").unionByName(overall).select("lang", F.array(*[f"c{i}" for i in range(width)]).alias("ref_classes"))
+    # A text's characters but spaces lie in its words, so the words' counts have those of the classes too.
+    per_word = every.select("lang", "count", class_counts(F.col("w"), F.char_length("w"), _left(F.col("w"), _NOT_SYMBOLS)).alias("c"))
+    classes = per_word.groupBy("lang").agg(F.array(*[F.sum(F.col("c")[i] * F.col("count")) for i in range(N_CLASSES)]).alias("ref_classes"))
     words = F.transform("t", lambda x: x["w"])
     own = F.transform("t", lambda x: x["count"].cast("double"))
     rest = F.col("n") - F.aggregate(own, F.lit(0.0), lambda s, y: s + y)
@@ -110,12 +107,17 @@ def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     refs = cut(references(rows))
-    few = refs.count() <= BROADCAST_LANGUAGES
+    langs = refs.count()
+    few = langs <= BROADCAST_LANGUAGES
     feats = rows.join(F.broadcast(refs) if few else refs, F.col("lang").eqNullSafe(F.col("ref")), "left")
     feats = base_features(feats)
-    matched = F.filter("words", lambda w: F.array_contains("ref_words", w))
+    words = F.col("words")
+    if langs <= SET_LANGUAGES:
+        common = sorted({w for r in refs.select("ref_words").collect() for w in r["ref_words"]})
+        words = F.filter(words, lambda w: w.isin(common))
+    matched = F.filter(words, lambda w: F.array_contains("ref_words", w))
     own = F.transform(F.array(matched), lambda m: F.concat(F.transform("ref_words", lambda r: (F.size(m) - F.size(F.array_remove(m, r))).cast("double")), F.array((F.col("n_words") - F.size(m)).cast("double"))))[0]
-    feats = feats.withColumn("class_distance", F.when(F.col("n_words") >= CLASS_FROM, js_distance(class_counts(F.col("text"), F.col("word_chars"), F.col("n_symbols")), F.col("ref_classes"))))
+    feats = feats.withColumn("class_distance", F.when(F.col("n_words") >= CLASS_FROM, js_distance(class_counts(F.coalesce("text", F.lit("")), F.col("word_chars"), F.col("n_symbols")), F.col("ref_classes"))))
     feats = feats.withColumn("word_distance", F.when((F.col("n_words") >= WORDS_FROM) & ~F.col("base_failed"), js_distance(own, F.col("ref_counts"))))
     far = (F.coalesce("class_distance", F.lit(0.0)) > max_class) | (F.coalesce("word_distance", F.lit(0.0)) > max_words)
     return feats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"))
