@@ -10,6 +10,7 @@ used, and counts less. A logistic model over the hits' weights gives the score.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,10 +24,13 @@ from ledgerloom.llm.common import small_batches
 
 #: At most so many labelled rows are used for training, those first in the order of their id's hash.
 TRAIN_ROWS = 40_000
-#: Lexicon: at most so many terms; a term needs so many toxic texts, and so large a log-odds.
-TERMS, SUPPORT, LOG_ODDS, PRIOR = 4000, 3, 1.2, 2.0
-#: Strong terms, which misspellings are matched to: their least log-odds, support and length.
-STRONG_ODDS, STRONG_SUPPORT, STRONG_LENGTH = 3.0, 5, 5
+#: Lexicon: at most so many terms; a term needs so many toxic texts, so large a log-odds, and so many standard
+#: deviations more toxic texts than chance gives: with hundreds of thousands of candidates, chance alone reaches four.
+TERMS, SUPPORT, LOG_ODDS, PRIOR, DEVIATIONS = 4000, 3, 1.2, 2.0, 5.5
+#: A term must also stand after several different words, a quarter as many as texts or 16: the words of one text that
+#: has many near copies stand after the same each time.
+#: Strong terms, which misspellings are matched to: their least log-odds, share of the toxic texts, and length.
+STRONG_ODDS, STRONG_SHARE, STRONG_LENGTH = 3.0, 0.01, 5
 STEM_FROM, STEM_TO = 4, 10
 WINDOW, QUOTED, FUZZY = 6, 0.25, 0.7
 THRESHOLD = 0.3
@@ -37,13 +41,18 @@ REPORTING = frozenset("said says saying wrote writes called calls quote quoted q
 N_FEATURES = 6
 
 
-def terms_of(text: str) -> set[str]:
-    """The words of text and, marked by *, their beginnings."""
-    out = set()
-    for w in set(_TOKEN.findall(text.lower())):
+def terms_of(text: str) -> dict[str, int]:
+    """The words of text and, marked by *, their beginnings, each with a bit set for the word before each place it stands at."""
+    out: dict[str, int] = {}
+    before = ""
+    for w in _TOKEN.findall(text.lower()):
         if len(w) >= 3 and not w.isdigit():
-            out.add(w)
-            out.update(w[:k] + "*" for k in range(STEM_FROM, min(len(w), STEM_TO + 1)))
+            bit = 1 << zlib.crc32(before.encode()) % 62
+            out[w] = out.get(w, 0) | bit
+            for k in range(STEM_FROM, min(len(w), STEM_TO + 1)):
+                stem = w[:k] + "*"
+                out[stem] = out.get(stem, 0) | bit
+        before = w
     return out
 
 
@@ -52,31 +61,33 @@ def log_odds(toxic, total, base: float, prior: float = PRIOR):
 
 
 class Automaton:
-    """The Levenshtein automaton of a word: it accepts what lies within k edits. A state holds the least edits by place."""
+    """The Levenshtein automaton of a word: it accepts what lies within k edits.
+
+    A state has one bit set for each number of edits; bit i: the first i characters of the word are used up.
+    """
 
     def __init__(self, word: str, k: int) -> None:
-        self.word, self.k = word, k
-
-    def start(self) -> tuple[tuple[int, int], ...]:
-        return tuple((i, i) for i in range(min(self.k, len(self.word)) + 1))
-
-    def step(self, state: tuple[tuple[int, int], ...], char: str) -> tuple[tuple[int, int], ...]:
-        best: dict[int, int] = {}
-        for i, e in state:
-            if e < self.k:
-                best[i] = min(best.get(i, 99), e + 1)
-            if i < len(self.word):
-                cost = e + (self.word[i] != char)
-                if cost <= self.k:
-                    best[i + 1] = min(best.get(i + 1, 99), cost)
-        for i in range(min(best, default=0), len(self.word)):  # skipped characters of the word
-            if i in best and best[i] < self.k:
-                best[i + 1] = min(best.get(i + 1, 99), best[i] + 1)
-        return tuple(sorted(best.items()))
-
-    def accepts(self, state: tuple[tuple[int, int], ...]) -> int | None:
+        self.k, self.end = k, 1 << len(word)
+        self.all = 2 * self.end - 1
+        self.masks: dict[str, int] = {}
+        for i, c in enumerate(word):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
+
+    def start(self) -> tuple[int, ...]:
+        return tuple((2 << e) - 1 & self.all for e in range(self.k + 1))
+
+    def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...] | None:
+        """The next state, None if it accepts nothing."""
+        same = self.masks.get(char, 0)
+        out = [(state[0] & same) << 1]
+        for e in range(1, self.k + 1):
+            before = state[e - 1]
+            out.append(((state[e] & same) << 1 | before | before << 1 | out[e - 1] << 1) & self.all)
+        return tuple(out) if any(out) else None
+
+    def accepts(self, state: tuple[int, ...]) -> int | None:
         """Edits of an accepting state."""
-        return next((e for i, e in state if i == len(self.word)), None)
+        return next((e for e, bits in enumerate(state) if bits & self.end), None)
 
 
 @dataclass
@@ -85,23 +96,24 @@ class Lexicon:
 
     base: float
     counts: dict[str, tuple[int, int]]
+    toxic: int = 0  # toxic training texts
     beta: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES + 1))
 
     def __post_init__(self) -> None:
         self.trie: dict = {}
-        self.ends: dict[int, set[str]] = {}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        self.halves: set[tuple[int, str]] = set()
         self.memo: dict[str, tuple[str, int] | None] = {}
-        for t, (a, n) in self.counts.items():
-            if t[-1] != "*" and len(t) >= STRONG_LENGTH and a >= STRONG_SUPPORT and log_odds(a, n, self.base) >= STRONG_ODDS:
+        self.weights = {t: float(log_odds(a, n, self.base)) for t, (a, n) in self.counts.items()}
+        for t, (a, _) in self.counts.items():
+            if t[-1] != "*" and len(t) >= STRONG_LENGTH and a >= STRONG_SHARE * self.toxic and self.weights[t] >= STRONG_ODDS:
                 node = self.trie
                 for c in t:
                     node = node.setdefault(c, {})
                 node[""] = t
                 half = len(t) // 2
-                self.heads.add(t[:half]), self.tails.add(t[half:])
-        self.head_sizes, self.tail_sizes = sorted({*map(len, self.heads)}), sorted({*map(len, self.tails)})
+                for n in range(len(t) - 1, len(t) + 2):  # one edit leaves one half whole
+                    self.halves |= {(n, t[:half]), (-n, t[half:])}
+        self.sizes = sorted({len(h) for _, h in self.halves})
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the best term for a word: itself, the longest learned beginning, or a strong term one edit away."""
@@ -120,8 +132,8 @@ class Lexicon:
         return found
 
     def _fuzzy(self, word: str) -> tuple[str, int] | None:
-        # One edit leaves the first or the second half of the term whole.
-        if not any(word[:k] in self.heads for k in self.head_sizes) and not any(word[-k:] in self.tails for k in self.tail_sizes):
+        n = len(word)
+        if not any((n, word[:k]) in self.halves or (-n, word[-k:]) in self.halves for k in self.sizes):
             return None
         auto, best = Automaton(word, 1), None
         todo = [(self.trie, auto.start())]
@@ -150,10 +162,11 @@ class Lexicon:
             if w not in hits:
                 continue
             term, edits = hits[w]
-            a, n = self.counts[term]
+            weight = self.weights[term]
             if label is not None:
-                a, n = a - label, n - 1
-            weight = float(log_odds(max(a, 0), max(n, 0), self.base)) * (FUZZY if edits else 1)
+                a, n = self.counts[term]
+                weight = float(log_odds(max(a - label, 0), max(n - 1, 0), self.base))
+            weight *= FUZZY if edits else 1
             if weight <= 0:
                 continue
             if self._quoted(tokens, i, s, e, quotes):
@@ -202,30 +215,32 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     small_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)  # bounded, hence broadcast
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").where("text is not null").select("text", "toxic")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").where("text is not null").select("text", "toxic").dropDuplicates(["text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, bad = Counter(), Counter()
+        total, bad, seen = Counter(), Counter(), {}
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = terms_of(t)
-                total.update(own)
+                total.update(own.keys())
                 total[""] += 1
                 if y:
-                    bad.update(own)
+                    bad.update(own.keys())
                     bad[""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([bad[t] for t in total], pa.int64()), pa.array(list(total.values()), pa.int64())], names=["term", "a", "n"])
+                    for w, bits in own.items():
+                        seen[w] = seen.get(w, 0) | bits
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([bad[t] for t in total], pa.int64()), pa.array(list(total.values()), pa.int64()), pa.array([seen.get(t, 0) for t in total], pa.int64())], names=["term", "a", "n", "places"])
 
-    counts = texts.mapInArrow(count, "term string, a bigint, n bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    counts = texts.mapInArrow(count, "term string, a bigint, n bigint, places bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n"), F.bit_count(F.bit_or("places")).alias("places"))
     counts = counts.where(f"a >= {SUPPORT} or term = ''")
     whole = counts.where("term = ''").first()
     if whole is None or not 0 < whole["a"] < whole["n"]:
         share = (whole["a"] / whole["n"]) if whole else 0.0
-        return Lexicon(0.5, {}, np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), *[0] * N_FEATURES]))
+        return Lexicon(0.5, {}, 0, np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), *[0] * N_FEATURES]))
     base = whole["a"] / whole["n"]
     odds = F.log((F.col("a") + PRIOR * base) / (F.col("n") - F.col("a") + PRIOR * (1 - base))) - float(np.log(base / (1 - base)))
-    best = counts.where("term <> ''").withColumn("w", odds).where(F.col("w") >= LOG_ODDS).orderBy(F.desc(F.col("w") * F.sqrt("a")), "term").limit(TERMS)
-    lexicon = Lexicon(base, {r["term"]: (r["a"], r["n"]) for r in best.collect()})
+    best = counts.where("term <> ''").withColumn("w", odds).where((F.col("w") >= LOG_ODDS) & (F.col("a") - F.col("n") * base >= DEVIATIONS * F.sqrt(F.col("n") * base)) & (F.col("places") >= F.least(F.greatest(F.lit(float(SUPPORT)), F.col("a") / 4), F.lit(16.0)))).orderBy(F.desc(F.col("w") * F.sqrt("a")), "term").limit(TERMS)
+    lexicon = Lexicon(base, {r["term"]: (r["a"], r["n"]) for r in best.collect()}, whole["a"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
