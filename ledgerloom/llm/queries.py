@@ -67,7 +67,70 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_toxic
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+_OP2_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, text IS NOT NULL AS given, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
+i AS (SELECT rid, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+r AS (SELECT rid, i FROM i QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, i AS p FROM r UNION ALL SELECT rid, i + 1 FROM r UNION ALL SELECT rid, i + 2 FROM r) GROUP BY 1),
+f AS (SELECT w.rid, doc_id, lang, t, words, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep ON rep.rid = w.rid),
+k AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+v AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(words) AS w FROM w WHERE given) GROUP BY ALL),
+e AS (SELECT lang, w, n FROM v WHERE lang IS NOT NULL UNION ALL SELECT NULL, w, sum(n) FROM v GROUP BY w),
+top AS (SELECT lang, w, n FROM e QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= 32),
+tot AS (SELECT lang, sum(n) AS n FROM e GROUP BY 1),
+rw AS (SELECT lang, w, n FROM top UNION ALL SELECT tot.lang, NULL, any_value(tot.n) - sum(top.n) FROM tot JOIN top ON tot.lang IS NOT DISTINCT FROM top.lang GROUP BY tot.lang),
+cls AS (SELECT lang, w, n, length(regexp_replace(w, '\P{{Lu}}+', '', 'g')) AS c0, length(regexp_replace(w, '\P{{Nd}}+', '', 'g')) AS c1, length(regexp_replace(w, '[^.,;:?''"()-]+', '', 'g')) AS c2, length(regexp_replace(w, '[^#*$%&|<>]+', '', 'g')) AS c3, length(w) AS all_c FROM e),
+rc AS (SELECT lang, unnest([0, 1, 2, 3, 4]) AS j, unnest([sum(n * c0), sum(n * c1), sum(n * c2), sum(n * c3), sum(n * (all_c - c0 - c1 - c2 - c3))])::DOUBLE AS q FROM cls GROUP BY 1),
+dc AS (SELECT rid, lang, unnest([0, 1, 2, 3, 4]) AS j, unnest([c0, c1, c2, n_symbols, word_chars - c0 - c1 - c2 - n_symbols])::DOUBLE AS p FROM (SELECT *, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS c0, length(regexp_replace(t, '\P{{Nd}}+', '', 'g')) AS c1, length(regexp_replace(t, '[^.,;:?''"()-]+', '', 'g')) AS c2 FROM k WHERE n_words >= 50)),
+cp AS (SELECT rid, p / sum(p) OVER (PARTITION BY rid) AS p, q / sum(q) OVER (PARTITION BY rid) AS q FROM dc JOIN rc ON dc.lang IS NOT DISTINCT FROM rc.lang AND dc.j = rc.j),
+dw AS (SELECT rid, w, count(*) AS n FROM (SELECT rid, unnest(words) AS w FROM k WHERE n_words >= 100 AND NOT base_failed) GROUP BY ALL),
+pw AS (SELECT k.rid, rw.w, rw.n AS q, dw.n AS p, k.n_words FROM k JOIN rw ON k.lang IS NOT DISTINCT FROM rw.lang LEFT JOIN dw ON dw.rid = k.rid AND dw.w = rw.w WHERE k.n_words >= 100 AND NOT base_failed),
+pq AS (SELECT rid, w, q, CASE WHEN w IS NULL THEN n_words - sum(coalesce(p, 0)) OVER (PARTITION BY rid) ELSE coalesce(p, 0) END AS p FROM pw),
+wp AS (SELECT rid, p / sum(p) OVER (PARTITION BY rid) AS p, q / sum(q) OVER (PARTITION BY rid) AS q FROM pq),
+js AS (SELECT rid, max(x) FILTER (kind = 0) AS cd, max(x) FILTER (kind = 1) AS wd FROM (SELECT rid, kind, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) AS x
+  FROM (SELECT rid, 0 AS kind, p, q FROM cp UNION ALL SELECT rid, 1, p, q FROM wp) GROUP BY ALL) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(cd, 0) > {quality.MAX_CLASS} OR coalesce(wd, 0) > {quality.MAX_WORDS}) AS kept
+FROM k LEFT JOIN js ON js.rid = k.rid"""
+
+
+def _op4_sql() -> str:
+    """The rounds of both rankings, each a table of its own."""
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    case = " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in sorted(urlgraph.RULES, key=lambda r: (-len(r.text), r.text)))
+    blocked = ", ".join(f"'{r.text}'" for r in urlgraph.RULES if r.verdict == "block")
+    host = lambda u: f"coalesce(translate(regexp_extract({u}, '{urlgraph._URL}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+    d = urlgraph.DAMPING
+    href = urlgraph._HREF.replace("'", "''")
+    parts = [
+        f"p AS (SELECT page_id, {host('url')} AS host, coalesce(regexp_extract(url, '{urlgraph._URL}', 2), '') AS path, html FROM pages)",
+        f"r AS (SELECT *, CASE {case} END AS rule FROM p)",
+        f"h AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{href}', 1)) AS x FROM p WHERE host <> '')",
+        f"l AS (SELECT src, {host("CASE WHEN starts_with(x, '//') THEN ':' || x ELSE x END")} AS dst FROM h)",
+        "n AS (SELECT DISTINCT host FROM (SELECT host FROM p UNION ALL SELECT dst FROM l) WHERE host <> '')",
+        "c AS (SELECT string_split(host, '.') AS s FROM n)",
+        "g AS (SELECT DISTINCT array_to_string(s[i:], '.') AS a, array_to_string(s[i + 1:], '.') AS b FROM (SELECT s, unnest(range(1, len(s) - 1)) AS i FROM c))",
+        "w AS (SELECT src, dst, count(*)::DOUBLE AS w FROM l WHERE dst <> '' AND src <> dst GROUP BY ALL)",
+        "u AS (SELECT a AS src, b AS dst FROM g UNION SELECT b, a FROM g UNION SELECT src, dst FROM w)",
+        "e AS (SELECT src, dst, coalesce(w, 1) AS w FROM u LEFT JOIN w USING (src, dst))",
+        f"s AS (SELECT host, CASE WHEN rule IN ({blocked}) THEN 'b' ELSE 'a' END AS v, count(*) AS m FROM r WHERE host <> '' AND rule IS NOT NULL GROUP BY ALL)",
+        "fa AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e)",
+        "fb AS MATERIALIZED (SELECT dst AS src, src AS dst, w / sum(w) OVER (PARTITION BY dst) AS p FROM e)",
+    ]
+    for v in "ab":
+        parts.append(f"{v}0 AS MATERIALIZED (SELECT host, m / sum(m) OVER () AS x FROM s WHERE v = '{v}')")
+        for k in range(1, urlgraph.ROUNDS + 1):
+            parts.append(f"{v}{k} AS MATERIALIZED (SELECT host, sum(x) AS x FROM (SELECT dst AS host, {d} * x * p AS x FROM {v}{k - 1} JOIN f{v} ON host = src UNION ALL SELECT host, {1 - d} * x FROM {v}0) GROUP BY 1)")
+    n = urlgraph.ROUNDS
+    own = f"CASE WHEN round(coalesce(b{n}.x, 0) - coalesce(a{n}.x, 0), 12) > 0 THEN 'block' ELSE 'allow' END"
+    return f"WITH {', '.join(parts)} SELECT page_id, r.host, path, rule, CASE WHEN rule IN ({blocked}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE {own} END AS verdict FROM r LEFT JOIN a{n} ON r.host = a{n}.host LEFT JOIN b{n} ON r.host = b{n}.host"
+
+
 ORACLE_SQL = {
+    "op2_quality_rules": _OP2_SQL,
+    "op4_url_graph": _op4_sql(),
     "op5_mixing": rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
