@@ -35,18 +35,21 @@ def _left(text: Column, dropped: str) -> Column:
     return F.char_length(F.regexp_replace(text, dropped, ""))
 
 
-def repeated_words(words: Column) -> Column:
-    """Number of words that lie in a three-word window found twice or more. Windows are compared by 64-bit hash within a text."""
+def window_hashes(words: Column) -> Column:
+    """64-bit hashes of the three-word windows, in order."""
     n = F.size(words)
-    window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
+    return F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])))
+
+
+def repeated_words(window: Column) -> Column:
+    """Number of words that lie in a window found twice or more; windows are compared by hash within a text."""
     placed = F.sort_array(F.transform(window, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # Neighbours in the sorted order with the same hash are repeats.
     starts = lambda p: F.sort_array(F.filter(F.transform(p, lambda x, k: F.when((x["h"] == F.get(p, k - 1)["h"]) | (x["h"] == F.get(p, k + 1)["h"]), x["i"])), lambda i: i.isNotNull()))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     fold = lambda p: F.aggregate(starts(p), zero, lambda a, s: F.struct((a["n"] + s + 3 - F.greatest(a["end"], s)).alias("n"), (s + 3).alias("end")), lambda a: a["n"])
     some = F.element_at(F.transform(F.array(placed), fold), 1)  # binds placed, so that it is computed once
-    unlike = F.size(F.array_distinct(window)) == F.size(window)
-    return F.when(n < 4, F.lit(0)).when(unlike, F.lit(0)).otherwise(some).cast("long")
+    return F.when(F.size(F.array_distinct(window)) == F.size(window), F.lit(0)).otherwise(some).cast("long")
 
 
 def base_features(df: DataFrame) -> DataFrame:
@@ -57,7 +60,9 @@ def base_features(df: DataFrame) -> DataFrame:
     df = df.withColumn("n_words", F.size("words").cast("long")).withColumn("word_chars", F.char_length(F.array_join("words", "")).cast("long"))
     df = df.withColumn("n_symbols", _left(text, _NOT_SYMBOLS).cast("long"))
     df = df.withColumn("n_dup_lines", F.element_at(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 1).cast("long"))
-    df = df.withColumn("n_repeat_words", repeated_words(F.col("words")))
+    # A column of its own, so that the hashes are computed once.
+    df = df.withColumn("_windows", window_hashes(F.col("words")))
+    df = df.withColumn("n_repeat_words", repeated_words(F.col("_windows"))).drop("_windows")
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
 
 
