@@ -6,7 +6,8 @@ trusted text. The counts are sharded by n-gram; continuation counts, context sum
 counts, and joins by n-gram, context and suffix give each n-gram of the corpus its probability. A second pass looks
 the documents' n-grams up, in one shard of at most SHARD_ROWS rows after the other, and sums the log-probabilities of
 each document over the shards. A document is kept if its perplexity lies within the quantiles of its language's
-trusted texts.
+trusted texts. One trusted text in FOLDS stays out of the training and gives the upper quantile: texts that the model
+has seen are likelier than unseen ones of the same kind, the more so the less there is to train on.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ ORDER = 5
 SHARD_ROWS = 4_000_000
 #: Quantiles of trusted texts' perplexity, by language; texts with fewer bytes than SHORT aren't judged.
 LOW, HIGH, SHORT = 0.001, 0.995, 100
-#: A language with fewer trusted texts takes the quantiles of all.
-LEAST_TRUSTED = 30
+#: A language with fewer trusted texts that stayed out of the training takes the quantiles of all.
+FOLDS, LEAST_TRUSTED = 5, 30
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _MERGE = 3_000_000
 
@@ -42,7 +43,7 @@ def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]
     for k in range(order):
         code <<= 8
         code |= flat[k : k + n]
-    ends = np.cumsum([len(d) for d in data])
+    ends = np.cumsum(np.array([len(d) for d in data], np.int64))
     inside = np.ones(n, bool)
     for k in range(1, order):  # windows over the border of two texts
         inside[ends[:-1] - k] = False
@@ -124,7 +125,7 @@ def _lookup(texts: list[str], codes: np.ndarray, logp: np.ndarray, order: int) -
 
 
 def scores(rows: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """rows(_rid, doc_id, lang, trusted, text) with (n, logp) in place of the text."""
+    """rows(_rid, doc_id, lang, role, text) with (n, logp) in place of the text."""
     spark = rows.sparkSession
     small_batches(spark)
     shards = max(1, math.ceil(model.count() / shard_rows))
@@ -140,36 +141,38 @@ def scores(rows: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: in
             codes, logp = shard.value
             for b in batches:
                 total, n = _lookup([t or "" for t in b.column(4).to_pylist()], codes, logp, order)
-                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(n), pa.array(total)], names=["_rid", "doc_id", "lang", "trusted", "n", "logp"])
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(n), pa.array(total)], names=["_rid", "doc_id", "lang", "role", "n", "logp"])
 
-        part = rows.select("_rid", "doc_id", "lang", "trusted", "text").mapInArrow(run, f"{kinds}, n bigint, logp double")
+        part = rows.select("_rid", "doc_id", "lang", "role", "text").mapInArrow(run, f"{kinds}, n bigint, logp double")
         part = cut(part)  # a shard leaves the driver before the next comes
         shard.unpersist()
         parts = part if parts is None else parts.unionByName(part)
     if shards == 1:
         return parts
-    return parts.groupBy("_rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "lang", "trusted", "n")], F.sum("logp").alias("logp"))
+    return parts.groupBy("_rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "lang", "role", "n")], F.sum("logp").alias("logp"))
 
 
 def classify(df: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each row of df: doc_id, n_grams, perplexity, low, high, kept. trusted(doc_id) names the trusted texts.
 
-    A null text counts as empty; texts shorter than SHORT bytes, and all if nothing is trusted, are kept. A null
+    A null text counts as empty; texts shorter than SHORT bytes, and all if no trusted text stayed out, are kept. A null
     language, or one with few trusted texts, is held against the quantiles of all trusted texts.
     """
     ids = trusted.select(F.col(doc_id).alias("doc_id")).dropna().distinct().withColumn("trusted", F.lit(True))
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = with_row_id(rereadable(df).select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")))
-    rows = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left").select("_rid", "doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
-    counts = cut(gram_counts(rows, order))
+    role = F.when(F.col("trusted").isNull(), "other").when(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, "held out").otherwise("trained")
+    rows = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left").select("_rid", "doc_id", "lang", role.alias("role"), "text")
+    counts = cut(gram_counts(rows.select("text", (F.col("role") == "trained").alias("trusted")), order))
     if counts.where("c > 0").isEmpty():
         model = counts.select("gram", F.lit(-math.log(256)).alias("logp"))
     else:
         model = cut(log_probabilities(counts, order))
     got = scores(rows, model, order, shard_rows).withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))))
-    good = got.where(F.col("trusted") & (F.col("n") >= SHORT))
-    cut_at = lambda q: F.percentile_approx("perplexity", q, 10_000)
-    agg = [F.count(F.lit(1)).alias("m"), cut_at(low).alias("low"), cut_at(high).alias("high")]
+    good = got.where("role <> 'other'").where(F.col("n") >= SHORT)
+    held = F.when(F.col("role") == "held out", F.col("perplexity"))
+    # What was trained on lies low, so the lower quantile is that of all.
+    agg = [F.count(held).alias("m"), F.percentile_approx("perplexity", low, 10_000).alias("low"), F.percentile_approx(held, high, 10_000).alias("high")]
     by_lang = cut(good.where("lang is not null").groupBy("lang").agg(*agg).where(F.col("m") >= LEAST_TRUSTED).select("lang", "low", "high"))
     every = good.agg(*agg).first()
     small = by_lang.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

@@ -141,7 +141,7 @@ def _compare(radius: int):
 def links(distinct: DataFrame, radius: int = RADIUS, lanes: int = LANES, tile: int = TILE) -> DataFrame:
     """Links (a, b) that join the same components as all pairs of distinct(fp) within radius bits."""
     width, base = 64 // lanes, 64 // lanes + 1
-    mask = (1 << width) - 1
+    mask = (1 << width) - 1 if width < 64 else -1
     pops = [F.bit_count(F.shiftrightunsigned(F.col("fp"), i * width).bitwiseAND(F.lit(mask).cast("long"))).cast("long") for i in range(lanes)]
     cells = distinct.select("fp", *[p.alias(f"p{i}") for i, p in enumerate(pops)])
     number: Column = sum((F.col(f"p{i}") * base**i for i in range(1, lanes)), F.col("p0"))

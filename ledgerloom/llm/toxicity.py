@@ -188,8 +188,15 @@ class Lexicon:
         return bool(((quotes >= lo) & (quotes < s)).sum() % 2 and ((quotes >= e) & (quotes <= hi)).any())
 
     def score(self, text: str) -> float:
-        z = self.beta[0] + self.features(text) @ self.beta[1:]
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return self._logistic(self.features(text))
+
+    def _logistic(self, x: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.beta[0] + x @ self.beta[1:], -30, 30))))
+
+    def rejects(self, text: str, threshold: float) -> bool:
+        """Whether the score reaches threshold on evidence: a text without a term is kept, however common toxic labels are."""
+        x = self.features(text)
+        return bool(x.any()) and self._logistic(x) >= threshold
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -272,12 +279,12 @@ def score(df: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "
 
 
 def without_toxic(df: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """df without the rows whose score reaches threshold; its columns stay as they are."""
+    """df without the rows that the lexicon rejects; its columns stay as they are. Null and empty texts stay."""
     small_batches(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([lexicon.score(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([not lexicon.rejects(t or "", threshold) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
