@@ -147,9 +147,9 @@ def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_POSTS} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM f, c WHERE df >= 5")
 def bm25_idf(spark: SparkSession, sf: str) -> DataFrame:
-    toks = table(spark, sf, "documents").select(F.array_distinct(T.tokens(F.col("text"))).alias("t")).where(F.size("t") > 0)
-    n = toks.count()
-    df = toks.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 5")
+    docs = table(spark, sf, "documents").select("text")
+    n = docs.where(F.rlike("text", F.lit(T.TOKEN))).count()
+    df = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 5")
     return df.select("term", "df", F.round(K.idf(F.lit(n), F.col("df")), 6).alias("idf"))
 
 

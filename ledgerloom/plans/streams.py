@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.registry import Registry
+from ledgerloom.plans.registry import Registry, table
 from ledgerloom.streaming import incremental as S
 
 registry = Registry()
@@ -76,7 +76,7 @@ def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks of all pages."""
     from ledgerloom.operators import parsing
 
-    rows = parsing.html_blocks(spark.read.parquet(f"{sf}/pages.parquet"), "page_id", "html")
+    rows = parsing.html_blocks(table(spark, sf, "pages"), "page_id", "html")
     return rows.select("page_id", "idx", "kind", F.length("text").alias("n_chars"), "bold")
 
 
@@ -85,7 +85,7 @@ def html_elements(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics of all pages' elements, without running headers."""
     from ledgerloom.operators import parsing
 
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = table(spark, sf, "pages")
     rows = parsing.elements(parsing.html_blocks(pages, "page_id", "html"), pages.select("page_id", F.lit("10-Q").alias("form_type")), "page_id")
     return parsing.stats(rows, "page_id").select("page_id", "n_heading", "n_paragraph", "n_table", "n_footnote", "chars", "pct_chars_unsectioned")
 
@@ -95,7 +95,7 @@ def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Parents and children of all pages with their ids."""
     from ledgerloom.operators import chunking, parsing
 
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").cast("string").alias("filing_id"), "html", "url")
+    pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("filing_id"), "html", "url")
     facts = pages.select("filing_id", F.lit("10-Q").alias("form_type"), F.concat(F.lit("acc-"), F.col("filing_id")).alias("accession_number"), F.lit("2025").alias("fiscal_year"), F.lit("Q1").alias("fiscal_period"), F.lit("2025-03-31").alias("period_of_report"))
     rows = parsing.elements(parsing.html_blocks(pages, "filing_id", "html"), facts, "filing_id")
     nodes = chunking.chunks(rows, facts)
