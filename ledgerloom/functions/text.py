@@ -12,15 +12,16 @@ PAGE_NUMBER = r"(?i)^(page\s+)?[-–—]?\s*\(?[ivxlc\d]{1,4}\)?\s*[-–—]?$"
 TOKEN = r"[\p{L}\p{N}]+"
 PIECE = r"\w+|[^\w\s]"
 UNITS = r"(?i)\b(?:in|dollars in|amounts in|\$ in)\s+(millions|thousands|billions)"
-COMPANY_SUFFIX = r"(?i),?\s+(inc\.?|corp\.?|corporation|company|co\.?|ltd\.?|limited|plc|n\.v\.|holdings?)$"
+COMPANY_SUFFIX = r"(?i),?\s+(inc\.?|corp\.?|corporation|incorporated|co\.?|ltd\.?|plc)$"
 MULTI_FACT = r"(?i)\b(compare[ds]?|comparison|versus|vs\.?|than|change[ds]? from|between|both|relative to|a year earlier|year[- ]over[- ]year|trend(ed|s)?|over the (last|past)|each of|and \w+'s)\b"
 REFUSAL = "do not contain this information"
 FILING_ID = r"^[A-Z][A-Z0-9.\-]{0,9}_10[KQ]_\d{4}-\d{2}-\d{2}$"
 STATEMENTS = {
     "income": r"(?i)statements?\s+of\s+(operations|income|earnings)|income\s+statements?",
     "balance": r"(?i)balance\s+sheets?|statements?\s+of\s+financial\s+position",
-    "cash_flow": r"(?i)statements?\s+of\s+cash\s+flows?|cash\s+flows?\s+statements?",
+    "cashflow": r"(?i)statements?\s+of\s+cash\s+flows?|cash\s+flows?\s+statements?",
 }
+NO_STATEMENT = r"(?i)comprehensive|shareholders|stockholders|equity"
 NAMESPACE_DNS = "6ba7b8109dad11d180b400c04fd430c8"
 
 
@@ -59,7 +60,7 @@ def header_text(fields: dict[str, Column], body: Column) -> Column:
 
 
 def short_company(name: Column) -> Column:
-    return F.regexp_replace(name, COMPANY_SUFFIX, "")
+    return F.trim(F.regexp_replace(name, COMPANY_SUFFIX, ""))
 
 
 def lower_label(label: Column) -> Column:
@@ -78,11 +79,11 @@ def find_units(*texts: Column) -> Column:
 
 
 def statement_kind(caption: Column) -> Column:
-    """Kind of the first pattern, in the order of STATEMENTS, that the caption matches."""
+    """Kind of the first pattern, in the order of STATEMENTS, that the caption matches; none for side statements."""
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(STATEMENTS.items()):
         out = F.when(F.rlike(caption, F.lit(pattern)), F.lit(kind)).otherwise(out)
-    return out
+    return F.when(~F.rlike(caption, F.lit(NO_STATEMENT)), out)
 
 
 def needs_decomposition(question: Column) -> Column:

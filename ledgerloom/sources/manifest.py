@@ -61,3 +61,17 @@ def foreign_forms(filings: DataFrame) -> DataFrame:
     """(cik, forms): which foreign filers' forms a registrant has, sorted."""
     wanted = F.array(*map(F.lit, FOREIGN_FORMS))
     return filings.groupBy("cik").agg(F.array_sort(F.array_intersect(F.collect_set("form"), wanted)).alias("forms"))
+
+
+def constituents(html: str, least: int = 90) -> list[dict]:
+    """Rows (company, ticker) of the first table on a page that has both columns and enough rows."""
+    from ledgerloom.functions.grid import spread
+    from ledgerloom.functions.html import parse
+
+    for table in parse(html).find("table"):
+        head, *rows = spread(table) or [[]]
+        at = {c.strip().lower(): i for i, c in enumerate(head)}
+        ticker, company = at.get("ticker", at.get("symbol")), at.get("company", at.get("security"))
+        if ticker is not None and company is not None and len(rows) >= least:
+            return [{"pos": i, "company": r[company].strip(), "ticker": r[ticker].strip().upper()} for i, r in enumerate(rows)]
+    raise ValueError("no table of constituents")
