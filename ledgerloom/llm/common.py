@@ -54,6 +54,12 @@ def without(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(dropped) if few else dropped, key, "left_anti")
 
 
+def without_rows(df: DataFrame, dropped: DataFrame, key: str = "_rid") -> DataFrame:
+    """df without the rows whose with_row_id() is in dropped; its columns stay, whatever their names."""
+    whole = with_row_id(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")), key)
+    return without(whole, dropped, key).select("_row.*")
+
+
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     """df with a unique integer for each row; the same for each read of the same files."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ascii_lower, cut, rereadable, with_row_id, without
+from ledgerloom.llm.common import ascii_lower, cut, rereadable, with_row_id, without_rows
 
 BLOCK_BYTES = 4096
 BUCKETS = 65_536
@@ -83,4 +83,4 @@ def drop_exact_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "te
     """df without the rows that exact_duplicates doesn't keep; its columns stay as they are."""
     df = rereadable(df)
     dropped = cut(exact_duplicates(df, doc_id, text, **options).where(~F.col("kept")).select("_rid"))
-    return without(with_row_id(df), dropped, "_rid").drop("_rid")
+    return without_rows(df, dropped)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, rereadable, small_batches, with_row_id, without
+from ledgerloom.llm.common import cut, rereadable, small_batches, with_row_id, without_rows
 from ledgerloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -188,4 +188,4 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """df with one row of each component: the one with the smallest doc_id. Its columns stay as they are."""
     df = rereadable(df)
     dropped = cut(near_duplicates(df, doc_id, text, radius).where("_rid <> keep_rid").select("_rid"))
-    return without(with_row_id(df), dropped, "_rid").drop("_rid")
+    return without_rows(df, dropped)

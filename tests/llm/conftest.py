@@ -1,6 +1,6 @@
 import pytest
 
-ODD = "_hot string, name string, value string, size string, level string, score string, n string, target string, words string, kept string, h string, bucket string, pos string, first string, predicted string"
+ODD = "_hot string, _rid string, fp string, name string, value string, size string, level string, score string, n string, target string, words string, kept string, h string, bucket string, pos string, first string, predicted string"
 
 
 @pytest.fixture(scope="session")
