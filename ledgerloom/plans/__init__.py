@@ -1,5 +1,5 @@
 """Registered queries by theme."""
 
-from ledgerloom.plans import documents, evaluation, relational, streams
+from ledgerloom.plans import documents, evaluation, relational, scalars, streams
 
-REGISTRIES = (relational.registry, documents.registry, evaluation.registry, streams.registry)
+REGISTRIES = (relational.registry, documents.registry, evaluation.registry, scalars.registry, streams.registry)
