@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUTS = (1, 3, 5, 10)
@@ -49,16 +49,17 @@ def summary(per_query: DataFrame, metrics: list[str], by: str, latency: str | No
 def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: fixed (only b), broke (only a), exact two-sided p.
 
-    Binomial terms come by the recurrence C(n, i) = C(n, i - 1) (n - i + 1) / i, scaled by 2^-n from the start.
+    Binomial terms come by the recurrence C(n, i) = C(n, i - 1) (n - i + 1) / i in logarithms, so that none underflows early.
     """
     counts = pairs.agg(F.count_if(~F.col(a) & F.col(b)).alias("fixed"), F.count_if(F.col(a) & ~F.col(b)).alias("broke"))
     n, k = F.col("fixed") + F.col("broke"), F.least("fixed", "broke")
-    first = F.struct(F.exp(-n * F.log(F.lit(2.0))).alias("t"), F.exp(-n * F.log(F.lit(2.0))).alias("s"))
+    log0 = -n * F.log(F.lit(2.0))
+    first = F.struct(log0.alias("t"), F.exp(log0).alias("s"))
     steps = F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
 
     def add(acc: Column, i: Column) -> Column:
-        term = acc["t"] * (n - i + 1) / i
-        return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
+        term = acc["t"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+        return F.struct(term.alias("t"), (acc["s"] + F.exp(term)).alias("s"))
 
     p = F.least(F.lit(1.0), 2 * F.aggregate(steps, first, add, lambda acc: acc["s"]))
     return counts.select("fixed", "broke", F.when(n == 0, F.lit(1.0)).otherwise(p).alias("p"))
@@ -72,8 +73,6 @@ def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, n: int = 1000,
     """
     count = pairs.count()
     rows = pairs.select(F.col(key).alias("_k"), (F.col(b).cast("double") - F.col(a).cast("double")).alias("d"))
-    from pyspark.sql import Window
-
     rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_k")) - 1)
     mean = rows.agg(F.avg("d").alias("diff"))
     hexed = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("round").cast("string"), F.col("slot").cast("string"))), 1, 13)
@@ -86,17 +85,16 @@ def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, n: int = 1000,
 
 def agreement(rows: DataFrame, a: str, b: str, side: float = 0.5) -> DataFrame:
     """One row: n, Pearson, Spearman (average ranks), mean absolute difference, share on the same side, over rows both judged."""
-    from pyspark.sql import Window
-
-    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a).cast("double")) & ~F.isnan(F.col(b).cast("double")))
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a).cast("double")) & ~F.isnan(F.col(b).cast("double"))).select(F.col(a).alias("_a"), F.col(b).alias("_b"))
 
-    def average_rank(c: str) -> Column:
-        order = Window.partitionBy(F.lit(0)).orderBy(c)
-        same = Window.partitionBy(c)
-        return F.rank().over(order) + (F.count(F.lit(1)).over(same) - 1) / 2
+    def ranks(c: str) -> DataFrame:
+        """Average rank of each distinct value: the running sum goes over values, not rows."""
+        counts = both.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
+        upto = F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy(c))
+        return counts.select(c, (upto - (F.col("k") - 1) / 2).alias(f"{c}_rank"))
 
-    ranked = both.withColumn("_ra", average_rank(a)).withColumn("_rb", average_rank(b))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("pearson"), F.corr("_ra", "_rb").alias("spearman"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mean_abs_diff"), F.avg(((F.col(a) >= side) == (F.col(b) >= side)).cast("double")).alias("same_side"))
+    ranked = both.join(ranks("_a"), "_a").join(ranks("_b"), "_b")
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_a", "_b").alias("pearson"), F.corr("_a_rank", "_b_rank").alias("spearman"), F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mean_abs_diff"), F.avg(((F.col("_a") >= side) == (F.col("_b") >= side)).cast("double")).alias("same_side"))
 
 
 def pool_recall(pool: DataFrame, gold: DataFrame, query: str, doc: str) -> DataFrame:

@@ -176,14 +176,14 @@ def lexical_rerank(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ vectors, fusion
 
-_COS = """cosine AS (SELECT q.vec_id AS qid, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20),
-euclid AS (SELECT q.vec_id AS qid, v.vec_id, -list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20),
+_COS = """cosine AS (SELECT q.vec_id AS qid, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+euclid AS (SELECT q.vec_id AS qid, v.vec_id, -list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
 dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM cosine QUALIFY rank <= 30),
 sparse AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM euclid QUALIFY rank <= 30)"""
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,14 +263,13 @@ def format_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("o_orderkey", N.format_number(F.col("v")).alias("shown"))
 
 
-@query("""WITH k AS (SELECT o_orderkey, unnest(list_distinct([t, round(t / 1000, 1), round(t / 1000, 2)])) AS key FROM (SELECT o_orderkey, floor(o_totalprice) AS t FROM orders WHERE o_orderkey % 10 = 0) WHERE t >= 1000),
-s AS (SELECT DISTINCT round(floor(o_totalprice) / 1000, 1) AS key FROM orders WHERE o_orderkey % 10 = 1)
-SELECT o_orderkey, count(*) AS n FROM k JOIN s USING (key) GROUP BY 1""")
+@query("""WITH k AS (SELECT o_orderkey, unnest(CASE WHEN t >= 1000 THEN list_distinct([t, round(t / 1000, 1), round(t / 1000, 2)]) ELSE [t] END) AS key FROM (SELECT o_orderkey, floor(o_totalprice) AS t FROM orders)),
+s AS (SELECT DISTINCT round(p_retailprice / 10, 1) AS key FROM part) SELECT o_orderkey, count(*) AS n FROM k JOIN s USING (key) GROUP BY 1""")
 def theta_match_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Stated numbers against source values: a theta match made an equi-join by exploding what a value may be stated as."""
     orders = table(spark, sf, "orders").select("o_orderkey", F.floor("o_totalprice").cast("double").alias("t"))
-    keys = orders.where("o_orderkey % 10 = 0 and t >= 1000").select("o_orderkey", F.explode(N.candidate_keys(F.col("t"))).alias("key"))
-    stated = orders.where("o_orderkey % 10 = 1").select(F.round(F.col("t") / 1000, 1).alias("key")).distinct()
+    keys = orders.select("o_orderkey", F.explode(N.candidate_keys(F.col("t"))).alias("key"))
+    stated = table(spark, sf, "part").select(F.round(F.col("p_retailprice") / 10, 1).alias("key")).distinct()
     return keys.join(stated, "key").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 

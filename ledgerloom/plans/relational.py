@@ -160,10 +160,11 @@ def corr_spearman(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("p_brand").agg(F.round(F.corr("p_size", "p_retailprice"), 6).alias("pearson"), F.round(F.corr("a", "b"), 6).alias("spearman"))
 
 
-@query("SELECT user_id, event_type FROM events WHERE event_id % 2 = 0 EXCEPT ALL SELECT user_id, event_type FROM events WHERE event_id % 3 = 0")
+@query("SELECT user_id, event_type FROM events WHERE value > 20 EXCEPT ALL SELECT user_id, event_type FROM events WHERE value <= 20")
 def multiset_except(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    return e.where("event_id % 2 = 0").drop("event_id").exceptAll(e.where("event_id % 3 = 0").drop("event_id"))
+    e = table(spark, sf, "events")
+    side = lambda test: e.where(test).select("user_id", "event_type")
+    return side("value > 20").exceptAll(side("value <= 20"))
 
 
 @query("""SELECT 'union' AS op, k FROM (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier)
@@ -224,10 +225,10 @@ def stratified_hash_sample(spark: SparkSession, sf: str) -> DataFrame:
     return R.top_per_group(rows, ["event_type"], [R.hashed_order(F.col("event_id"), "11"), F.col("event_id")], 12).drop("rank")
 
 
-@query("""SELECT 'all' AS stage, c_custkey, c_acctbal FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT 'new', c_custkey, c_acctbal + 1 FROM customer WHERE c_custkey % 7 = 0""")
+@query("""SELECT 'all' AS stage, c_custkey, c_acctbal FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'new', c_custkey, c_acctbal + 1 FROM customer WHERE c_acctbal < 0""")
 def upsert_log(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "customer").select(F.lit("all").alias("stage"), "c_custkey", "c_acctbal")
-    new = rows.where("c_custkey % 7 = 0").select(F.lit("new").alias("stage"), "c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    new = rows.where("c_acctbal < 0").select(F.lit("new").alias("stage"), "c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"))
     return R.upsert(rows, new, ["c_custkey"])
 
 
