@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, rereadable, small_batches, with_row_id, without_rows
+from ledgerloom.llm.common import BROADCAST_ROWS, cut, rereadable, small_batches, with_row_id, without_rows
 from ledgerloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -146,11 +146,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, lanes: int = LANES, tile: i
     cells = distinct.select("fp", *[p.alias(f"p{i}") for i, p in enumerate(pops)])
     number: Column = sum((F.col(f"p{i}") * base**i for i in range(1, lanes)), F.col("p0"))
     cells = cut(cells.withColumn("cell", number))
-    # At most base ** lanes rows, 83,521 for four lanes.
+    # At most base ** lanes rows: 83,521 for four lanes, which are broadcast; the 43 million of eight lanes are not.
     counts = cells.groupBy("cell").count().select("cell", F.ceil(F.col("count") / tile).cast("int").alias("n"))
     slices = counts.agg(F.max("n")).first()[0] or 1
     sub = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
-    counts = F.broadcast(counts)
+    if base**lanes <= BROADCAST_ROWS:
+        counts = F.broadcast(counts)
     shifts = [d for d in itertools.product(range(-radius, radius + 1), repeat=lanes) if 0 < sum(map(abs, d)) <= radius and d > (0,) * lanes]
     fits = lambda d: [F.col(f"p{i}") + x for i, x in enumerate(d)]
     target = F.array(*[F.when(sum(((p >= 0) & (p <= width)).cast("int") for p in fits(d)) == lanes, sum(p * base**i for i, p in enumerate(fits(d)))) for d in shifts])

@@ -45,7 +45,7 @@ def test_spark_hash_is_the_same(spark):
 
 
 @pytest.mark.parametrize("tile", [3, 16, 4096])
-@pytest.mark.parametrize("lanes", [1, 4])
+@pytest.mark.parametrize("lanes", [1, 4, 8])
 def test_links_keep_all_components(spark, tile, lanes):
     rng = random.Random(tile + lanes)
     base = [rng.getrandbits(64) for _ in range(25)]
