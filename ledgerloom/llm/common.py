@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key table with at most this many rows (16 bytes each) may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000

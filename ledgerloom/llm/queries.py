@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import exactdedup, langid, mixing, packing, perplexity, quality, simhash, tokencount, toxicity, urlgraph
 from ledgerloom.llm.common import documents
+from ledgerloom.plans.registry import spread
 
 
 def _remainder(n: int) -> Column:
@@ -15,19 +16,19 @@ def _remainder(n: int) -> Column:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = spread(documents(spark, sf_dir))
     languages, prototypes = langid.train(docs.where(_remainder(5) != 0))
     out = langid.identify(docs, languages, prototypes)
     return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge(documents(spark, sf_dir))
+    out = quality.judge(spread(documents(spark, sf_dir)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = spread(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.train(docs, labels.where(_remainder(4) != 2))
     out = toxicity.score(docs, lexicon)
     return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
@@ -38,7 +39,7 @@ def op4_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(spread(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,21 +47,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(documents(spark, sf_dir))
+    out = simhash.near_duplicates(spread(documents(spark, sf_dir)))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(spread(documents(spark, sf_dir)))
 
 
 def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    return perplexity.classify(documents(spark, sf_dir), trusted).select("doc_id", "n_grams", "perplexity", "kept")
+    return perplexity.classify(spread(documents(spark, sf_dir)), trusted).select("doc_id", "n_grams", "perplexity", "kept")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_counts(documents(spark, sf_dir))
+    return tokencount.token_counts(spread(documents(spark, sf_dir)))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_toxicity, op4_url_graph, op5_mixing, op6_exact_dedup, op7_simhash, op8_packing, op9_perplexity, op10_token_counts)}
