@@ -124,3 +124,19 @@ def test_section_state_across_batches(spark, tmp_path):
     S.to_table(out, str(tmp_path / "out"), str(tmp_path / "ck"))
     got = [r["section"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("idx").collect()]
     assert got == ["Cover Page", "Item 1. Business", "Item 1. Business"]
+
+
+def test_http_source_reports_errors_as_rows(spark):
+    import json
+
+    spark.dataSource.register(L.HttpSource)
+    rows = spark.read.format("polite_http").option("urls", json.dumps(["http://127.0.0.1:9/a", "http://127.0.0.1:9/b"])).option("agent", "Someone someone@mail.org").option("partitions", "2").load().collect()
+    assert sorted(r["url"][-1] for r in rows) == ["a", "b"] and all(r["content"] is None and r["error"] for r in rows)
+
+
+def test_lines_and_csv(spark, tmp_path):
+    df = spark.createDataFrame([("0001", 'a "quoted"\nline'), ("0002", None)], "cik string, text string")
+    L.write_lines(df, str(tmp_path / "j"))
+    assert sorted(map(tuple, L.read_lines(spark, str(tmp_path / "j"), "cik string, text string").collect())) == sorted(map(tuple, df.collect()))
+    (tmp_path / "c.csv").write_text('cik,text\n0001,"a ""quoted""\nline"\n')
+    assert [tuple(r) for r in L.read_csv(spark, str(tmp_path / "c.csv"), "cik string, text string").collect()] == [("0001", 'a "quoted"\nline')]
