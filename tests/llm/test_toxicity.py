@@ -78,3 +78,9 @@ def test_odd_rows(spark, odd, none):
         kept = T.without_toxic(odd, lexicon)
         assert kept.columns == odd.columns and kept.count() == sum(not lexicon.rejects(r["text"] or "", T.THRESHOLD) for r in odd.collect())
         assert T.score(none, lexicon).count() == 0
+
+
+def test_bounded_sample(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    few = T.train(docs, labels, rows=20)
+    assert few.counts == T.train(docs, labels.repartition(3), rows=20).counts
