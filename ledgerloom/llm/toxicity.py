@@ -29,8 +29,8 @@ TRAIN_ROWS = 40_000
 TERMS, SUPPORT, LOG_ODDS, PRIOR, DEVIATIONS = 4000, 3, 1.2, 2.0, 5.5
 #: A term must also stand after several different words, a quarter as many as texts or 16: the words of one text that
 #: has many near copies stand after the same each time.
-#: Strong terms, which misspellings are matched to: their least log-odds, share of the toxic texts, and length.
-STRONG_ODDS, STRONG_SHARE, STRONG_LENGTH = 3.0, 0.01, 5
+#: Strong terms, which misspellings are matched to: their least log-odds, toxic texts (however many there are), and length.
+STRONG_ODDS, STRONG_SUPPORT, STRONG_LENGTH = 3.0, 5, 5
 STEM_FROM, STEM_TO = 4, 10
 WINDOW, QUOTED, FUZZY = 6, 0.25, 0.7
 THRESHOLD = 0.3
@@ -90,6 +90,11 @@ class Automaton:
         return next((e for e, bits in enumerate(state) if bits & self.end), None)
 
 
+def shorter(word: str) -> set[str]:
+    """A word, and what is left of it without each one of its letters."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 @dataclass
 class Lexicon:
     """Terms with their toxic and total text counts."""
@@ -101,22 +106,21 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         self.trie: dict = {}
-        self.halves: set[tuple[int, str]] = set()
+        self.strong: set[str] = set()
+        self.near: set[str] = set()  # strong terms, whole and without each one of their letters
         self.memo: dict[str, tuple[str, int] | None] = {}
         self.weights = {t: float(log_odds(a, n, self.base)) for t, (a, n) in self.counts.items()}
         for t, (a, _) in self.counts.items():
-            if t[-1] != "*" and len(t) >= STRONG_LENGTH and a >= STRONG_SHARE * self.toxic and self.weights[t] >= STRONG_ODDS:
+            if t[-1] != "*" and len(t) >= STRONG_LENGTH and a >= STRONG_SUPPORT and self.weights[t] >= STRONG_ODDS:
                 node = self.trie
                 for c in t:
                     node = node.setdefault(c, {})
                 node[""] = t
-                half = len(t) // 2
-                for n in range(len(t) - 1, len(t) + 2):  # one edit leaves one half whole
-                    self.halves |= {(n, t[:half]), (-n, t[half:])}
-        self.sizes = sorted({len(h) for _, h in self.halves})
+                self.strong.add(t)
+                self.near |= shorter(t)
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """(term, edits) of the best term for a word: itself, the longest learned beginning, or a strong term one edit away."""
+        """(term, edits) of the best term for a word: itself, the longest learned beginning, or a strong term one edit or one swap of neighbours away."""
         if word in self.memo:
             return self.memo[word]
         if len(self.memo) > 300_000:
@@ -132,8 +136,10 @@ class Lexicon:
         return found
 
     def _fuzzy(self, word: str) -> tuple[str, int] | None:
-        n = len(word)
-        if not any((n, word[:k]) in self.halves or (-n, word[-k:]) in self.halves for k in self.sizes):
+        swapped = [w for i in range(len(word) - 1) if (w := word[:i] + word[i + 1] + word[i] + word[i + 2 :]) in self.strong]
+        if swapped:
+            return min(swapped), 1
+        if self.near.isdisjoint(shorter(word)):  # within one edit, two words share a form
             return None
         auto, best = Automaton(word, 1), None
         todo = [(self.trie, auto.start())]

@@ -84,3 +84,19 @@ def test_bounded_sample(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     few = T.train(docs, labels, rows=20)
     assert few.counts == T.train(docs, labels.repartition(3), rows=20).counts
+
+
+def test_rare_terms_are_matched_when_misspelled():
+    """Five texts of 4,000 are enough; swapped neighbours are one edit."""
+    rng = random.Random(5)
+    terms = {"".join(rng.choice("bcdfgaeiou") for _ in range(rng.randint(5, 9))): (5, 5) for _ in range(300)}
+    lexicon = T.Lexicon(0.1, terms, 4000)
+    for term in terms:
+        i = rng.randrange(len(term) - 1)
+        for w in (term[:i] + term[i + 1 :], term[:i] + "x" + term[i:], term[:i] + "x" + term[i + 1 :]):
+            if w not in terms and len(w) >= 4:
+                found, edits = lexicon.match(w)
+                assert edits == 1 and (distance(found, w) == 1 or sorted(found) == sorted(w))
+        swap = term[:i] + term[i + 1] + term[i] + term[i + 2 :]
+        assert lexicon.match(swap) in [(t, int(t != swap)) for t in terms if sorted(t) == sorted(swap)]
+    assert T.Lexicon(0.1, {"worthless": (5, 5)}, 4000).match("wrothless") == ("worthless", 1)
