@@ -9,6 +9,7 @@ hosts whose pages link only within themselves are reached too. Mass that gets to
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -67,8 +68,11 @@ def host_edges(links: DataFrame) -> DataFrame:
     return found.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score) after a fixed number of rounds over edges(src, dst, w) from seeds(host, mass), whose mass is scaled to 1."""
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
+    """(host, score) over edges(src, dst, w) from seeds(host, mass), whose mass is scaled to 1.
+
+    Without a tolerance, after a fixed number of rounds; with one, when what further rounds can change is below it in all.
+    """
     total = seeds.agg(F.sum("mass")).first()[0]
     if not total:
         return seeds.select("host", F.lit(0.0).alias("score"))
@@ -76,6 +80,8 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = D
     out = edges.groupBy("src").agg(F.sum("w").alias("out"))
     share = cut(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")))
     rank = start
+    if tolerance is not None:  # after k rounds, damping ** k of the mass is still on its way
+        rounds = math.ceil(math.log(tolerance / 2) / math.log(damping))
     for k in range(rounds):
         flow = rank.join(share, rank["host"] == share["src"]).select(F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
         rank = flow.unionByName(start.select("host", (F.col("score") * (1 - damping)).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
@@ -84,9 +90,12 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = D
     return rank
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, page_id: str = "page_id", url: str = "url", html: str = "html", damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, page_id: str = "page_id", url: str = "url", html: str = "html", damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, trust, distrust, verdict.
 
+    With a tolerance the rankings converge to it, and trust and distrust are alike if they differ by less than 1e-9 of
+    the larger; without, rounds and places are those of the query's SQL.
+
     A URL that is null or has no `://` has empty host and path, fits no rule and is allowed, as is a host that neither
     trust nor distrust reaches, or both alike (to 12 places). Repeated rows count repeatedly. An empty table gives no
     rows.
@@ -102,11 +111,13 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, page_id: str = "pag
     weights = pairs.where("dst is not null and dst <> '' and src <> dst").select("src", "dst", F.col("n").cast("double").alias("w"))
     edges = cut(counted.join(weights, ["src", "dst"], "left").select("src", "dst", F.coalesce("w", F.lit(1.0)).alias("w")))
     seeds = cut(rows.where("host <> '' and r is not null").groupBy("host", F.col("r.verdict").alias("v")).agg(F.count(F.lit(1)).alias("mass")))
-    trust = personalised_pagerank(edges, seeds.where("v = 'allow'"), damping, rounds)
+    trust = personalised_pagerank(edges, seeds.where("v = 'allow'"), damping, rounds, tolerance)
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = personalised_pagerank(against, seeds.where("v = 'block'"), damping, rounds)
+    distrust = personalised_pagerank(against, seeds.where("v = 'block'"), damping, rounds, tolerance)
     marks = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
     hosts = cut(marks.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
     out = rows.drop("html").join(hosts, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
-    own = F.when(F.round(F.col("distrust") - F.col("trust"), 12) > 0, F.lit("block")).otherwise(F.lit("allow"))
+    more = F.col("distrust") - F.col("trust")
+    worse = F.round(more, 12) > 0 if tolerance is None else more > F.col("distrust") * 1e-9
+    own = F.when(worse, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("r.text").alias("rule"), "trust", "distrust", F.coalesce(F.col("r.verdict"), own).alias("verdict"))

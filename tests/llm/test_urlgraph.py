@@ -104,3 +104,14 @@ def test_few_or_no_seeds(spark, pages):
 def test_table(spark, sf):
     pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     assert judged(spark, pages) == slow(pages)
+
+
+def test_a_long_chain_converges(spark):
+    """The last of twelve hosts is eleven links from the blocked one, which the eight rounds of the SQL don't reach."""
+    hosts = [f"h{i}.test" for i in range(11)] + ["bad.net"]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in zip(hosts, hosts[1:], strict=False)], "src string, dst string, w double")
+    against = edges.selectExpr("dst AS src", "src AS dst", "w")
+    seeds = spark.createDataFrame([("bad.net", 1)], "host string, mass long")
+    got = {r["host"]: r["score"] for r in U.personalised_pagerank(against, seeds, tolerance=0.1).collect()}
+    assert got["h0.test"] == pytest.approx(0.15 * 0.85**11)
+    assert sum(got.values()) > 0.8
