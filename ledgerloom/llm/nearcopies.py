@@ -1,14 +1,19 @@
-"""Near copies by exact set similarity: texts whose sets of word shingles have a Jaccard similarity of SIMILARITY or more.
+"""SimHash near-dedup by similarity: texts whose sets of word shingles have a Jaccard similarity of SIMILARITY or more.
 
-Nothing is sampled or estimated. Of two sets that similar, each sorted by one order of all shingles, the first few
-shingles (the prefixes) must share one, so only texts that share one there, with sizes and places that allow the
-similarity, are compared, and each such pair is compared by its whole sets. The order puts shingles that many texts
-have last, which keeps licence lines and other common passages out of the prefixes; it is learned from counts that may
-be rough, since any order gives the same pairs. Equal sets are one node. Shingles and sets go by 64-bit hashes.
+Each distinct set of shingles has a SimHash fingerprint of two 64-bit words. Pairs whose fingerprints lie within the
+radius that such a similarity gives are found by the tiled comparison of `simhash`, in cells by the set's size (a
+similarity bounds the sizes' ratio) and by population count; then an exact check of the whole sets decides. Of pairs
+that similar, the radius leaves out fewer than one in a thousand, those of sets with few shingles apart: there a few per cent
+at the threshold itself.
+
+The comparison runs twice. First each group of fingerprints gives a spanning forest of its nearest pairs, which are
+checked. Where a check fails, the fingerprints of that group are compared again, and all pairs are checked whose ends
+the first check hasn't joined: so no pairs are emitted within a group of copies, and no link is lost for want of a check.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -17,77 +22,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BROADCAST_ROWS, cut, rereadable, small_batches, with_row_id, without, without_rows
+from ledgerloom.llm.common import BROADCAST_ROWS, cut, rereadable, small_batches, with_row_id, without_rows
 from ledgerloom.llm.components import components
+from ledgerloom.llm.simhash import SEED, compare_cells, grams, majority
 
-SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-#: Shingles that a worker counts at a time; those it meets once are left out of the counts.
-_BLOCK = 3_000_000
+SHINGLE, SIMILARITY = 5, 0.8
+#: Standard deviations that a radius lies above the distance expected at the similarity.
+DEVIATIONS = 3.6
+#: Largest size class and population count of a cell; sizes of 2 ** 63 at similarities up to 0.999 are below it.
+_CLASSES, _BASE = 50_000, 130
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
-    import xxhash
-
-    words = (text or "").encode().lower().split()  # bytes: A-Z and the six ASCII spaces only
-    if not words:
-        return np.zeros(0, np.int64)
-    h = xxhash.xxh64_intdigest
-    grams = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
-    return np.unique(np.fromiter((h(g, SEED) for g in grams), "<u8", len(grams)).view(np.int64))
+    return np.unique(grams(text, shingle).view(np.int64))
 
 
-def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """For each row of rows(_rid, text) (_rid, key, n): its set's hash and size; and, _rid null, (key, n): shingles met n times by a worker."""
-    import xxhash
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes, one drawn from each: for the second word of a fingerprint."""
+    z = hashes.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return z ^ (z >> np.uint64(31))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def common() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            found, n = found[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.array(found), pa.array(n.astype(np.int64))], names=["_rid", "key", "n"])
-
-        for b in batches:
-            own = [shingles(t, shingle) for t in b.column(1).to_pylist()]
-            keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in own], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.array([len(s) for s in own], pa.int64())], names=["_rid", "key", "n"])
-            held += own
-            size += sum(map(len, own))
-            if size > _BLOCK:
-                yield common()
-                held, size = [], 0
-        if held:
-            yield common()
 
-    return rows.mapInArrow(run, "_rid bigint, key bigint, n bigint")
+def radius(similarity: float, bits: int, deviations: float = DEVIATIONS) -> int:
+    """Bits within which all but a few fingerprints of sets that similar lie: a bit differs with the chance angle / pi."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return min(bits, math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p))))
 
 
-def _prefixes(rows: DataFrame, shingle: int, least: Fraction, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(shingle, _rid, n, place) for each shingle of the prefix of each row of rows(_rid, text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(common)
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(_rid, key, n, f0, f1) for each row of rows(_rid, text): its set's hash, size and fingerprint."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
         for b in batches:
-            out: list[tuple[np.ndarray, ...]] = []
-            for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = shingles(text, shingle)
-                n = len(own)
-                if not n:
-                    continue
-                often = np.zeros(n, np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    often = np.where(known[at] == own, counts[at], 0)
-                first = np.argsort(often, kind="stable")[: n + 1 - -(-least.numerator * n // least.denominator)]
-                k = len(first)
-                out.append((own[first], np.full(k, rid), np.full(k, n), np.arange(k)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["shingle", "_rid", "n", "place"])
-
-    return rows.mapInArrow(run, "shingle bigint, _rid bigint, n bigint, place bigint")
+            own = [shingles(t, shingle).view(np.uint64) for t in b.column(1).to_pylist()]
+            keys = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in own]
+            words = [np.array(x, np.uint64).view(np.int64) for x in (keys, [majority(s) for s in own], [majority(mixed(s)) for s in own])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words[0]), pa.array([len(s) for s in own], pa.int64()), *map(pa.array, words[1:])], names=["_rid", "key", "n", "f0", "f1"])
+
+    return rows.mapInArrow(run, "_rid bigint, key bigint, n bigint, f0 bigint, f1 bigint")
 
 
 def _whole(rows: DataFrame, shingle: int) -> DataFrame:
@@ -99,32 +75,53 @@ def _whole(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "_rid bigint, s array<bigint>")
 
 
-def _links(rows: DataFrame, sets: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """(a, b): all pairs of rows(_rid, text) that are similar; their sets differ from one another."""
-    p, q = least.numerator, least.denominator
-    often = sets.where("_rid is null").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(BROADCAST_ROWS).toArrow()
-    known = often.column("key").to_numpy()
-    by = np.argsort(known)
-    own = cut(_prefixes(rows, shingle, least, (known[by], often.column("n").to_numpy()[by])))
-    x, y = (own.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("_rid", "n", "place")]) for k in "ab")
-    need = F.ceil((F.col("na") + F.col("nb")) * p / (p + q) - 1e-6)
-    # Of the shingles that two prefixes share, the first leaves enough room for what they must share in all.
-    room = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
-    fits = (F.col("na") * p <= F.col("nb") * q) & (F.col("nb") * p <= F.col("na") * q) & (room >= need)
-    pairs = cut(x.join(y, "shingle").where((F.col("_rida") < F.col("_ridb")) & fits).select(F.col("_rida").alias("a"), F.col("_ridb").alias("b")).distinct())
+def _cells(nodes: DataFrame, least: Fraction, far: int) -> DataFrame:
+    """nodes(node, n, f0, f1, ...) with their cell and the cells that they visit."""
+    width = math.log(1 / float(least)) * (1 + 1e-9) + 1e-9  # sizes that fit each other lie in one class or in neighbours
+    size = F.least(F.floor(F.log("n") / width), F.lit(_CLASSES))
+    pops = F.floor((F.bit_count("f0") + F.bit_count("f1")) / (far + 1)).cast("long")
+    at = lambda up, more: (F.col("_size") + up) * _BASE + F.col("_pops") + more
+    placed = nodes.withColumns({"_size": size, "_pops": pops})
+    return placed.withColumn("targets", F.array(at(0, 1), *[at(1, more) for more in (-1, 0, 1)])).withColumn("cell", at(0, 0))
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """The rows of pairs(a, b) whose whole sets are similar. rows(_rid, text) are read again for the texts asked for only."""
     asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("_rid")).distinct())
     few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     whole = cut(_whole(rows.join(F.broadcast(asked) if few else asked, "_rid", "left_semi"), shingle))
     sa, sb = (whole.select(F.col("_rid").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     both = pairs.join(sa, "a").join(sb, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    p, q = least.numerator, least.denominator
     return both.where(F.col("common") * (p + q) >= (F.size("sa") + F.size("sb")) * p).select("a", "b")
 
 
+def _links(nodes: DataFrame, rows: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """Links (a, b) of nodes(node, n, f0, f1) that join the same components as all similar pairs within the radius."""
+    far, first = radius(float(least), 128), radius(float(least), 64)
+    bound = (_CLASSES + 2) * _BASE if least > Fraction(9, 10) else math.ceil(math.log(2**63) / math.log(1 / float(least)) + 2) * _BASE
+    words = ["f0", "f1"]
+    cells = _cells(nodes, least, far)
+    forest = cut(compare_cells(cells.select("cell", "targets", *words, "node"), words, far, first, "node", bound=bound).distinct())
+    joined = cut(_similar(forest, rows, shingle, least))
+    failed = cut(forest.join(joined, ["a", "b"], "left_anti"))
+    if failed.isEmpty():
+        return joined
+    group = cut(components(forest))  # of those with a failed pair, all members are compared again
+    open_roots = failed.select(F.col("a").alias("node")).join(group, "node").select("root").distinct()
+    again = group.join(open_roots, "root", "left_semi").select("node")
+    label = components(joined).withColumnRenamed("root", "label")
+    cells = cut(cells.join(again, "node", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    pairs = compare_cells(cells.select("cell", "targets", *words, "node", "label"), words, far, first, "node", "label", bound=bound)
+    pairs = cut(pairs.join(forest, ["a", "b"], "left_anti").distinct())
+    return joined.unionByName(_similar(pairs, rows, shingle, least))
+
+
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of df: _rid, doc_id, component_id, keep_rid, as simhash.near_duplicates names them.
 
-    Components are those of all pairs with a Jaccard similarity of `similarity` (above 0, at most 1) or more. Texts
-    without words, null ones among them, are copies of each other and of nothing else.
+    Components are those of the pairs with a Jaccard similarity of `similarity` (above 0, at most 1) or more. Texts
+    without words, null ones among them, are copies of each other and of nothing else. An empty table gives no rows.
     """
     least = Fraction(str(similarity))
     small_batches(df.sparkSession)
@@ -132,11 +129,12 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     rows = with_row_id(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     ids, texts = rows.select("_rid", "doc_id"), rows.select("_rid", "text")
     sets = cut(_sets(texts, shingle))
-    own = sets.where("_rid is not null").select("_rid", "key")
-    nodes = cut(own.groupBy("key").agg(F.min("_rid").alias("node")))
-    named = cut(own.join(nodes, "key").select("_rid", "node"))
-    links = _links(without(texts, named.where("_rid <> node").select("_rid"), "_rid"), sets, shingle, least)
-    named = named.join(components(links), "node", "left").select("_rid", F.coalesce("root", "node").alias("root")).join(ids, "_rid")
+    nodes = cut(sets.groupBy("key").agg(F.min("_rid").alias("node"), *[F.first(c).alias(c) for c in ("n", "f0", "f1")]))
+    named = cut(sets.select("_rid", "key").join(nodes.select("key", "node"), "key").select("_rid", "node"))
+    if least < 1:  # equal sets are one node
+        links = _links(nodes.where("n > 0").drop("key"), texts, shingle, least)
+        named = named.join(components(links), "node", "left").select("_rid", F.coalesce("root", "node").alias("root"))
+    named = named.withColumnRenamed("node", "root").join(ids, "_rid")
     least_id = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rid")).alias("least"))
     return named.join(least_id, "root").select("_rid", "doc_id", F.col("least.doc_id").alias("component_id"), F.col("least._rid").alias("keep_rid"))
 

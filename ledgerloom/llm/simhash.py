@@ -1,11 +1,14 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-A fingerprint has 64 bits. Its population counts in LANES lanes of bits name its cell; the counts of two fingerprints
-within radius r differ by r at most, summed over the lanes, so only pairs of cells that near are compared and all
-others are skipped. Cells of more than TILE fingerprints are split into tiles. Each pair of tiles is compared with
-numpy exclusive-or and bit counts in Arrow functions: the tile that is at home is held, the fingerprints that visit it
-stream past in chunks. Of the pairs found, a tile pair emits a spanning forest of them, so a dense group of n
+Fingerprints lie in cells by their population counts: two of them within radius r have counts that differ by r at most,
+so only pairs of cells that near are compared and all others are skipped. Cells of more than TILE fingerprints are
+split into tiles. Each pair of tiles is compared with numpy exclusive-or and bit counts in Arrow functions: the tile
+that is at home is held, the fingerprints that visit it stream past in chunks. A tile with many visitors is held by
+several tasks, each with a slice of them. Of the pairs found, a spanning forest is emitted, so a dense group of n
 fingerprints gives no n * n links. Only distinct fingerprints are compared; copies share one.
+
+`links` and `near_duplicates` count LANES lanes of a 64-bit fingerprint each on its own, which skips more pairs at a
+small radius. `compare_cells` takes fingerprints of several words and any cells; `nearcopies` uses it at a wide radius.
 """
 
 from __future__ import annotations
@@ -23,20 +26,28 @@ from ledgerloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 LANES, TILE = 4, 4096
-#: Cells of a batch of comparisons: bounds the worker's matrices.
-_CELLS = 2_000_000
+#: A task compares a tile with about so many tiles of visitors.
+SLICE_TILES = 16
+#: Cells of a matrix of comparisons, which fit a core's cache, and pairs found that are held before a forest is taken.
+_CELLS, _PAIRS = 262_144, 1_000_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of a text: a bit is 1 if set in over half the shingles' hashes; no words: 0."""
+def grams(text: str | None, shingle: int) -> np.ndarray:
+    """Unsigned hashes of a text's shingles, in order; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes: A-Z and the six ASCII spaces only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     h = xxhash.xxh64_intdigest
-    grams = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
-    hashes = np.fromiter((h(g, SEED) for g in grams), "<u8", len(grams))
+    own = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    return np.fromiter((h(g, SEED) for g in own), "<u8", len(own))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if set in over half the hashes; of no hashes: 0."""
+    if not len(hashes):
+        return 0
     set_in = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65_536):
         part = hashes[k : k + 65_536].view(np.uint8).reshape(-1, 8)
@@ -44,6 +55,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(set_in * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of a text: a bit is 1 if set in over half the shingles' hashes; no words: 0."""
+    return majority(grams(text, shingle))
+
+
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (_rid, doc_id, fp) for each row of df; fp is the fingerprint as a signed bigint. A null text has no words."""
     small_batches(df.sparkSession)
@@ -58,7 +74,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
-    """Places of pairs (a, b) of nodes below n that span the same components as all of them, n - 1 at most."""
+    """Places of pairs (a, b) of nodes below n that span the same components as all of them, n - 1 at most; of several, the first."""
     label, taken, at = np.arange(n), [], np.arange(len(a))
     while len(at):
         x, y = label[a[at]], label[b[at]]
@@ -80,64 +96,133 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     return taken
 
 
-def _near(home: np.ndarray, visit: np.ndarray, radius: int, within: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of a forest of the pairs of home and visit within radius; within: visit is home, and each pair counts once."""
-    step, found_h, found_v = max(1, _CELLS // max(1, len(home))), [], []
-    for k in range(0, len(visit), step):
-        v, h = np.nonzero(np.bitwise_count(visit[k : k + step, None] ^ home[None, :]) <= radius)
-        v = v + k
-        if within:
-            v, h = v[v < h], h[v < h]
-        if len(v):
-            keep = _forest(v, h + (0 if within else len(visit)), len(home) + (0 if within else len(visit)))
-            found_h.append(home[h[keep]]), found_v.append(visit[v[keep]])
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(found_h), np.concatenate(found_v)) if found_h else (none, none)
+class _Tile:
+    """Fingerprints at home, one row of words each, that visitors are compared with."""
+
+    def __init__(self, home: np.ndarray, radius: int, first: int) -> None:
+        self.home, self.radius, self.first = home, radius, first
+        self.word = np.ascontiguousarray(home[:, 0])
+
+    def pairs(self, visit: np.ndarray, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places in home, places in visit, distances) of the pairs within radius; within: visit is home, and each pair counts once."""
+        step = max(1, _CELLS // max(1, len(self.home)))
+        for k in range(0, len(visit), step):
+            d = np.bitwise_count(visit[k : k + step, :1] ^ self.word[None, :])
+            v, h = np.nonzero(d <= self.first)
+            if within and len(v):
+                below = v + k < h
+                v, h = v[below], h[below]
+            if not len(v):
+                continue
+            d = d[v, h].astype(np.int16)
+            for w in range(1, visit.shape[1]):
+                d += np.bitwise_count(visit[v + k, w] ^ self.home[h, w])
+            near = d <= self.radius
+            if near.any():
+                yield h[near], v[near] + k, d[near]
 
 
-def _compare(radius: int):
-    """Streams rows (tile, slice, role, fp), sorted in that order, and yields links (a, b)."""
+def _compare(radius: int, first: int, words: int, labelled: bool):
+    """Streams rows (tile, slice, role, words..., node[, label]), sorted by the first three, and yields links (a, b) of nodes.
+
+    Without labels the links are a forest that prefers near pairs; with them, all pairs whose labels differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, home = None, []
-        held: np.ndarray | None = None
+        tile: _Tile | None = None
+        own = np.zeros((0, 2), np.int64)  # node and label of those at home
 
         def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        def links(visit: np.ndarray, names: np.ndarray, within: bool) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+
+            def taken() -> pa.RecordBatch:
+                h, v, d = (np.concatenate(x) for x in zip(*held, strict=True))
+                if not labelled:
+                    near = np.argsort(d, kind="stable")
+                    h, v = h[near], v[near]
+                    keep = _forest(v, h + (0 if within else len(visit)), len(tile.home) + (0 if within else len(visit)))
+                    h, v = h[keep], v[keep]
+                held.clear()
+                return out(own[h, 0], names[v, 0])
+
+            for h, v, d in tile.pairs(visit, within):
+                if labelled:
+                    other = own[h, 1] != names[v, 1]
+                    h, v, d = h[other], v[other], d[other]
+                held.append((h, v, d))
+                size += len(h)
+                if size >= _PAIRS:
+                    yield taken()
+                    size = 0
+            if size:
+                yield taken()
 
         def settle() -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            held = np.concatenate(home) if home else np.zeros(0, np.uint64)
-            if key is not None and key[1] == 0 and len(held) > 1:
-                a, b = _near(held, held, radius, True)
-                if len(a):
-                    yield out(a, b)
+            nonlocal tile, own
+            rows = np.concatenate(home) if home else np.zeros((0, words + 2), np.int64)
+            own = rows[:, words:]
+            tile = _Tile(np.ascontiguousarray(rows[:, :words]).view(np.uint64), radius, first)
+            if key is not None and key[1] == 0 and len(rows) > 1:
+                yield from links(tile.home, own, True)
 
         for batch in batches:
-            tile, part, role, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            fp = fp.astype(np.int64).view(np.uint64)
-            edge = np.flatnonzero((tile[1:] != tile[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1])) + 1
-            for s, e in itertools.pairwise([0, *edge.tolist(), len(fp)]):
+            at, part, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            rest = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3, batch.num_columns)], 1)
+            if rest.shape[1] < words + 2:  # without a name of its own a fingerprint is named by its one word; without labels none counts
+                rest = np.hstack([rest, rest[:, :1] if rest.shape[1] == words else rest[:, :0], rest[:, :1]])
+            edge = np.flatnonzero((at[1:] != at[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1])) + 1
+            for s, e in itertools.pairwise([0, *edge.tolist(), len(at)]):
                 if s == e:
                     continue
-                if (now := (int(tile[s]), int(part[s]))) != key:
-                    if held is None:
+                if (now := (int(at[s]), int(part[s]))) != key:
+                    if tile is None:
                         yield from settle()
-                    key, home, held = now, [], None
+                    key, home, tile = now, [], None
                 if role[s] == 0:
-                    home.append(fp[s:e])
+                    home.append(rest[s:e])
                     continue
-                if held is None:
+                if tile is None:
                     yield from settle()
-                a, b = _near(held, fp[s:e], radius, False)
-                if len(a):
-                    yield out(a, b)
-        if held is None:
+                yield from links(np.ascontiguousarray(rest[s:e, :words]).view(np.uint64), rest[s:e, words:], False)
+        if tile is None:
             yield from settle()
 
     return run
 
 
+def compare_cells(cells: DataFrame, words: list[str], radius: int, first: int | None = None, node: str | None = None, label: str | None = None, tile: int = TILE, bound: int | None = None) -> DataFrame:
+    """Links (a, b) of the rows of cells(cell, targets, words..., node, label) within radius bits, all words together, and `first` in the first.
+
+    A row is compared with those of its own cell and of the cells in targets (of two cells, one names the other); null
+    targets count as none. node (bigint) names a row, else its one word does. Without label the links join the same
+    components as all such pairs; with it they are all pairs whose labels (bigint) differ. There are at most `bound` cells.
+    """
+    cols = [*words, *([node] if node else []), *([label] if label else [])]
+    name = node or words[0]
+    per = cut(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.first("targets").alias("targets")))
+    load = per.select("cell", "m").unionByName(per.select(F.explode("targets").alias("cell"), "m").where("cell is not null")).groupBy("cell").agg(F.sum("m").alias("load"))
+    counts = per.join(load, "cell").select("cell", F.ceil(F.col("m") / tile).cast("int").alias("n"), F.ceil(F.col("load") / (tile * SLICE_TILES)).cast("int").alias("slices"))
+    several = not counts.where("n > 1").isEmpty()
+    counts = F.broadcast(counts) if bound is not None and bound <= BROADCAST_ROWS else counts
+    sub, part = (F.pmod(F.xxhash64(F.col(name), F.lit(k)), n).cast("int") for k, n in enumerate((F.col("n"), F.col("slices"))))
+    all_tiles = lambda start: F.explode(F.sequence(start, F.col("n") - 1)).alias("sub")
+    visits = cells.select(*cols, F.explode("targets").alias("cell")).where("cell is not null").join(counts, "cell")
+    visits = visits.select("cell", all_tiles(F.lit(0)), part.alias("slice"), F.lit(1).alias("role"), *cols)
+    at_home = cells.select("cell", *cols).join(counts, "cell").withColumn("sub", sub)
+    home = at_home.select("cell", "sub", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("role"), *cols)
+    rows = home.unionByName(visits)
+    if several:  # pairs of tiles of one cell
+        own = at_home.where("sub + 1 < n").withColumn("_from", F.col("sub") + 1).drop("sub")
+        rows = rows.unionByName(own.select("cell", all_tiles(F.col("_from")), part.alias("slice"), F.lit(1).alias("role"), *cols))
+    rows = rows.select((F.col("cell") * 2**20 + F.col("sub")).alias("tile"), "slice", "role", *cols)
+    dealt = rows.repartition("tile", "slice").sortWithinPartitions("tile", "slice", "role")
+    return dealt.mapInArrow(_compare(radius, radius if first is None else first, len(words), label is not None), "a bigint, b bigint")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, lanes: int = LANES, tile: int = TILE) -> DataFrame:
     """Links (a, b) that join the same components as all pairs of distinct(fp) within radius bits."""
     width, base = 64 // lanes, 64 // lanes + 1
@@ -145,27 +230,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, lanes: int = LANES, tile: i
     pops = [F.bit_count(F.shiftrightunsigned(F.col("fp"), i * width).bitwiseAND(F.lit(mask).cast("long"))).cast("long") for i in range(lanes)]
     cells = distinct.select("fp", *[p.alias(f"p{i}") for i, p in enumerate(pops)])
     number: Column = sum((F.col(f"p{i}") * base**i for i in range(1, lanes)), F.col("p0"))
-    cells = cut(cells.withColumn("cell", number))
-    # At most base ** lanes rows: 83,521 for four lanes, which are broadcast; the 43 million of eight lanes are not.
-    counts = cells.groupBy("cell").count().select("cell", F.ceil(F.col("count") / tile).cast("int").alias("n"))
-    slices = counts.agg(F.max("n")).first()[0] or 1
-    sub = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
-    if base**lanes <= BROADCAST_ROWS:
-        counts = F.broadcast(counts)
     shifts = [d for d in itertools.product(range(-radius, radius + 1), repeat=lanes) if 0 < sum(map(abs, d)) <= radius and d > (0,) * lanes]
     fits = lambda d: [F.col(f"p{i}") + x for i, x in enumerate(d)]
     target = F.array(*[F.when(sum(((p >= 0) & (p <= width)).cast("int") for p in fits(d)) == lanes, sum(p * base**i for i, p in enumerate(fits(d)))) for d in shifts])
-    visits = cells.select("fp", F.explode(target).alias("cell")).where("cell is not null").join(counts, "cell")
-    visits = visits.select("cell", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("sub"), sub(F.lit(slices)).alias("slice"), F.lit(1).alias("role"), "fp")
-    at_home = cells.select("fp", "cell").join(counts, "cell").withColumn("sub", sub(F.col("n")))
-    home = at_home.select("cell", "sub", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("role"), "fp")
-    rows = home.unionByName(visits)
-    if slices > 1:  # pairs of tiles of one cell
-        own = at_home.where("sub + 1 < n").select("cell", F.explode(F.sequence(F.col("sub") + 1, F.col("n") - 1)).alias("sub"), sub(F.lit(slices)).alias("slice"), F.lit(1).alias("role"), "fp")
-        rows = rows.unionByName(own)
-    rows = rows.select((F.col("cell") * 2**20 + F.col("sub")).alias("tile"), "slice", "role", "fp")
-    dealt = rows.repartition("tile", "slice").sortWithinPartitions("tile", "slice", "role")
-    return dealt.mapInArrow(_compare(radius), "a bigint, b bigint")
+    # At most base ** lanes cells: 83,521 for four lanes, whose counts are broadcast; the 43 million of eight lanes' are not.
+    return compare_cells(cells.select("fp", number.alias("cell"), target.cast("array<bigint>").alias("targets")), ["fp"], radius, tile=tile, bound=base**lanes)
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
