@@ -81,3 +81,70 @@ def test_round_trip(docs, odd, none):
     assert P.pack(none).count() == 0
     with pytest.raises(ValueError):
         P.pack(none, capacity=1000)
+
+
+def packed(lengths, capacity=P.CAPACITY):
+    bins = P.Bins(capacity)
+    out = [x for i, n in enumerate(lengths) for x in bins.put(i, np.zeros(n, "<u4"))]
+    before = len(out)
+    return out + list(bins.close()), before
+
+
+def in_several(out, lengths):
+    """Share of the documents that fit a sequence but lie in several."""
+    where = defaultdict(set)
+    for (doc, *_), sequence, _ in out:
+        where[doc].add(sequence)
+    short = [i for i, n in enumerate(lengths) if n <= P.CAPACITY]
+    return sum(len(where[i]) > 1 for i in short) / len(short)
+
+
+def padding(out):
+    used = defaultdict(int)
+    for (_, _, ids, _), sequence, _ in out:
+        used[sequence] += len(ids)
+    return sum(P.CAPACITY - n for n in used.values() if n & (n - 1)) / sum(used.values())
+
+
+@given(st.lists(st.integers(1, 4000), min_size=1, max_size=300))
+@settings(max_examples=60, deadline=None)
+def test_classes_against_the_plain_rule(lengths):
+    """Until a worker ends, a bin has k documents of class k, those in the order they came, or is a whole sequence; rests fill what room there is."""
+    out, before = packed(lengths)
+    sequences = defaultdict(list)
+    for piece, sequence, offset in out[:before]:
+        assert offset == sum(len(p[2]) for p in sequences[sequence])
+        sequences[sequence].append(piece)
+    firsts = defaultdict(list)
+    for held in sequences.values():
+        whole = [p for p in held if len(p[2]) == p[3]]
+        if len(held[0][2]) == P.CAPACITY:
+            assert len(held) == 1
+        elif len(held[0][2]) == held[0][3]:
+            k = P.CAPACITY // held[0][3]
+            assert len(whole) == k and all(P.CAPACITY // p[3] == k for p in whole) and held[:k] == whole
+            firsts[k].append([p[0] for p in whole])
+    for k, bins in firsts.items():
+        own = [i for i, n in enumerate(lengths) if n < P.CAPACITY and P.CAPACITY // n == k]
+        assert sorted(bins) == [own[i : i + k] for i in range(0, len(own) // k * k, k)][: len(bins)]
+    assert sum(len(p[2]) for p, _, _ in out) == sum(lengths)
+
+
+def test_short_documents_stay_whole():
+    rng = np.random.default_rng(5)
+    mixed = np.exp(rng.normal(6.5, 0.9, 3000)).astype(int) + 1
+    out, _ = packed(mixed)
+    assert in_several(out, mixed) < 0.02 and padding(out) < 0.01
+    short = rng.integers(300, 1025, 3000)  # no long documents: some are cut for the room of others
+    out, _ = packed(short)
+    assert in_several(out, short) < 0.35 and padding(out) < 0.02
+    out, _ = packed([600] * 300)
+    assert padding(out) < 0.02
+
+
+def test_fast_ids_over_all_pairs_of_latin_characters():
+    """Below U+0250, where texts go to the fast encoder: each pair between a letter and a digit."""
+    points = [chr(c) for c in range(0x250)]
+    for a in points:
+        texts = [f"q{a}{b}7" for b in points]
+        assert [ENCODE(t).tolist() for t in texts] == [e.ids for e in BYTES.encode_batch(texts, add_special_tokens=False)]
