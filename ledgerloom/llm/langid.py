@@ -23,7 +23,7 @@ SHARPNESS = 20.0
 #: More languages than this are refused: prototypes are held by the driver and each worker.
 MAX_LANGUAGES = 5000
 UNDETERMINED = "und"
-#: A batch is cut where its texts pass this many characters, and a longer text is bundled in parts.
+#: A batch is cut where its texts pass this many letters, and a longer text's n-grams are counted in parts.
 _CHARS, _CODES, _CELLS = 2_000_000, 4_000_000, 16_000_000
 
 
@@ -50,9 +50,8 @@ class Space:
         codes = np.concatenate([[0], codes, [0]])
         return codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])].astype(np.int64)
 
-    def counts(self, texts: list[str], cells: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
-        """(n-grams, one row of code points each; counts of texts x n-grams, None if they have more than cells, if not 0)."""
-        rows = [self.letters(t) for t in texts]
+    def counts(self, rows: list[np.ndarray], cells: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
+        """(n-grams, one row of code points each; counts of rows x n-grams, None if they have more than cells, if not 0)."""
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         alphabet, flat = np.unique(flat, return_inverse=True)
         size, ends = len(alphabet), np.cumsum([len(r) for r in rows])
@@ -88,17 +87,17 @@ class Space:
         return out.astype(np.float32)
 
     def bundles(self, texts: list[str]) -> np.ndarray:
-        """One vector per text, summed over parts of long ones."""
-        out = np.zeros((len(texts), self.dim), np.float32)
+        """One vector per text: the sum over its n-grams. A long text's are counted in parts, each n-gram in one of them."""
+        out = np.zeros((len(texts), self.dim))
         group, held = [], 0
 
-        def add(some: list[tuple[int, str]]) -> None:
+        def add(some: list[tuple[int, np.ndarray]]) -> None:
             grams, table = self.counts([part for _, part in some], _CELLS if len(some) > 1 else 0)
             if table is None:  # too many n-grams to count at once
                 add(some[: len(some) // 2])
                 add(some[len(some) // 2 :])
                 return
-            for k in range(0, len(grams), 8192):
+            for k in range(0, len(grams), 8192):  # whole numbers that float32 holds
                 np.add.at(out, [i for i, _ in some], table[:, k : k + 8192] @ self.bound(grams[k : k + 8192]))
 
         def flush() -> None:
@@ -106,8 +105,9 @@ class Space:
             group.clear()
 
         for i, text in enumerate(texts):
-            for k in range(0, max(1, len(text)), _CHARS):
-                part = text[max(0, k - self.n + 1) : k + _CHARS]
+            codes = self.letters(text)
+            for k in range(0, max(1, len(codes) - self.n + 1), _CHARS):
+                part = codes[k : k + _CHARS + self.n - 1]
                 group.append((i, part))
                 held += len(part)
                 if held >= _CHARS:

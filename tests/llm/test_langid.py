@@ -40,6 +40,38 @@ def test_long_texts_in_parts(monkeypatch):
     assert cos > 0.99
 
 
+def test_parts_have_the_grams_of_the_whole(monkeypatch):
+    texts = ["the quick brown fox jumps over lazy dogs, 12 times; " * 50, "a", "", "éàü " * 700]
+    whole = L.Space(dim=64).bundles(texts)
+    assert (whole == [slow_bundle(L.Space(dim=64), t) for t in texts]).all()
+    for chars in (1, 7, 100, 1999):
+        monkeypatch.setattr(L, "_CHARS", chars)
+        assert (L.Space(dim=64).bundles(texts) == whole).all()
+
+
+def test_scores_against_the_plain_method(spark):
+    """Prototypes, centring, cosine and softmax in plain Python, over texts of three languages and one without a language."""
+    import math
+
+    own = {"en": ["the quick brown fox", "over the lazy dog", "a fox and a dog"], "de": ["der schnelle braune Fuchs", "über den faulen Hund"], "fr": ["le renard brun rapide", "par dessus le chien"]}
+    rows = [(i, t, y) for i, (y, t) in enumerate((y, t) for y, texts in own.items() for t in texts)]
+    df = spark.createDataFrame([*rows, (20, "the brown dog", None), (21, "der Hund", None), (22, "12 34", None)], "doc_id bigint, text string, lang string")
+    space, unit = L.Space(), lambda v: v / np.linalg.norm(v)
+    names = sorted(own)
+    prototypes = [unit(sum(slow_bundle(space, t) for t in own[y])) for y in names]
+    mean = sum(prototypes) / len(names)
+    centred = [unit(p - mean) for p in prototypes]
+    for r in L.identify(df, *L.train(df.where("doc_id < 20"))).collect():
+        text = df.where(f"doc_id = {r['doc_id']}").first()["text"]
+        if r["doc_id"] == 22:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cos = [float(unit(unit(slow_bundle(space, text)) - mean) @ c) for c in centred]
+        shares = [math.exp(L.SHARPNESS * c) for c in cos]
+        best = max(range(len(names)), key=lambda k: cos[k])
+        assert r["lang_pred"] == names[best] and r["score"] == pytest.approx(shares[best] / sum(shares), rel=2e-2)
+
+
 def test_held_out_accuracy(spark, docs):
     rows = queries.op1_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = rows.where("held_out").collect()
