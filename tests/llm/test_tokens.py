@@ -24,6 +24,22 @@ def test_split_counts_like_the_whole(text, part):
     assert T.lengths([text], PIECES, 7, part) == [len(PIECES.encode(text))]
 
 
+JOINED = T.neighbours(PIECES)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(TEXTS, st.text(max_size=80), st.text(alphabet=st.sampled_from("日本語のテキスト漢字中文ｱ𠀀é́ the▁ 1"), max_size=120)), st.integers(1, 20))
+def test_split_without_spaces_counts_like_the_whole(text, part):
+    assert T.lengths([text], PIECES, 7, part, JOINED) == [len(PIECES.encode(text))]
+
+
+def test_long_texts_without_spaces_are_split():
+    for text in ("日本語のテキストを漢字で書く。" * 4000, "漢字" * 30_000 + " the end", "x" * 120_000, "ab " * 60_000, "語x" * 40_000):
+        parts = T.split_safely(text, 5000, JOINED)
+        assert T.lengths([text], PIECES, 100_000, 5000, JOINED) == [len(PIECES.encode(text))]
+        assert len(parts) > 8 or text[0] == "x"
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(TEXTS, st.text(max_size=60)))
 def test_fast_ids_are_the_tokenizers(text):
