@@ -7,8 +7,9 @@ that similar, the radius leaves out fewer than one in a thousand, those of sets
 at the threshold itself.
 
 The comparison runs twice. First each group of fingerprints gives a spanning forest of its nearest pairs, which are
-checked. Where a check fails, the fingerprints of that group are compared again, and all pairs are checked whose ends
-the first check hasn't joined: so no pairs are emitted within a group of copies, and no link is lost for want of a check.
+checked. Where a check fails, the fingerprints of that group are compared again, their whole sets beside them: the
+worker checks each pair whose ends the first check hasn't joined, and emits a forest of the similar ones. So no pairs
+are emitted within a group of copies, and no link is lost for want of a check.
 """
 
 from __future__ import annotations
@@ -111,10 +112,12 @@ def _links(nodes: DataFrame, rows: DataFrame, shingle: int, least: Fraction) ->
     open_roots = failed.select(F.col("a").alias("node")).join(group, "node").select("root").distinct()
     again = group.join(open_roots, "root", "left_semi").select("node")
     label = components(joined).withColumnRenamed("root", "label")
-    cells = cut(cells.join(again, "node", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    pairs = compare_cells(cells.select("cell", "targets", *words, "node", "label"), words, far, first, "node", "label", bound=bound)
-    pairs = cut(pairs.join(forest, ["a", "b"], "left_anti").distinct())
-    return joined.unionByName(_similar(pairs, rows, shingle, least))
+    cells = cells.join(again, "node", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    keys = again.withColumnRenamed("node", "_rid")
+    whole = _whole(rows.join(F.broadcast(keys) if few else keys, "_rid", "left_semi"), shingle).withColumnRenamed("_rid", "node")
+    cells = cut(cells.select("cell", "targets", *words, "node", "label").join(whole, "node"))
+    return joined.unionByName(compare_cells(cells, words, far, first, "node", ("label", "s"), (least.numerator, least.denominator), bound=bound))
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -122,44 +122,75 @@ class _Tile:
                 yield h[near], v[near] + k, d[near]
 
 
-def _compare(radius: int, first: int, words: int, labelled: bool):
-    """Streams rows (tile, slice, role, words..., node[, label]), sorted by the first three, and yields links (a, b) of nodes.
-
-    Without labels the links are a forest that prefers near pairs; with them, all pairs whose labels differ.
+class _Shared:
+    """Sets of hashes at home, by hash, so that a set is held against all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        by = np.argsort(flat, kind="stable")
+        self.hashes, first = np.unique(flat[by], return_index=True)
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[by]
+        self.first = np.append(first, len(flat))
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        """Number of hashes that own shares with each set."""
+        at = np.minimum(np.searchsorted(self.hashes, own), max(0, len(self.hashes) - 1))
+        at = at[self.hashes[at] == own] if len(self.hashes) else at[:0]
+        start, n = self.first[at], self.first[at + 1] - self.first[at]
+        places = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(at) else at
+        return np.bincount(self.owners[places], minlength=len(self.sizes))
+
+
+def _compare(radius: int, first: int, words: int, least: tuple[int, int] | None):
+    """Streams rows (tile, slice, role, words..., node[, label, set]), sorted by the first three, and yields links (a, b) of nodes.
+
+    The links are a forest that prefers near pairs; with labels and sets, of the pairs whose labels differ and whose sets
+    share least[0] / least[1] of their hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, home = None, []
+        key, home, home_sets = None, [], []
         tile: _Tile | None = None
+        shared: _Shared | None = None
         own = np.zeros((0, 2), np.int64)  # node and label of those at home
 
-        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        def links(visit: np.ndarray, names: np.ndarray, within: bool) -> Iterator[pa.RecordBatch]:
-            held, size = [], 0
-
-            def taken() -> pa.RecordBatch:
+        def similar(h: np.ndarray, v: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+            nonlocal shared
+            shared = shared or _Shared(home_sets)
+            out = np.zeros(len(h), bool)
+            by = np.argsort(v, kind="stable")
+            edge = np.flatnonzero(np.diff(v[by], prepend=-1, append=-1))
+            for s, e in itertools.pairwise(edge.tolist()):
+                one, homes = sets[v[by[s]]], h[by[s:e]]
+                common, both = shared.common(one)[homes], len(one) + shared.sizes[homes]
+                out[by[s:e]] = common * (least[0] + least[1]) >= both * least[0]
+            return out
+
+        def links(visit: np.ndarray, names: np.ndarray, sets: list[np.ndarray], within: bool) -> Iterator[pa.RecordBatch]:
+            held, size, count = [], 0, len(tile.home) + (0 if within else len(visit))
+
+            def taken() -> tuple[np.ndarray, ...]:
                 h, v, d = (np.concatenate(x) for x in zip(*held, strict=True))
-                if not labelled:
-                    near = np.argsort(d, kind="stable")
-                    h, v = h[near], v[near]
-                    keep = _forest(v, h + (0 if within else len(visit)), len(tile.home) + (0 if within else len(visit)))
-                    h, v = h[keep], v[keep]
-                held.clear()
-                return out(own[h, 0], names[v, 0])
+                near = np.argsort(d, kind="stable")
+                h, v, d = h[near], v[near], d[near]
+                keep = _forest(v, h + (0 if within else len(visit)), count)
+                return h[keep], v[keep], d[keep]
 
             for h, v, d in tile.pairs(visit, within):
-                if labelled:
+                if least is not None:
                     other = own[h, 1] != names[v, 1]
                     h, v, d = h[other], v[other], d[other]
+                    alike = similar(h, v, sets) if len(h) else other[:0]
+                    h, v, d = h[alike], v[alike], d[alike]
                 held.append((h, v, d))
                 size += len(h)
-                if size >= _PAIRS:
-                    yield taken()
-                    size = 0
+                if size >= _PAIRS + count:
+                    held = [taken()]
+                    size = len(held[0][0])
             if size:
-                yield taken()
+                h, v, _ = taken()
+                yield pa.RecordBatch.from_arrays([pa.array(own[h, 0]), pa.array(names[v, 0])], names=["a", "b"])
 
         def settle() -> Iterator[pa.RecordBatch]:
             nonlocal tile, own
@@ -167,11 +198,13 @@ def _compare(radius: int, first: int, words: int, labelled: bool):
             own = rows[:, words:]
             tile = _Tile(np.ascontiguousarray(rows[:, :words]).view(np.uint64), radius, first)
             if key is not None and key[1] == 0 and len(rows) > 1:
-                yield from links(tile.home, own, True)
+                yield from links(tile.home, own, home_sets, True)
 
         for batch in batches:
             at, part, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            rest = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3, batch.num_columns)], 1)
+            numbers = batch.num_columns - (least is not None)
+            rest = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3, numbers)], 1)
+            sets = batch.column(numbers).to_numpy(zero_copy_only=False) if least is not None else None
             if rest.shape[1] < words + 2:  # without a name of its own a fingerprint is named by its one word; without labels none counts
                 rest = np.hstack([rest, rest[:, :1] if rest.shape[1] == words else rest[:, :0], rest[:, :1]])
             edge = np.flatnonzero((at[1:] != at[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1])) + 1
@@ -181,29 +214,34 @@ def _compare(radius: int, first: int, words: int, labelled: bool):
                 if (now := (int(at[s]), int(part[s]))) != key:
                     if tile is None:
                         yield from settle()
-                    key, home, tile = now, [], None
+                    key, home, home_sets, tile, shared = now, [], [], None, None
+                own_sets = [] if sets is None else list(sets[s:e])
                 if role[s] == 0:
                     home.append(rest[s:e])
+                    home_sets += own_sets
                     continue
                 if tile is None:
                     yield from settle()
-                yield from links(np.ascontiguousarray(rest[s:e, :words]).view(np.uint64), rest[s:e, words:], False)
+                yield from links(np.ascontiguousarray(rest[s:e, :words]).view(np.uint64), rest[s:e, words:], own_sets, False)
         if tile is None:
             yield from settle()
 
     return run
 
 
-def compare_cells(cells: DataFrame, words: list[str], radius: int, first: int | None = None, node: str | None = None, label: str | None = None, tile: int = TILE, bound: int | None = None) -> DataFrame:
-    """Links (a, b) of the rows of cells(cell, targets, words..., node, label) within radius bits, all words together, and `first` in the first.
+def compare_cells(cells: DataFrame, words: list[str], radius: int, first: int | None = None, node: str | None = None, sets: tuple[str, str] | None = None, least: tuple[int, int] | None = None, tile: int = TILE, bound: int | None = None) -> DataFrame:
+    """Links (a, b) of the rows of cells(cell, targets, words..., node, ...) within radius bits, all words together, and `first` in the first.
 
     A row is compared with those of its own cell and of the cells in targets (of two cells, one names the other); null
-    targets count as none. node (bigint) names a row, else its one word does. Without label the links join the same
-    components as all such pairs; with it they are all pairs whose labels (bigint) differ. There are at most `bound` cells.
+    targets count as none. node (bigint) names a row, else its one word does. The links join the same components as all
+    such pairs. sets names two columns, of labels (bigint) and of sorted sets of hashes (array<bigint>): pairs with
+    equal labels don't count, nor do those whose sets' Jaccard similarity is below least[0] / least[1]; tiles then have so
+    many hashes as a tile of sets of 512. There are at most `bound` cells.
     """
-    cols = [*words, *([node] if node else []), *([label] if label else [])]
+    cols = [*words, *([node] if node else []), *(sets or ())]
+    size = F.sum(F.size(sets[1]) / 512.0) if sets else F.count(F.lit(1))
     name = node or words[0]
-    per = cut(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.first("targets").alias("targets")))
+    per = cut(cells.groupBy("cell").agg(size.alias("m"), F.first("targets").alias("targets")))
     load = per.select("cell", "m").unionByName(per.select(F.explode("targets").alias("cell"), "m").where("cell is not null")).groupBy("cell").agg(F.sum("m").alias("load"))
     counts = per.join(load, "cell").select("cell", F.ceil(F.col("m") / tile).cast("int").alias("n"), F.ceil(F.col("load") / (tile * SLICE_TILES)).cast("int").alias("slices"))
     several = not counts.where("n > 1").isEmpty()
@@ -220,7 +258,7 @@ def compare_cells(cells: DataFrame, words: list[str], radius: int, first: int |
         rows = rows.unionByName(own.select("cell", all_tiles(F.col("_from")), part.alias("slice"), F.lit(1).alias("role"), *cols))
     rows = rows.select((F.col("cell") * 2**20 + F.col("sub")).alias("tile"), "slice", "role", *cols)
     dealt = rows.repartition("tile", "slice").sortWithinPartitions("tile", "slice", "role")
-    return dealt.mapInArrow(_compare(radius, radius if first is None else first, len(words), label is not None), "a bigint, b bigint")
+    return dealt.mapInArrow(_compare(radius, radius if first is None else first, len(words), least), "a bigint, b bigint")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, lanes: int = LANES, tile: int = TILE) -> DataFrame:
