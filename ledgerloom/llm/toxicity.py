@@ -1,10 +1,15 @@
 """Toxicity by fuzzy lexicon matching.
 
 The lexicon is learned: words and word beginnings that toxic training texts have far more often than others, each with
-its log-odds as weight. It lies in a trie. A text's words are looked up in the trie, and a word that isn't there is
-turned into a Levenshtein automaton whose intersection with the trie finds the strong terms that it misspells. Each
-hit is weighed by its context window: within quotation marks, or among reporting words, a term is quoted rather than
-used, and counts less. A logistic model over the hits' weights gives the score.
+its log-odds as weight. It lies in a trie. A word that isn't in it, and doesn't begin as one of its beginnings, becomes
+a Levenshtein automaton, whose intersection with the trie finds the strong terms it misspells: whole words within one
+edit or swap of neighbours, and beginnings within one edit or swap of how the word begins. A filter by letter deletions
+goes first; it skips only words whose intersection is empty. A word that training knows as clean, or that begins, up to
+where it departs from the term, as clean words do, misspells nothing.
+
+Each hit is weighed by its context window: within quotation marks, or among reporting words, a term is quoted rather
+than used, and counts less. A logistic model over the hits' weights gives the score; evidence never lowers it, and
+quotation never raises it.
 """
 
 from __future__ import annotations
@@ -20,17 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches
+from ledgerloom.llm.common import cut, small_batches
 
 #: At most so many labelled rows are used for training, those first in the order of their id's hash.
 TRAIN_ROWS = 40_000
-#: Lexicon: at most so many terms; a term needs so many toxic texts, so large a log-odds, and so many standard
+#: Lexicon: a term needs so many toxic texts, so large a log-odds, and so many standard
 #: deviations more toxic texts than chance gives: with hundreds of thousands of candidates, chance alone reaches four.
-TERMS, SUPPORT, LOG_ODDS, PRIOR, DEVIATIONS = 4000, 3, 1.2, 2.0, 5.5
+SUPPORT, LOG_ODDS, PRIOR, DEVIATIONS = 3, 1.2, 2.0, 5.5
 #: A term must also stand after several different words, a quarter as many as texts or 16: the words of one text that
 #: has many near copies stand after the same each time.
 #: Strong terms, which misspellings are matched to: their least log-odds, toxic texts (however many there are), and length.
-STRONG_ODDS, STRONG_SUPPORT, STRONG_LENGTH = 3.0, 5, 5
+STRONG_ODDS, STRONG_SUPPORT, STRONG_LENGTH, STRONG_STEM = 3.0, 5, 5, 6
+#: A word or beginning in so many training texts whose own log-odds lie below this is known as clean.
+KNOWN_TEXTS, KNOWN_ODDS = 3, 1.0
 STEM_FROM, STEM_TO = 4, 10
 WINDOW, QUOTED, FUZZY = 6, 0.25, 0.7
 THRESHOLD = 0.3
@@ -38,7 +45,8 @@ _TOKEN = re.compile(r"[^\W_]+")
 _QUOTES = re.compile("[\"“”„«»]")
 #: Words that report what someone else said.
 REPORTING = frozenset("said says saying wrote writes called calls quote quoted quotes reported according dit écrit dijo dice escribió sagte sagt schrieb".split())
-N_FEATURES = 6
+#: Best term, next three, number of strong hits, density, misspellings, share that is quoted; and the sign of each weight.
+N_FEATURES, SIGNS = 6, (1, 1, 1, 1, 1, -1)
 
 
 def terms_of(text: str) -> dict[str, int]:
@@ -89,12 +97,22 @@ class Automaton:
         """Edits of an accepting state."""
         return next((e for e, bits in enumerate(state) if bits & self.end), None)
 
+    @staticmethod
+    def begins(state: tuple[int, ...]) -> int | None:
+        """Edits at which what led to the state is a beginning of the word."""
+        return next((e for e, bits in enumerate(state) if bits), None)
+
 
 def shorter(word: str) -> set[str]:
     """A word, and what is left of it without each one of its letters."""
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+def swaps(word: str) -> set[str]:
+    """word with each two neighbours swapped."""
+    return {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+
+
 @dataclass
 class Lexicon:
     """Terms with their toxic and total text counts."""
@@ -107,51 +125,84 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.trie: dict = {}
         self.strong: set[str] = set()
-        self.near: set[str] = set()  # strong terms, whole and without each one of their letters
+        self.near: set[str] = set()  # strong words, whole and without each one of their letters
+        self.stems: dict[int, set[str]] = {}  # strong beginnings by length
+        self.near_stems: dict[int, set[str]] = {}
+        self.known: set[str] = set()  # clean words and beginnings that are near strong terms
+        self.near_known: set[str] = set()  # beginnings of strong terms, whole and without each one of their letters
         self.memo: dict[str, tuple[str, int] | None] = {}
         self.weights = {t: float(log_odds(a, n, self.base)) for t, (a, n) in self.counts.items()}
         for t, (a, _) in self.counts.items():
-            if t[-1] != "*" and len(t) >= STRONG_LENGTH and a >= STRONG_SUPPORT and self.weights[t] >= STRONG_ODDS:
-                node = self.trie
-                for c in t:
-                    node = node.setdefault(c, {})
-                node[""] = t
+            node = self.trie
+            for c in t.rstrip("*"):
+                node = node.setdefault(c, {})
+            node["*" if t[-1] == "*" else ""] = t
+            if a < STRONG_SUPPORT or self.weights[t] < STRONG_ODDS:
+                continue
+            if t[-1] != "*" and len(t) >= STRONG_LENGTH:
                 self.strong.add(t)
                 self.near |= shorter(t)
+            elif t[-1] == "*" and len(t) > STRONG_STEM:
+                self.strong.add(t)
+                self.stems.setdefault(len(t) - 1, set()).add(t[:-1])
+                self.near_stems.setdefault(len(t) - 1, set()).update(shorter(t[:-1]))
+            if t in self.strong:
+                for k in range(STEM_FROM - 1, len(t.rstrip("*")) + 1):
+                    self.near_known |= shorter(t[:k])
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """(term, edits) of the best term for a word: itself, the longest learned beginning, or a strong term one edit or one swap of neighbours away."""
+        """(term, edits) of the best term for a word: itself, its longest learned beginning, or a strong term that it misspells."""
         if word in self.memo:
             return self.memo[word]
         if len(self.memo) > 300_000:
             self.memo.clear()
-        found = None
         if word in self.counts:
             found = word, 0
         else:
             found = next(((s, 0) for k in range(min(len(word) - 1, STEM_TO), STEM_FROM - 1, -1) if (s := word[:k] + "*") in self.counts), None)
             if found is None and len(word) >= STRONG_LENGTH - 1:
-                found = self._fuzzy(word)
+                found = self.misspelt(word)
         self.memo[word] = found
         return found
 
-    def _fuzzy(self, word: str) -> tuple[str, int] | None:
-        swapped = [w for i in range(len(word) - 1) if (w := word[:i] + word[i + 1] + word[i] + word[i + 2 :]) in self.strong]
+    def misspelt(self, word: str) -> tuple[str, int] | None:
+        """(term, 1) of the strong term that a word misspells: a whole word rather than a beginning, and the longest of these; of several, the first."""
+        if word in self.known:
+            return None
+        swapped = [w for w in swaps(word) if w in self.strong and not self._other(word, w)]
         if swapped:
             return min(swapped), 1
-        if self.near.isdisjoint(shorter(word)):  # within one edit, two words share a form
+        whole = not self.near.isdisjoint(shorter(word))  # within one edit, two words share a form
+        stems = [k for k in self.stems if len(word) >= k and self._may_begin(word, k)]
+        if not whole and not stems:
             return None
-        auto, best = Automaton(word, 1), None
+        auto, found = Automaton(word, 1), []
         todo = [(self.trie, auto.start())]
         while todo:
             node, state = todo.pop()
             for c, child in node.items():
-                if c == "":
-                    if (e := auto.accepts(state)) is not None and (best is None or (e, child) < (best[1], best[0])):
-                        best = child, e
-                elif nxt := auto.step(state, c):
-                    todo.append((child, nxt))
-        return best
+                if len(c) == 1 and c != "*":
+                    if nxt := auto.step(state, c):
+                        todo.append((child, nxt))
+                elif child in self.strong and (auto.accepts(state) if c == "" else auto.begins(state)) is not None:
+                    found.append(child)
+        found += [s + "*" for k in stems for s in swaps(word[:k]) if s in self.stems[k]]
+        found = [t for t in found if not self._other(word, t)]
+        return (min(found, key=lambda t: (t[-1] == "*", -len(t), t)), 1) if found else None
+
+    def _other(self, word: str, term: str) -> bool:
+        """Whether word belongs to clean words: it begins as they do from where it departs from the term on."""
+        same = next((i for i, (a, b) in enumerate(zip(word, term, strict=False)) if a != b), min(len(word), len(term)))
+        return any(word[:k] + "*" in self.known for k in range(max(same + 1, STEM_FROM), min(len(word), STEM_TO + 1)))
+
+    def may_be_known(self, term: str) -> bool:
+        """Whether it matters that a word or beginning is clean: it shares a form with a beginning of a strong term."""
+        return term not in self.counts and not self.near_known.isdisjoint(shorter(term.rstrip("*")))
+
+    def _may_begin(self, word: str, k: int) -> bool:
+        """Whether word may begin within one edit or swap of a strong beginning of k letters: the two share a form."""
+        near = self.near_stems[k]
+        return not (near.isdisjoint(shorter(word[:k])) and near.isdisjoint(shorter(word[: k + 1])) and word[: k - 1] not in near)
 
     def features(self, text: str, label: int | None = None) -> np.ndarray:
         """Features of a text. label: of a training text, whose own count is taken out of the terms' counts."""
@@ -169,7 +220,7 @@ class Lexicon:
                 continue
             term, edits = hits[w]
             weight = self.weights[term]
-            if label is not None:
+            if label is not None and not edits:  # a misspelling isn't counted for the term
                 a, n = self.counts[term]
                 weight = float(log_odds(max(a - label, 0), max(n - 1, 0), self.base))
             weight *= FUZZY if edits else 1
@@ -205,9 +256,7 @@ class Lexicon:
         return bool(x.any()) and self._logistic(x) >= threshold
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps; the penalty leaves the constant free."""
-    x = np.hstack([np.ones((len(x), 1)), x])
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     penalty = np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
     b = np.zeros(x.shape[1])
     for _ in range(30):
@@ -219,10 +268,24 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return b
 
 
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, signs: tuple[int, ...] = SIGNS) -> np.ndarray:
+    """Logistic regression by Newton steps; the penalty leaves the constant free. A weight of the wrong sign becomes 0, the worst first."""
+    x = np.hstack([np.ones((len(x), 1)), x])
+    free = list(range(x.shape[1]))
+    while True:
+        b = np.zeros(x.shape[1])
+        b[free] = _newton(x[:, free], y, ridge)
+        wrong = [k for k in free[1:] if b[k] * signs[k - 1] < 0]
+        if not wrong:
+            return b
+        free.remove(max(wrong, key=lambda k: abs(b[k])))
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = TRAIN_ROWS) -> Lexicon:
     """Lexicon and weights from docs and labels(doc_id, toxic): of rows with a label, at most `rows` ids.
 
-    Null ids, labels and texts don't count; of several labels of an id the largest does. Without a toxic or without a
+    Null ids, labels and texts don't count; of several labels of an id or a text the largest does. The lexicon has all
+    terms that stand out in the sample, so it is bounded by the sample. Without a toxic or without a
     clean text nothing is learned, and any score is the share of toxic labels.
     """
     small_batches(docs.sparkSession)
@@ -231,7 +294,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if n > rows:  # a hash leaves little more than rows, so that what the limit compares doesn't grow with the labels
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_100_000 * rows / n) + 1)
     sample = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)  # bounded, hence broadcast
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").where("text is not null").select("text", "toxic").dropDuplicates(["text"])
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").where("text is not null")
+    texts = cut(texts.groupBy("text").agg(F.max("toxic").alias("toxic")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, bad, seen = Counter(), Counter(), {}
@@ -248,16 +312,24 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([bad[t] for t in total], pa.int64()), pa.array(list(total.values()), pa.int64()), pa.array([seen.get(t, 0) for t in total], pa.int64())], names=["term", "a", "n", "places"])
 
     counts = texts.mapInArrow(count, "term string, a bigint, n bigint, places bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n"), F.bit_count(F.bit_or("places")).alias("places"))
-    counts = counts.where(f"a >= {SUPPORT} or term = ''")
+    counts = cut(counts.where(f"a >= {SUPPORT} or n >= {KNOWN_TEXTS}"))
     whole = counts.where("term = ''").first()
     if whole is None or not 0 < whole["a"] < whole["n"]:
         share = (whole["a"] / whole["n"]) if whole else 0.0
         return Lexicon(0.5, {}, 0, np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), *[0] * N_FEATURES]))
     base = whole["a"] / whole["n"]
     odds = F.log((F.col("a") + PRIOR * base) / (F.col("n") - F.col("a") + PRIOR * (1 - base))) - float(np.log(base / (1 - base)))
-    best = counts.where("term <> ''").withColumn("w", odds).where((F.col("w") >= LOG_ODDS) & (F.col("a") - F.col("n") * base >= DEVIATIONS * F.sqrt(F.col("n") * base)) & (F.col("places") >= F.least(F.greatest(F.lit(float(SUPPORT)), F.col("a") / 4), F.lit(16.0)))).orderBy(F.desc(F.col("w") * F.sqrt("a")), "term").limit(TERMS)
+    best = counts.where(f"a >= {SUPPORT} and term <> ''").withColumn("w", odds).where((F.col("w") >= LOG_ODDS) & (F.col("a") - F.col("n") * base >= DEVIATIONS * F.sqrt(F.col("n") * base)) & (F.col("places") >= F.least(F.greatest(F.lit(float(SUPPORT)), F.col("a") / 4), F.lit(16.0)))).orderBy("term")
     lexicon = Lexicon(base, {r["term"]: (r["a"], r["n"]) for r in best.collect()}, whole["a"])
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([lexicon.may_be_known(t) for t in b.column(0).to_pylist()], pa.bool_()))
+
+    clean = counts.where(f"n >= {KNOWN_TEXTS} and term <> ''").withColumn("w", odds).where(F.col("w") < KNOWN_ODDS).select("term")
+    lexicon.known = {r["term"] for r in clean.mapInArrow(near, "term string").collect()}
+    lexicon.memo.clear()
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [lexicon.features(t, y).tolist() for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
