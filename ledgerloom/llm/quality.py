@@ -41,11 +41,12 @@ def window_hashes(words: Column) -> Column:
     return F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])))
 
 
-def repeated_words(window: Column) -> Column:
-    """Number of words that lie in a window found twice or more; windows are compared by hash within a text."""
-    placed = F.sort_array(F.transform(window, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # Neighbours in the sorted order with the same hash are repeats.
-    starts = lambda p: F.sort_array(F.filter(F.transform(p, lambda x, k: F.when((x["h"] == F.get(p, k - 1)["h"]) | (x["h"] == F.get(p, k + 1)["h"]), x["i"])), lambda i: i.isNotNull()))
+def repeated_words(window: Column, words: Column) -> Column:
+    """Number of words that lie in a window found twice or more: windows with the same hash are compared by their words."""
+    placed = F.sort_array(F.transform(window, lambda h, i: F.struct(h.alias("h"), *[words[i + k].alias(f"w{k}") for k in range(3)], i.alias("i"))))
+    # Neighbours in the sorted order with the same words are repeats; other windows of the same hash don't part them.
+    same = lambda x, y: (x["h"] == y["h"]) & (x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"])
+    starts = lambda p: F.sort_array(F.filter(F.transform(p, lambda x, k: F.when(same(x, F.get(p, k - 1)) | same(x, F.get(p, k + 1)), x["i"])), lambda i: i.isNotNull()))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     fold = lambda p: F.aggregate(starts(p), zero, lambda a, s: F.struct((a["n"] + s + 3 - F.greatest(a["end"], s)).alias("n"), (s + 3).alias("end")), lambda a: a["n"])
     some = F.element_at(F.transform(F.array(placed), fold), 1)  # binds placed, so that it is computed once
@@ -62,7 +63,7 @@ def base_features(df: DataFrame) -> DataFrame:
     df = df.withColumn("n_dup_lines", F.element_at(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 1).cast("long"))
     # A column of its own, so that the hashes are computed once.
     df = df.withColumn("_windows", window_hashes(F.col("words")))
-    df = df.withColumn("n_repeat_words", repeated_words(F.col("_windows"))).drop("_windows")
+    df = df.withColumn("n_repeat_words", repeated_words(F.col("_windows"), F.col("words"))).drop("_windows")
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
 
 
