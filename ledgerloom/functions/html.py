@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -134,8 +135,9 @@ _BOLD = re.compile(r"font-weight:(bold|[6-9]00)")
 
 
 def font_points(node: Node) -> float | None:
-    m = _SIZE.search(node.style)
-    return float(m.group(1)) * (0.75 if m.group(2) == "px" else 1) if m else None
+    """The size that an element sets, in points."""
+    sizes = [float(n) * {"pt": 1, "px": 0.75}[unit] for n, unit in _SIZE.findall(node.style)]
+    return sizes[0] if sizes else None
 
 
 def is_bold(node: Node) -> bool:
@@ -144,28 +146,26 @@ def is_bold(node: Node) -> bool:
 
 def body_points(root: Node) -> float:
     """The size that most text has among elements that set one; 10 if none does."""
-    sizes: Counter = Counter()
+    sized: Counter = Counter()
     for node in root.walk():
-        own = node.kids[0] if node.kids and isinstance(node.kids[0], str) else ""
-        if own.strip() and (size := font_points(node)):
-            sizes[size] += len(own)
-    return sizes.most_common(1)[0][0] if sizes else 10.0
+        lead = node.kids[0] if node.kids and isinstance(node.kids[0], str) else ""
+        sized[font_points(node) or 0.0] += len(lead) if lead.strip() else 0
+    sized.pop(0.0, None)
+    return max(+sized, key=sized.__getitem__, default=10.0)
+
+
+def _stands_out(owner: Node, within: Node, least: float) -> bool:
+    """Whether text of owner is bold by an element up to `within`, or set in at least so many points by the nearest that sets a size."""
+    chain = [owner, *owner.up()]
+    inner = list(itertools.takewhile(lambda x: x is not within.parent, chain)) if within in chain else chain[:1]
+    size = next(filter(None, map(font_points, chain)), 0.0)
+    return size >= least or any(map(is_bold, inner))
 
 
 def emphasis(node: Node, body: float) -> float:
     """Share of an element's characters that are bold within it, or larger than body text by 1.5 points or more."""
-    total = strong = 0
-    for owner, text in node.pieces():
-        n = len(text.strip())
-        if not n:
-            continue
-        chain = [owner, *owner.up()]
-        inner = chain[: chain.index(node) + 1] if node in chain else chain[:1]
-        size = next((s for x in chain if (s := font_points(x)) is not None), None)
-        total += n
-        if any(map(is_bold, inner)) or (size is not None and size >= body + 1.5):
-            strong += n
-    return strong / total if total else 0.0
+    sizes = [(len(text.strip()), _stands_out(owner, node, body + 1.5)) for owner, text in node.pieces() if text.strip()]
+    return sum(n for n, out in sizes if out) / max(1, sum(n for n, _ in sizes))
 
 
 def sanitised(root: Node) -> Node:

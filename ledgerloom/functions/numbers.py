@@ -13,7 +13,8 @@ CITATIONS = r"\[\d+\](?:\[\d+\])*"
 PERIODS = r"\b(?:Q[1-4]|FY)\s?\d{2,4}\b"
 CALC = r"(?s)<calc>(.*?)</calc>"
 
-_NUMBER, _CITATIONS, _PERIODS, _CALC = (re.compile(p) for p in (NUMBER, CITATIONS, PERIODS, CALC))
+_NUMBER, _CALC = re.compile(NUMBER), re.compile(CALC)
+_UNSIGNED = str.maketrans("", "", "$,")
 
 
 # ------------------------------------------------------------------ expressions
@@ -144,31 +145,30 @@ def shown(value: float) -> str:
     return text.rstrip("0").rstrip(".") if abs(value) >= 1 else text.rstrip("0")
 
 
-def calculated(answer: str) -> tuple[str, list[dict]]:
-    """An answer with its <calc> marks replaced by their values, and what was calculated."""
-    log: list[dict] = []
+def _worked_out(expression: str) -> dict:
+    try:
+        value = evaluate(expression)
+    except (ValueError, ZeroDivisionError) as e:
+        return {"expression": expression, "value": None, "text": None, "error": str(e)}
+    return {"expression": expression, "value": value, "text": shown(value), "error": None}
 
-    def put(m: re.Match) -> str:
-        entry = {"expression": m.group(1), "value": None, "text": None, "error": None}
-        log.append(entry)
-        try:
-            entry["value"] = evaluate(m.group(1))
-        except (ValueError, ZeroDivisionError) as e:
-            entry["error"] = str(e)
-            return f"[calculation failed: {m.group(1)}]"
-        entry["text"] = shown(entry["value"])
-        return entry["text"]
 
-    return _CALC.sub(put, answer), log
+def calculated(answer: str) -> tuple[str, list[dict]]:
+    """An answer with its <calc> marks replaced by their values, and what was calculated."""
+    texts = _CALC.split(answer)  # text, expression, text, ...
+    log = [_worked_out(x) for x in texts[1::2]]
+    texts[1::2] = [x["text"] or f"[calculation failed: {x['expression']}]" for x in log]
+    return "".join(texts), log
 
 
 def value_of(token: str) -> float | None:
-    plain = token.replace("$", "").replace(",", "")
+    """Value of a number token, negative within parentheses; None if it is none."""
+    digits = token.translate(_UNSIGNED)
     try:
-        value = float(plain.strip("()"))
+        size = float(digits.strip("()"))
     except ValueError:
         return None
-    return -value if plain[:1] == "(" and plain[-1:] == ")" else value
+    return -size if re.fullmatch(r"\(.*\)", digits) else size
 
 
 def values_in(text: str) -> list[tuple[str, float]]:
@@ -176,21 +176,17 @@ def values_in(text: str) -> list[tuple[str, float]]:
     return [(t, abs(v)) for t in _NUMBER.findall(text) if (v := value_of(t)) is not None]
 
 
+def _claimed(token: str, size: float, percent: bool) -> bool:
+    """is_claim() for one token; a whole percentage is a claim if percent says so."""
+    plain = size.is_integer() and (size <= 31 or 1900 <= size <= 2100)
+    return not plain or percent or "$" in token or bool(re.search(r"\d,\d", token))
+
+
 def spans(answer: str, keep_percent: bool = False) -> list[tuple[int, int, str, float]]:
     """(start, end, token, absolute value) of an answer's claims; keep_percent: small whole percentages are claims too."""
-    for pattern in (_CITATIONS, _PERIODS):
-        answer = pattern.sub(lambda m: " " * len(m.group()), answer)
-    found = []
-    for m in _NUMBER.finditer(answer):
-        value = value_of(m.group())
-        if value is None:
-            continue
-        value = abs(value)
-        written_as_amount = "$" in m.group() or re.search(r"\d,\d", m.group())
-        small = value == int(value) and (value <= 31 or 1900 <= value <= 2100)
-        if not small or written_as_amount or (keep_percent and answer.startswith("%", m.end())):
-            found.append((*m.span(), m.group(), value))
-    return found
+    blank = re.sub(f"{CITATIONS}|{PERIODS}", lambda m: " " * len(m[0]), answer)
+    numbers = [(m.start(), m.end(), m[0], abs(v)) for m in _NUMBER.finditer(blank) if (v := value_of(m[0])) is not None]
+    return [n for n in numbers if _claimed(n[2], n[3], keep_percent and blank[n[1] : n[1] + 1] == "%")]
 
 
 def states(stated: float, source: float) -> bool:

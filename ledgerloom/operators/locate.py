@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import datetime as dt
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -179,47 +180,47 @@ def segment_notes(places: DataFrame, filing: str = "filing_id") -> DataFrame:
 
 def around(text: str, token: str, n: int = 4) -> tuple[str, str] | None:
     """n words on either side of the first place where token stands alone."""
-    m = re.search(rf"(?<![\d,.]){re.escape(token)}(?![\d,]|\.\d)", text)
-    return (" ".join(text[: m.start()].split()[-n:]), " ".join(text[m.end() :].split()[:n])) if m else None
+    sides = re.split(rf"(?<![\d,.]){re.escape(token)}(?![\d,]|\.\d)", text, maxsplit=1)
+    return (" ".join(sides[0].split()[-n:]), " ".join(sides[1].split()[:n])) if len(sides) == 2 else None
 
 
-def locate_text(root: H.Node, token: str, before: str, after: str, item: str | None = None, most: int = 20) -> dict | None:
-    """The smallest element that holds the token with words around it; the widest context that is found decides."""
-    nodes = list(root.walk())
-    order = {id(n): i for i, n in enumerate(nodes)}
+def _joined(root: H.Node) -> tuple[str, list[int], list[H.Node]]:
+    """A document's text with single spaces, and where in it each piece starts and which element owns it."""
     full, starts, owners = "", [], []
     for owner, piece in root.pieces():
         if owner.tag in H.SKIPPED:
             continue
-        words = " ".join(piece.split())
-        if piece[:1].isspace() and full and not full.endswith(" "):
-            full += " "
-        if words:
-            starts.append(len(full)), owners.append(owner)
-            full += words
-        if piece[-1:].isspace() and full and not full.endswith(" "):
-            full += " "
-    heads: list[tuple[int, str]] = [(i, m.group(1).upper()) for i, n in enumerate(nodes) if len(w := n.words()) < 150 and (m := ITEM.match(w))]
-    b, a = before.split(), after.split()
-    contexts = [(b[-8:], a[:8]), (b[-4:], a[:4]), (b[-4:], []), ([], a[:4])]
-    for left, right in contexts:
-        phrase = " ".join([*left, token, *right])
-        if len(phrase) < len(token) + 8:
+        for part in re.findall(r"\s+|\S.*\S|\S", piece, re.S):
+            if not part.isspace():
+                starts.append(len(full)), owners.append(owner)
+                full += " ".join(part.split())
+            elif full and full[-1] != " ":
+                full += " "
+    return full, starts, owners
+
+
+def _least_common(a: H.Node, b: H.Node) -> H.Node | None:
+    """The smallest element that holds both."""
+    above = {id(x) for x in (a, *a.up())}
+    return next((x for x in (b, *b.up()) if id(x) in above), None)
+
+
+def locate_text(root: H.Node, token: str, before: str, after: str, item: str | None = None, most: int = 20) -> dict | None:
+    """The smallest element that holds the token with words around it; the widest context that is found decides."""
+    order = {id(n): i for i, n in enumerate(root.walk())}
+    full, starts, owners = _joined(root)
+    owner_at = lambda at: owners[max(0, bisect.bisect_right(starts, at) - 1)]
+    left, right = before.split(), after.split()
+    phrases = [" ".join([*left[-m:], token, *right[:n]]) if m else " ".join([token, *right[:n]]) for m, n in ((8, 8), (4, 4), (4, 0), (0, 4))]
+    for phrase in (p for p in phrases if len(p) >= len(token) + 8):
+        holders = (_least_common(owner_at(m.start()), owner_at(m.start() + len(phrase) - 1)) for m in re.finditer(f"(?={re.escape(phrase)})", full))
+        found = list(itertools.islice({id(n): n for n in holders if n is not None}.values(), most))
+        if not found:
             continue
-        found: list[H.Node] = []
-        at = full.find(phrase)
-        while at >= 0 and len(found) < most:
-            ends = [owners[max(0, bisect.bisect_right(starts, p) - 1)] for p in (at, at + len(phrase) - 1)]
-            chain = [ends[0], *ends[0].up()]
-            node = next((x for x in (ends[1], *ends[1].up()) if x in chain), None)
-            if node is not None and node not in found:
-                found.append(node)
-            at = full.find(phrase, at + 1)
-        if found:
-            items = [next((c for i, c in reversed(heads) if i <= order[id(n)]), None) for n in found]
-            fits = [int(item is not None and x == item) for x in items]
-            best = fits.index(max(fits))
-            return {"node": order[id(found[best])], "method": "text", "unique": fits.count(fits[best]) == 1}
+        heads = [(i, m[1].upper()) for i, n in enumerate(root.walk()) if len(w := n.words()) < 150 and (m := ITEM.match(w))]
+        items = [next((code for i, code in reversed(heads) if i <= order[id(n)]), None) for n in found]
+        fitting = [n for n, own in zip(found, items, strict=True) if item is not None and own == item] or found
+        return {"node": order[id(fitting[0])], "method": "text", "unique": len(fitting) == 1}
     return None
 
 

@@ -65,11 +65,11 @@ def foreign_forms(filings: DataFrame) -> DataFrame:
 
 def constituents(html: str, least: int = 90) -> list[dict]:
     """Rows (company, ticker) of the first table on a page that has both columns and enough rows."""
-    from ledgerloom.functions.grid import spread
+    from ledgerloom.functions.grid import laid_out
     from ledgerloom.functions.html import parse
 
     for table in parse(html).find("table"):
-        head, *rows = spread(table) or [[]]
+        head, *rows = laid_out(table) or [[]]
         at = {c.strip().lower(): i for i, c in enumerate(head)}
         ticker, company = at.get("ticker", at.get("symbol")), at.get("company", at.get("security"))
         if ticker is not None and company is not None and len(rows) >= least:

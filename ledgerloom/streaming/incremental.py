@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerloom.functions.sections import Sections
+from ledgerloom.functions.sections import Place, Sections
 from ledgerloom.sources.landing import NodeStore
 
 
@@ -62,7 +62,8 @@ def section_labels(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, idx, section) of lines(doc, idx, form_type, text, bold) that come in order: the section fold as keyed state."""
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = Sections(*[None if x == "" else x for x in state.get[:-1]], state.get[-1] == "1") if state.exists else None
+        form, *place, numbered = state.get if state.exists else (None, "0")
+        s = Sections(form, Place(*[x or None for x in place]), numbered == "1") if state.exists else None
         for b in batches:
             out = []
             for r in b.sort_values("idx").to_dict("records"):
@@ -71,7 +72,7 @@ def section_labels(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
                 out.append((k[0], r["idx"], s.labels()["section"]))
             yield pd.DataFrame(out, columns=[doc, "idx", "section"])
         if s is not None:
-            state.update((s.form, s.part or "", s.item or "", s.title or "", s.note or "", s.heading or "", "1" if s.named_items else "0"))
+            state.update((s.form, *[x or "" for x in s.place], "1" if s.numbered else "0"))
 
     kind = lines.schema[doc].dataType.simpleString()
     return lines.groupBy(doc).applyInPandasWithState(update, f"{doc} {kind}, idx int, section string", "form string, part string, item string, title string, note string, heading string, named string", "append", GroupStateTimeout.NoTimeout)
