@@ -68,7 +68,7 @@ class Engine:
 
     def bm25(self, questions: DataFrame, k: int, where: Column | None = None) -> DataFrame:
         docs = self._filtered("children", where).select("node_id", F.col("embedded").alias("text"))
-        return K.top_k(K.bm25_scores(docs, questions.select("qid", F.col("question").alias("text")), "qid", "node_id"), k, "qid", "node_id")
+        return K.bm25_top(docs, questions.select("qid", F.col("question").alias("text")), k, "qid", "node_id")
 
     def dense(self, questions: DataFrame, k: int, where: Column | None = None, vector: Column | None = None) -> DataFrame:
         q = questions.select("qid", (self.models.embed(F.col("question")) if vector is None else vector).alias("q"))

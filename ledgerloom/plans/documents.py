@@ -154,7 +154,7 @@ def bm25_idf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    return K.top_k(K.bm25_scores(table(spark, sf, "documents"), table(spark, sf, "benchmark")), k, "item_id", "doc_id")
+    return K.bm25_top(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k)
 
 
 def _top_sql(k: int) -> str:
@@ -195,10 +195,7 @@ def _dense(spark: SparkSession, sf: str, k: int) -> DataFrame:
 
 
 def _euclid(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    packed = _queries(spark, sf).agg(F.collect_list(F.struct("qid", "q")).alias("qs"))  # the stated queries
-    rows = _vectors(spark, sf).crossJoin(F.broadcast(packed)).select("vec_id", "v", F.explode("qs").alias("x"))
-    d = F.zip_with("x.q", "v", lambda a, b: a.cast("double") - b.cast("double"))
-    return K.top_k(rows.select(F.col("x.qid").alias("qid"), "vec_id", (-F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, y: s + y * y))).alias("score")), k, "qid", "vec_id")
+    return K.top_k(K.distance_scores(_queries(spark, sf), _vectors(spark, sf), "qid", "vec_id"), k, "qid", "vec_id")
 
 
 @query(f"WITH {_COS} SELECT qid, vec_id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10")

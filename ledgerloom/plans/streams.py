@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,10 @@ def _shared(spark: SparkSession) -> str:
     """A fresh folder that all executors share: below the session's checkpoint folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp())
     return f"{sc.getCheckpointDir()}/{uuid.uuid4()}"
 
 
@@ -85,18 +87,16 @@ def html_elements(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics of all pages' elements, without running headers."""
     from ledgerloom.operators import parsing
 
-    pages = table(spark, sf, "pages")
-    rows = parsing.elements(parsing.html_blocks(pages, "page_id", "html"), pages.select("page_id", F.lit("10-Q").alias("form_type")), "page_id")
+    rows = parsing.document_elements(table(spark, sf, "pages").withColumn("form_type", F.lit("10-Q")), "page_id", "html")
     return parsing.stats(rows, "page_id").select("page_id", "n_heading", "n_paragraph", "n_table", "n_footnote", "chars", "pct_chars_unsectioned")
 
 
 @query()
 def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Parents and children of all pages with their ids."""
-    from ledgerloom.operators import chunking, parsing
+    from ledgerloom.operators import chunking
 
-    pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("filing_id"), "html", "url")
-    facts = pages.select("filing_id", F.lit("10-Q").alias("form_type"), F.concat(F.lit("acc-"), F.col("filing_id")).alias("accession_number"), F.lit("2025").alias("fiscal_year"), F.lit("Q1").alias("fiscal_period"), F.lit("2025-03-31").alias("period_of_report"))
-    rows = parsing.elements(parsing.html_blocks(pages, "filing_id", "html"), facts, "filing_id")
-    nodes = chunking.chunks(rows, facts)
+    pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("filing_id"), "html")
+    facts = {"form_type": F.lit("10-Q"), "accession_number": F.concat(F.lit("acc-"), F.col("filing_id")), "fiscal_year": F.lit("2025"), "fiscal_period": F.lit("Q1"), "period_of_report": F.lit("2025-03-31")}
+    nodes = chunking.document_chunks(pages.withColumns(facts), content="html")
     return nodes.select("filing_id", "node_id", "parent_id", "node_type", "section", "n_tokens")

@@ -93,3 +93,13 @@ def test_upsert_and_as_of(spark):
     right = spark.createDataFrame([("k", 2, "a"), ("k", 5, "b")], "k string, at int, v string")
     got = {(r["k"], r["t"]): r["v"] for r in R.as_of(left, right, ["k"], "t", "at", ["v"]).collect()}
     assert got == {("k", 1): None, ("k", 5): "b", ("z", 5): None}
+
+
+@pytest.mark.parametrize("block", [2, 2000])
+def test_best_by_document_is_the_best_of_all(spark, block):
+    docs = spark.createDataFrame([(i, f"w{i % 3} common w{i % 7} " * (1 + i % 4) + "filler " * (i % 5)) for i in range(120)] + [(200, None), (201, "")], "doc_id bigint, text string").repartition(5)
+    queries = spark.createDataFrame([(1, "common w1"), (2, "w2 w5 w2"), (3, "nothing here"), (4, None), (5, "common")], "item_id bigint, text string")
+    want = K.top_k(K.bm25_scores(docs, queries), 7, "item_id", "doc_id")
+    rows = lambda df: sorted((r["item_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    assert rows(K.bm25_top(docs, queries, 7, block=block)) == rows(want) and want.count() == 21
+    assert K.bm25_top(docs.limit(0), queries, 7).count() == 0
