@@ -299,7 +299,25 @@ def verify_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return claims.groupBy("conv_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("known").isNull()).alias("unsupported"))
 
 
-@query()
+_PRICES = "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders"
+
+
+@query(f"""SELECT o_orderkey, 5 AS n_numbers, 3 + (p < 1000 AND round(p / 1000.0, 1) NOT IN (0, 1))::INT AS n_claims, 1 + (p < 1000 AND round(p / 1000.0, 1) NOT IN (0, 1))::INT AS n_unsupported FROM ({_PRICES}) WHERE p < 1000
+UNION ALL SELECT o_orderkey, 5, 2 + (NOT (t = floor(t) AND t <= 31))::INT, 1 FROM (SELECT *, round(p / 1000.0, 1) AS t FROM ({_PRICES}) WHERE p >= 1000)""")
+def verify_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers with a right amount, the same in thousands, one that no source has, a year and a citation: which are claims, and which lack support."""
+    p = F.floor("o_totalprice").cast("long")
+    amount = lambda v: F.concat(F.lit("$"), F.format_number(v, 0))
+    answer = F.concat(F.lit("The total was "), amount(p), F.lit(" [1] or "), F.format_string("%.1f", p / 1000), F.lit(" thousand and not "), amount(p + 1), F.lit(" in 2024."))
+    rows = table(spark, sf, "orders").select("o_orderkey", answer.alias("answer"), F.concat(F.lit("Total: "), amount(p)).alias("sources"))
+    return rows.select("o_orderkey", F.size(N.number_tokens(F.col("answer"))).alias("n_numbers"), F.size(N.claims(F.col("answer"))).alias("n_claims"), F.size(N.unsupported(F.col("answer"), F.col("sources"))).alias("n_unsupported"))
+
+
+_SHOWN = "CASE WHEN abs(v - round(v)) < 1e-9 THEN format('{:,}', CAST(round(v) AS BIGINT)) WHEN abs(v) >= 1 THEN rtrim(rtrim(format('{:,.2f}', v), '0'), '.') ELSE rtrim(format('{:.4f}', v), '0') END"
+
+
+@query(f"""SELECT o_orderkey, 'up ' || {_SHOWN} || '% or [calculation failed: ' || p || ' / 0]' AS text, 2 AS n_calcs
+FROM (SELECT o_orderkey, printf('%.2f', o_totalprice) AS p, (CAST(printf('%.2f', o_totalprice) AS DOUBLE) - 100) / 100 * 100 AS v FROM orders)""")
 def calc_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Calculations written into an answer for each order, evaluated without eval() in an Arrow function."""
     import pandas as pd

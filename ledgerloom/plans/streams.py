@@ -60,6 +60,21 @@ def stream_session(spark: SparkSession, sf: str) -> DataFrame:
     return S.sessions(spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts"))
 
 
+@query("""WITH s AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INT AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k""")
+def stream_session_live(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of a stream in complete mode, their state kept by Spark: each batch's result replaces the table."""
+    at = _shared(spark)
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.withColumn("start", F.col("start").cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{at}/out")
+
+    out = S.sessions(_events(spark, sf).select("user_id", "ts"))
+    out.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
 @query("SELECT event_type, least(count(*), 200) AS n FROM events GROUP BY 1")
 def stream_last_n(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes of the last-200 windows by type, from keyed state."""
