@@ -88,36 +88,41 @@ def _cells(nodes: DataFrame, least: Fraction, far: int) -> DataFrame:
 
 def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     """The rows of pairs(a, b) whose whole sets are similar. rows(_rid, text) are read again for the texts asked for only."""
-    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("_rid")).distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_rid")).distinct().persist()
     few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     whole = cut(_whole(rows.join(F.broadcast(asked) if few else asked, "_rid", "left_semi"), shingle))
     sa, sb = (whole.select(F.col("_rid").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+    asked.unpersist()
     both = pairs.join(sa, "a").join(sb, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     p, q = least.numerator, least.denominator
     return both.where(F.col("common") * (p + q) >= (F.size("sa") + F.size("sb")) * p).select("a", "b")
 
 
-def _links(nodes: DataFrame, rows: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """Links (a, b) of nodes(node, n, f0, f1) that join the same components as all similar pairs within the radius."""
+def _roots(nodes: DataFrame, rows: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """(node, root) of the nodes(node, n, f0, f1) that all similar pairs within the radius join to others."""
     far, first = radius(float(least), 128), radius(float(least), 64)
     bound = (_CLASSES + 2) * _BASE if least > Fraction(9, 10) else math.ceil(math.log(2**63) / math.log(1 / float(least)) + 2) * _BASE
     words = ["f0", "f1"]
     cells = _cells(nodes, least, far)
     forest = cut(compare_cells(cells.select("cell", "targets", *words, "node"), words, far, first, "node", bound=bound).distinct())
     joined = cut(_similar(forest, rows, shingle, least))
-    failed = cut(forest.join(joined, ["a", "b"], "left_anti"))
-    if failed.isEmpty():
-        return joined
-    group = cut(components(forest))  # of those with a failed pair, all members are compared again
-    open_roots = failed.select(F.col("a").alias("node")).join(group, "node").select("root").distinct()
-    again = group.join(open_roots, "root", "left_semi").select("node")
-    label = components(joined).withColumnRenamed("root", "label")
-    cells = cells.join(again, "node", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    label = cut(components(joined).withColumnRenamed("root", "label"))
+    failed = forest.join(joined, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # A forest's path from one label to another has a failed pair next to each of the labels between which it runs.
+    labelled = failed.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    again = cut(labelled.join(label.withColumnRenamed("node", "_m"), "label", "left").select("label", F.explode(F.array_distinct(F.array_compact(F.array("node", "_m")))).alias("node")).distinct())
+    if again.isEmpty():
+        return label.withColumnRenamed("label", "root")
     few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    keys = again.withColumnRenamed("node", "_rid")
+    keys = again.select(F.col("node").alias("_rid"))
     whole = _whole(rows.join(F.broadcast(keys) if few else keys, "_rid", "left_semi"), shingle).withColumnRenamed("_rid", "node")
-    cells = cut(cells.select("cell", "targets", *words, "node", "label").join(whole, "node"))
-    return joined.unionByName(compare_cells(cells, words, far, first, "node", ("label", "s"), (least.numerator, least.denominator), bound=bound))
+    cells = cut(cells.select("cell", "targets", *words, "node").join(again, "node").join(whole, "node"))
+    more = compare_cells(cells, words, far, first, "node", ("label", "s"), (least.numerator, least.denominator), bound=bound)
+    of = lambda end: again.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+    between = more.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    higher = components(between).withColumnRenamed("node", "label")
+    every = label.unionByName(again.select("node", "label")).distinct()
+    return every.join(higher, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -133,10 +138,10 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     ids, texts = rows.select("_rid", "doc_id"), rows.select("_rid", "text")
     sets = cut(_sets(texts, shingle))
     nodes = cut(sets.groupBy("key").agg(F.min("_rid").alias("node"), *[F.first(c).alias(c) for c in ("n", "f0", "f1")]))
-    named = cut(sets.select("_rid", "key").join(nodes.select("key", "node"), "key").select("_rid", "node"))
+    named = sets.select("_rid", "key").join(nodes.select("key", "node"), "key").select("_rid", "node")
     if least < 1:  # equal sets are one node
-        links = _links(nodes.where("n > 0").drop("key"), texts, shingle, least)
-        named = named.join(components(links), "node", "left").select("_rid", F.coalesce("root", "node").alias("root"))
+        roots = cut(_roots(nodes.where("n > 0").drop("key"), texts, shingle, least))
+        named = named.join(roots, "node", "left").select("_rid", F.coalesce("root", "node").alias("root"))
     named = named.withColumnRenamed("node", "root").join(ids, "_rid")
     least_id = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rid")).alias("least"))
     return named.join(least_id, "root").select("_rid", "doc_id", F.col("least.doc_id").alias("component_id"), F.col("least._rid").alias("keep_rid"))
