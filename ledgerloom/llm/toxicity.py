@@ -3,8 +3,8 @@
 The lexicon is learned: words and word beginnings that toxic training texts have far more often than others, each with
 its log-odds as weight. It lies in a trie. A word that isn't in it, and doesn't begin as one of its beginnings, becomes
 a Levenshtein automaton, whose intersection with the trie finds the strong terms it misspells: whole words within one
-edit or swap of neighbours, and beginnings within one edit or swap of how the word begins. A filter by letter deletions
-goes first; it skips only words whose intersection is empty. A word that training knows as clean, or that begins, up to
+edit or swap of neighbours, and beginnings within one edit or swap of how the word begins. A filter by halves goes first:
+an edit leaves one half of a term as it is, so it skips only words whose intersection is empty. A word that training knows as clean, or that begins, up to
 where it departs from the term, as clean words do, misspells nothing.
 
 Each hit is weighed by its context window: within quotation marks, or among reporting words, a term is quoted rather
@@ -108,6 +108,27 @@ def shorter(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+class Halves:
+    """Terms of one length by their halves, and by the first half with its last letter swapped with the next."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.half = length, length // 2
+        self.first: set[str] = set()
+        self.second: set[str] = set()
+        self.crossed: set[str] = set()
+
+    def add(self, term: str) -> None:
+        h = self.half
+        self.first.add(term[:h])
+        self.second.add(term[h:])
+        self.crossed.add(term[: h - 1] + term[h] + term[h - 1])
+
+    def may_match(self, word: str) -> bool:
+        """Whether word may begin within one edit or swap of a term."""
+        h, n = self.half, self.length
+        return word[:h] in self.first or word[h:n] in self.second or word[h - 1 : n - 1] in self.second or word[h + 1 : n + 1] in self.second or word[: h + 1] in self.crossed
+
+
 def swaps(word: str) -> set[str]:
     """word with each two neighbours swapped."""
     return {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
@@ -125,9 +146,8 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.trie: dict = {}
         self.strong: set[str] = set()
-        self.near: set[str] = set()  # strong words, whole and without each one of their letters
-        self.stems: dict[int, set[str]] = {}  # strong beginnings by length
-        self.near_stems: dict[int, set[str]] = {}
+        self.words: dict[int, Halves] = {}  # strong words by length
+        self.stems: dict[int, Halves] = {}  # strong beginnings by length
         self.known: set[str] = set()  # clean words and beginnings that are near strong terms
         self.near_known: set[str] = set()  # beginnings of strong terms, whole and without each one of their letters
         self.memo: dict[str, tuple[str, int] | None] = {}
@@ -141,11 +161,10 @@ class Lexicon:
                 continue
             if t[-1] != "*" and len(t) >= STRONG_LENGTH:
                 self.strong.add(t)
-                self.near |= shorter(t)
+                self.words.setdefault(len(t), Halves(len(t))).add(t)
             elif t[-1] == "*" and len(t) > STRONG_STEM:
                 self.strong.add(t)
-                self.stems.setdefault(len(t) - 1, set()).add(t[:-1])
-                self.near_stems.setdefault(len(t) - 1, set()).update(shorter(t[:-1]))
+                self.stems.setdefault(len(t) - 1, Halves(len(t) - 1)).add(t[:-1])
             if t in self.strong:
                 for k in range(STEM_FROM - 1, len(t.rstrip("*")) + 1):
                     self.near_known |= shorter(t[:k])
@@ -167,15 +186,16 @@ class Lexicon:
 
     def misspelt(self, word: str) -> tuple[str, int] | None:
         """(term, 1) of the strong term that a word misspells: a whole word rather than a beginning, and the longest of these; of several, the first."""
-        if word in self.known:
+        n = len(word)
+        whole = any(k in self.words and self.words[k].may_match(word) for k in (n - 1, n, n + 1))
+        stems = [k for k, halves in self.stems.items() if n >= k and halves.may_match(word)]
+        if not (whole or stems) or word in self.known:
             return None
+        if not whole:
+            word = word[: STEM_TO + 2]  # only how it begins matters
         swapped = [w for w in swaps(word) if w in self.strong and not self._other(word, w)]
         if swapped:
             return min(swapped), 1
-        whole = not self.near.isdisjoint(shorter(word))  # within one edit, two words share a form
-        stems = [k for k in self.stems if len(word) >= k and self._may_begin(word, k)]
-        if not whole and not stems:
-            return None
         auto, found = Automaton(word, 1), []
         todo = [(self.trie, auto.start())]
         while todo:
@@ -186,7 +206,7 @@ class Lexicon:
                         todo.append((child, nxt))
                 elif child in self.strong and (auto.accepts(state) if c == "" else auto.begins(state)) is not None:
                     found.append(child)
-        found += [s + "*" for k in stems for s in swaps(word[:k]) if s in self.stems[k]]
+        found += [s + "*" for k in stems for s in swaps(word[:k]) if s + "*" in self.strong]
         found = [t for t in found if not self._other(word, t)]
         return (min(found, key=lambda t: (t[-1] == "*", -len(t), t)), 1) if found else None
 
@@ -199,11 +219,6 @@ class Lexicon:
         """Whether it matters that a word or beginning is clean: it shares a form with a beginning of a strong term."""
         return term not in self.counts and not self.near_known.isdisjoint(shorter(term.rstrip("*")))
 
-    def _may_begin(self, word: str, k: int) -> bool:
-        """Whether word may begin within one edit or swap of a strong beginning of k letters: the two share a form."""
-        near = self.near_stems[k]
-        return not (near.isdisjoint(shorter(word[:k])) and near.isdisjoint(shorter(word[: k + 1])) and word[: k - 1] not in near)
-
     def features(self, text: str, label: int | None = None) -> np.ndarray:
         """Features of a text. label: of a training text, whose own count is taken out of the terms' counts."""
         low = text.lower()
