@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ledgerloom.llm import mixing, toxicity
 from tests.llm.test_exactdedup import LOWER
-from tests.llm.test_simhash import roots, slow_fingerprint
+from tests.llm.test_nearcopies import kept as kept_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,9 +28,8 @@ def test_stages(spark, docs, tmp_path):
                 best[t.translate(LOWER)] = max(d, best.get(t.translate(LOWER), d))
             expected = {d: expected[d] for d in best.values()}
         elif name == "near dedup":
-            ids = sorted(expected)
-            root = roots([slow_fingerprint(expected[d]) for d in ids], 2)
-            expected = {d: expected[d] for i, d in enumerate(ids) if root[i] == i}
+            left = kept_of(list(expected.items()))
+            expected = {d: t for d, t in expected.items() if d in left}
         elif name == "mixing":
             copies = {r["doc_id"]: r["copies"] for r in mixing.mix(kept).collect()}
             assert {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()} == {d: n for d, n in copies.items() if n}
@@ -47,6 +46,19 @@ def test_run_gives_what_the_stages_give(spark):
     assert rows.columns[0] == "doc_id" and rows.count() > 0
 
 
+def test_run_against_the_plain_stages(spark, docs):
+    lexicon = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if not lexicon.rejects(r["text"], toxicity.THRESHOLD)}
+    best = {}
+    for d, t in texts.items():
+        best[t.translate(LOWER)] = max(d, best.get(t.translate(LOWER), d))
+    ids = kept_of([(d, texts[d]) for d in best.values()])
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs.where(F.col("doc_id").isin(sorted(ids)))).collect()}
+    rows = corpus_pipeline.run(spark, SF).groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] // r["doc_tokens"] for r in rows} == {d: n for d, n in copies.items() if n}
+    assert all(r["n"] % r["doc_tokens"] == 0 for r in rows)
+
+
 def test_odd_rows(spark, odd, tmp_path):
     odd.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 1), (6, 0)], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
