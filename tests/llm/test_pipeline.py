@@ -70,3 +70,8 @@ def test_empty_table(spark, none, k, tmp_path):
     spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = corpus_pipeline.STAGES[k][1](spark, none, str(tmp_path))
     assert out.count() == 0 and out.columns == none.columns
+
+
+def test_packing_of_an_empty_table(spark, none):
+    out = corpus_pipeline.STAGES[4][1](spark, none, SF)
+    assert out.count() == 0 and out.columns[0] == "doc_id"

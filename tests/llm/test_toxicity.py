@@ -100,3 +100,53 @@ def test_rare_terms_are_matched_when_misspelled():
         swap = term[:i] + term[i + 1] + term[i] + term[i + 2 :]
         assert lexicon.match(swap) in [(t, int(t != swap)) for t in terms if sorted(t) == sorted(swap)]
     assert T.Lexicon(0.1, {"worthless": (5, 5)}, 4000).match("wrothless") == ("worthless", 1)
+
+
+def test_misspelt_beginnings_and_clean_families():
+    lexicon = T.Lexicon(0.1, {"grumbl*": (20, 20), "worthless": (40, 41), "the": (9, 90)}, 100)
+    assert lexicon.match("grumbling") == ("grumbl*", 0)
+    for w in ("grmbling", "grunbling", "grummbling", "gurmbling"):  # a letter less, another, one more, two swapped
+        assert lexicon.match(w) == ("grumbl*", 1)
+    assert lexicon.match("worthlexs") == ("worthless", 1) and lexicon.match("forthless") == ("worthless", 1)
+    lexicon.known, lexicon.memo = {"forth*", "grumy*"}, {}  # clean words begin so
+    assert lexicon.match("forthless") is None and lexicon.match("worthlexs") == ("worthless", 1)
+    assert lexicon.match("x" * 200_000) is None
+
+
+def test_weights_have_their_signs():
+    """Against plain gradient descent where no sign is wrong; a wrong one becomes 0."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [2.0, 0.5, -1.0] - 0.5)))).astype(float)
+    b = T._fit(x, y, 1.0, (1, 1, -1))
+    slow = np.zeros(4)
+    full, penalty = np.hstack([np.ones((400, 1)), x]), np.array([1e-6, 1, 1, 1])
+    for _ in range(20_000):
+        slow -= 0.005 * (full.T @ (1 / (1 + np.exp(-full @ slow)) - y) + penalty * slow)
+    assert np.allclose(b, slow, atol=1e-3)
+    assert T._fit(x, y, 1.0, (1, 1, 1))[3] == 0 and (T._fit(x, y, 1.0, (1, 1, 1))[1:3] > 0).all()
+
+
+def test_used_and_quoted_abuse(spark):
+    """Trained on texts that use a term and clean ones that report it, the score parts the two in texts not seen."""
+    rng = random.Random(11)
+    words = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("ran", "tel", "mos")]
+    plain = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    used = lambda: f"{plain(8)} you {rng.choice(words)} grumblot {plain(8)}"
+    told = lambda: f'{plain(8)} he said "{rng.choice(words)} grumblot {rng.choice(words)}" {plain(8)}'
+    rows = [(i, used() if i % 4 == 0 else told() if i % 40 == 1 else plain(20), int(i % 4 == 0)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = T.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert "grumblot" in lexicon.counts
+    abusive, quoted = [lexicon.score(used()) for _ in range(20)], [lexicon.score(told()) for _ in range(20)]
+    assert min(abusive) >= T.THRESHOLD > max(quoted)
+    assert lexicon.score(used().replace("grumblot", "grunblot")) > max(lexicon.score(plain(20)) for _ in range(20))
+
+
+def test_a_text_with_two_labels_is_toxic(spark):
+    """Whatever row comes first, a text with both labels counts once, as toxic."""
+    df = spark.createDataFrame([(i, "same text here" if i < 2 else f"other text {i}", int(i == 1)) for i in range(8)], "doc_id bigint, text string, toxic int")
+    found = [T.train(x.drop("toxic"), df.select("doc_id", "toxic")) for x in (df, df.orderBy("doc_id", ascending=False))]
+    assert found[0].counts == found[1].counts and (found[0].beta == found[1].beta).all()

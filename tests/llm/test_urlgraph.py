@@ -115,3 +115,13 @@ def test_a_long_chain_converges(spark):
     got = {r["host"]: r["score"] for r in U.personalised_pagerank(against, seeds, tolerance=0.1).collect()}
     assert got["h0.test"] == pytest.approx(0.15 * 0.85**11)
     assert sum(got.values()) > 0.8
+
+
+def test_clashing_names_and_long_pages(spark):
+    """Columns of the operator's own names are left alone; a page of many links is one row."""
+    long = '<a href="http://bad.example.net/x">' * 20_000
+    pages = [(20, "http://hub.test/", long), (21, "http://bad.example.net/de/1", "x" * 1_000_000), (22, "http://" + "h" * 5000 + ".test/", None)]
+    assert judged(spark, pages) == slow(pages)
+    names = "src, dst, w, out, p, mass, score, distrust, path, r, v, n".split(", ")
+    df = spark.createDataFrame([(*p, *["?"] * len(names)) for p in PAGES], "page_id bigint, url string, html string, " + ", ".join(f"{n} string" for n in names))
+    assert sorted((tuple(r) for r in U.judge(df).select("page_id", "host", "path", "rule", "verdict").collect()), key=repr) == slow(PAGES)
