@@ -76,7 +76,7 @@ class Engine:
 
     def hyde_dense(self, questions: DataFrame, k: int, where: Column | None = None) -> DataFrame:
         """Dense by the mean of the question's vector and that of a passage that might answer it."""
-        passage = F.udf(self.models.passage, "string").asNondeterministic()  # stays a column of its own
+        passage = F.udf(self.models.passage, "string", useArrow=True).asNondeterministic()  # stays a column of its own
         rows = questions.withColumn("_passage", passage("question"))
         return self.dense(rows, k, where, K.mean_vector(self.models.embed(F.col("_passage")), self.models.embed(F.col("question"))))
 
@@ -94,7 +94,7 @@ class Engine:
     def sub_questions(self, questions: DataFrame) -> DataFrame:
         """(qid, list_no, question): questions with a cue of several facts are split, the others stay; the split alone runs in Python."""
         cued = T.needs_decomposition(F.col("question"))
-        split = F.udf(self.models.decompose, "array<string>")
+        split = F.udf(self.models.decompose, "array<string>", useArrow=True)
         subs = F.when(cued, split("question")).otherwise(F.array("question"))
         return questions.select("qid", F.posexplode(subs).alias("list_no", "question"))
 
@@ -125,7 +125,7 @@ class Engine:
         rows = questions.join(read, "qid", "left").withColumn("s", F.coalesce("s", F.array().cast(read.schema["s"].dataType)))
         rows = rows.withColumn("contexts", F.transform("s", lambda x, i: F.concat(F.lit("Source "), (i + 1).cast("string"), F.lit(":\n"), x["read"])))
         said = F.when(F.size("s") > 0, self.models.answer(F.col("question"), F.array_join("contexts", "\n\n"))).otherwise(F.lit(f"The sources {T.REFUSAL}."))
-        calc = F.udf(lambda a: N.calculated(a)[0], "string")
+        calc = F.udf(lambda a: N.calculated(a)[0], "string", useArrow=True)
         rows = rows.withColumn("answer", said).withColumn("answer", F.when(F.contains("answer", F.lit("<calc>")), calc("answer")).otherwise(F.col("answer")))
         sources = F.transform("s", lambda x, i: F.struct((i + 1).alias("n"), x["unit"].alias("node_id"), x["filing_id"].alias("filing_id")))
         return rows.select("qid", "question", "answer", "contexts", sources.alias("sources"), N.unsupported(F.col("answer"), F.concat(F.array_join("contexts", "\n"), F.lit(" "), F.col("question"))).alias("unverified"), T.is_refusal(F.col("answer")).alias("refused"))
