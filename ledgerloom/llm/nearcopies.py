@@ -110,7 +110,8 @@ def _roots(nodes: DataFrame, rows: DataFrame, shingle: int, least: Fraction) ->
     failed = forest.join(joined, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # A forest's path from one label to another has a failed pair next to each of the labels between which it runs.
     labelled = failed.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    again = cut(labelled.join(label.withColumnRenamed("node", "_m"), "label", "left").select("label", F.explode(F.array_distinct(F.array_compact(F.array("node", "_m")))).alias("node")).distinct())
+    members = label.join(labelled.select("label").distinct(), "label", "left_semi").select("node", "label")
+    again = cut(members.unionByName(labelled).distinct())
     if again.isEmpty():
         return label.withColumnRenamed("label", "root")
     few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
