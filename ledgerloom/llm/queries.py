@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exactdedup, langid, mixing, packing, perplexity, quality, simhash, tokencount, toxicity, urlgraph
-from ledgerloom.llm.common import documents
+from ledgerloom.llm import exactdedup, filteraudit, langid, merkle, mixing, packing, perplexity, quality, simhash, tokencount, toxicity, urlgraph
+from ledgerloom.llm.common import LOWER, UPPER, documents
 from ledgerloom.plans.registry import spread
 
 
@@ -64,7 +64,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(spread(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_toxicity, op4_url_graph, op5_mixing, op6_exact_dedup, op7_simhash, op8_packing, op9_perplexity, op10_token_counts)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = {"text": merkle.lower_cased_thirds(F.col("doc_id"), F.col("text"))}
+    return merkle.manifest(documents(spark, sf_dir), tampered=tampered)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_toxicity, op4_url_graph, op5_mixing, op6_exact_dedup, op7_simhash, op8_packing, op9_perplexity, op10_token_counts, op12_filter_audit, op13_merkle_manifest)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -129,7 +138,65 @@ def _op4_sql() -> str:
     return f"WITH {', '.join(parts)} SELECT page_id, r.host, path, rule, CASE WHEN rule IN ({blocked}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE {own} END AS verdict FROM r LEFT JOIN a{n} ON r.host = a{n}.host LEFT JOIN b{n} ON r.host = b{n}.host"
 
 
+_OP12_SQL = rf"""
+WITH d AS (SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+k AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, map {{'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t),
+  'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)}} AS fails FROM d LEFT JOIN k ON k.doc_id = d.doc_id),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT *, list_filter([1, 2, 3, 4, 5], lambda i: fails[filter_order[i]])[1] AS gone, unnest([1, 2, 3, 4, 5]) AS step FROM f, o),
+c AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS x, count(*) FILTER (gone IS NULL OR gone > step) AS kept, count(*) FILTER (gone = step) AS removed,
+  count(*) FILTER (gone < step AND fails[filter_order[step]]) AS redundant, count(*) FILTER (fails[filter_order[step]] AND len(list_filter(map_values(fails), lambda y: y)) = 1) AS unique_fails,
+  count(*) FILTER (gone = step AND good = 1) AS good_lost, count(*) FILTER (gone = step AND toxic = 1) AS toxic_lost FROM s GROUP BY ALL)
+SELECT * EXCLUDE (x), CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM c"""
+
+
+def _op13_sql(levels: int = 8) -> str:
+    """The tree with each level a table of its own; `levels` of them hold 8 ** levels rows of a language."""
+    value = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda t: f"sha256({' || '.join(value(t if c == 'text' else c) for c in ('doc_id', 'source', 'lang', 'n_chars', 'text'))})"
+    # CRC-32 bit by bit: a byte is taken in, then eight shifts.
+    digits = "CAST(doc_id AS VARCHAR)"
+    bits = f"list_prepend(4294967295, flatten(list_transform(range(1, length({digits}) + 1), lambda i: [CAST(ascii(substr({digits}, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])))"
+    crc = f"xor(list_reduce({bits}, lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
+    lower = f"translate(text, '{UPPER}', '{LOWER}')"
+    bent = f"CASE WHEN coalesce({crc} % 3 = 0, false) THEN {lower} ELSE text END"
+    parts = [
+        f"d AS (SELECT row_number() OVER () AS rid, doc_id, lang, {leaf('text')} AS leaf, {leaf('bent')} AS held FROM (SELECT *, {bent} AS bent FROM documents))",
+        "a0 AS MATERIALIZED (SELECT rid, lang, leaf AS h, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d)",
+    ]
+
+    def up(t: str, g: str) -> None:
+        for k in range(1, levels + 1):
+            parts.append(f"{t}{k} AS MATERIALIZED (SELECT {g}, i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (any_value(n) + 7) // 8 AS n FROM {t}{k - 1} GROUP BY {g}, i // 8)")
+
+    def path(t: str, g: str, start: str, keep: str) -> str:
+        """Every leaf with the siblings of all levels, and the folded hash, level by level."""
+        names = []
+        for k in range(levels):
+            sib = f"(SELECT {g}, i // 8 AS p, list(h ORDER BY i) AS run FROM {t}{k} WHERE n > 1 GROUP BY ALL)"
+            prev = start if k == 0 else names[-1]
+            names.append(f"{t}p{k}")
+            parts.append(
+                f"{t}p{k} AS MATERIALIZED (SELECT {keep}, x.{g}, x.i // 8 AS i, x.proof || coalesce(array_to_string(run[:x.i % 8] || run[x.i % 8 + 2:], ''), '') AS proof, "
+                f"CASE WHEN run IS NULL THEN held ELSE sha256(array_to_string(run[:x.i % 8] || [held] || run[x.i % 8 + 2:], '')) END AS held FROM {prev} x LEFT JOIN {sib} s ON s.{g} IS NOT DISTINCT FROM x.{g} AND s.p = x.i // 8)"
+            )
+        return names[-1]
+
+    up("a", "lang")
+    parts.append("s0 AS (SELECT *, '' AS proof FROM a0 JOIN (SELECT rid, doc_id, leaf, held FROM d) USING (rid))")
+    low = path("a", "lang", "s0", "rid, doc_id, leaf")
+    parts.append(f"b0 AS MATERIALIZED (SELECT 0 AS g, lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM a{levels})")
+    up("b", "g")
+    parts.append(f"t0 AS (SELECT rid, doc_id, leaf, x.lang, b.h AS subroot, 0 AS g, b.i AS i, x.proof, x.held FROM {low} x JOIN b0 b ON b.lang IS NOT DISTINCT FROM x.lang)")
+    high = path("b", "g", "t0", "rid, doc_id, leaf, subroot")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, r.h AS root, sha256(x.proof) AS proof_sha256, held AS folded_root, held = r.h AS verified FROM {high} x, b{levels} r"
+
+
 ORACLE_SQL = {
+    "op12_filter_audit": _OP12_SQL,
+    "op13_merkle_manifest": _op13_sql(),
     "op2_quality_rules": _OP2_SQL,
     "op4_url_graph": _op4_sql(),
     "op5_mixing": rf"""
