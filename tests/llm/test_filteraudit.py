@@ -12,7 +12,7 @@ COLUMNS = ["part", "filter_order", "step", "kept", "removed", "redundant", "uniq
 
 def brute(rows, labels):
     """rows: (doc_id, text, source); labels: (doc_id, quality, toxic). Each document is walked through each order by itself."""
-    good, toxic = {d for d, q, _ in labels if q == 1}, {d for d, _, t in labels if t == 1}
+    good, toxic = {d for d, q, _ in labels if q == 1 and d is not None}, {d for d, _, t in labels if t == 1 and d is not None}
     docs = []
     for d, t, s in rows:
         t = t or ""
