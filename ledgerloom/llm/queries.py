@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exactdedup, filteraudit, langid, merkle, mixing, packing, perplexity, quality, simhash, tokencount, toxicity, urlgraph
+from ledgerloom.llm import exactdedup, filteraudit, langid, merkle, mixing, packing, perplexity, pii, quality, simhash, tokencount, toxicity, urlgraph
 from ledgerloom.llm.common import LOWER, UPPER, documents
 from ledgerloom.plans.registry import spread
 
@@ -64,6 +64,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(spread(documents(spark, sf_dir)))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(documents(spark, sf_dir))
+    return pii.find(docs, pii.train(pii.labelled(docs)))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -73,7 +78,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir), tampered=tampered)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_toxicity, op4_url_graph, op5_mixing, op6_exact_dedup, op7_simhash, op8_packing, op9_perplexity, op10_token_counts, op12_filter_audit, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_toxicity, op4_url_graph, op5_mixing, op6_exact_dedup, op7_simhash, op8_packing, op9_perplexity, op10_token_counts, op11_pii, op12_filter_audit, op13_merkle_manifest)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
