@@ -113,7 +113,7 @@ def test_training_raises_the_likelihood_of_its_labels():
             total += np.logaddexp.reduce(every) - value(labels)
         return total
 
-    losses = [loss(X.fit(rows, rounds=r)) for r in (0, 5, 20, 60)]
+    losses = [loss(X.fit(rows, rounds=r, step=0.05, penalty=0)) for r in (0, 5, 20, 60)]
     assert losses == sorted(losses, reverse=True) and losses[-1] < 0.2 * losses[0]
 
 
@@ -133,7 +133,7 @@ def test_finds_what_the_patterns_drop(field):
     texts = {
         "of the +1 (826) 555-4081 190.137.223.204 and": ["phone:7:24", "ip:25:40"],
         "were 7536784127813050 4845168114407329 here": ["card:5:21", "card:22:38"],
-        "ask jane [at] example [dot] com soon": ["email:4:32"],
+        "ask jane [at] example [dot] com soon": ["email:4:31"],
         "call (017) 555-7713 today": ["phone:5:19"],
     }
     for text, want in texts.items():
