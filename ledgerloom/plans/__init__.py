@@ -1,5 +1,5 @@
 """Registered queries by theme."""
 
-from ledgerloom.plans import documents, evaluation, filings, relational, scalars, streams
+from ledgerloom.plans import documents, evaluation, filings, relational, scalars, stored, streams
 
-REGISTRIES = (relational.registry, documents.registry, evaluation.registry, filings.registry, scalars.registry, streams.registry)
+REGISTRIES = (relational.registry, documents.registry, evaluation.registry, filings.registry, scalars.registry, stored.registry, streams.registry)

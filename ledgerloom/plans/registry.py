@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXTS else df
 
 
+def shared(spark: SparkSession) -> str:
+    """A fresh folder that all executors share: below the session's checkpoint folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp())
+    return f"{sc.getCheckpointDir()}/{uuid.uuid4()}"
+
+
 class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}

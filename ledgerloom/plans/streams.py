@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.registry import Registry, table
+from ledgerloom.plans.registry import shared as _shared
 from ledgerloom.streaming import incremental as S
 
 registry = Registry()
 query = registry.query
 
 
-def _shared(spark: SparkSession) -> str:
-    """A fresh folder that all executors share: below the session's checkpoint folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder and not sc.master.partition("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp())
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4()}"
-
-
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     return S.read_stream(spark, sf, "events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
 
