@@ -235,11 +235,11 @@ def _scorer(asked: pd.DataFrame, k: int, mean: float):
     questions = {q: dict(zip(g["term"], g["idf"], strict=True)) for q, g in asked.groupby("q", sort=False)}
 
     def run(hits: pd.DataFrame, dead: pd.DataFrame) -> pd.DataFrame:
-        if not len(hits):
-            return pd.DataFrame({"q": [], "doc": [], "score": []})
-        shard = Shard(hits, dead["doc"].to_numpy(), mean)
-        rows = [(q, d, s) for q, idfs in questions.items() for d, s in shard.best(idfs, k)]
-        return pd.DataFrame(rows, columns=["q", "doc", "score"])
+        rows = []
+        if len(hits):
+            shard = Shard(hits, dead["doc"].to_numpy(), mean)
+            rows = [(q, d, s) for q, idfs in questions.items() for d, s in shard.best(idfs, k)]
+        return pd.DataFrame(rows, columns=["q", "doc", "score"], dtype=object)
 
     return run
 

@@ -1,6 +1,6 @@
 """A question-answering engine over stored tables: index, named retrievers, decomposition, context, answers.
 
-The tables are Parquet: children, parents, postings and vectors by filing. Models are functions; the defaults are
+The tables are Parquet: children, parents and vectors by filing, and an inverted index. Models are functions; the defaults are
 deterministic: a hashing embedder, a lexical reranker, a rule-based decomposer and an extractive answerer.
 """
 
@@ -16,6 +16,7 @@ from ledgerloom.functions import numbers as N
 from ledgerloom.functions import text as T
 from ledgerloom.operators import audit
 from ledgerloom.operators import retrieval as K
+from ledgerloom.operators.bm25index import Bm25Index
 from ledgerloom.operators.chunking import EMBED_KEYS, READ_KEYS, embed_text
 
 
@@ -50,6 +51,11 @@ def build_index(nodes: DataFrame, path: str, models: Models | None = None) -> No
     put(read.where("node_type = 'child'").select(*columns), "children")
     put(read.where("node_type = 'parent'").select(*columns), "parents")
     put(read.where("node_type = 'child'").select("filing_id", "node_id", models.embed(F.col("embedded")).alias("v")), "vectors")
+    _sparse(nodes.sparkSession, path).upsert(read.where("node_type = 'child'"), read.select("filing_id"), "filing_id", "node_id", "embedded")
+
+
+def _sparse(spark: SparkSession, path: str) -> Bm25Index:
+    return Bm25Index(spark, f"{path}/bm25", doc_type="string")
 
 
 @dataclass
@@ -67,8 +73,9 @@ class Engine:
         return rows if where is None else rows.where(where)  # a filter on filing_id prunes partitions
 
     def bm25(self, questions: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-        docs = self._filtered("children", where).select("node_id", F.col("embedded").alias("text"))
-        return K.bm25_top(docs, questions.select("qid", F.col("question").alias("text")), k, "qid", "node_id")
+        """From the stored index; where holds for what is ranked, a term's rarity is that of the whole index."""
+        allowed = None if where is None else self._filtered("children", where).select(F.col("node_id").alias("doc"))
+        return _sparse(self.spark, self.path).search(questions, k, "qid", "question", allowed).withColumnRenamed("doc", "node_id")
 
     def dense(self, questions: DataFrame, k: int, where: Column | None = None, vector: Column | None = None) -> DataFrame:
         q = questions.select("qid", (self.models.embed(F.col("question")) if vector is None else vector).alias("q"))
