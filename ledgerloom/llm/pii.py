@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts of the corpus in the labelled table, by hash of their id, each of at most so many characters.
-TRAIN_TEXTS, TRAIN_CHARS = 400, 20_000
+#: Texts of the corpus in the labelled table, by hash, each of at most so many characters, and texts looked at for each.
+TRAIN_TEXTS, TRAIN_CHARS, LOOKED_AT = 400, 20_000, 8
 #: Regions of more tokens than this aren't trained on.
 TRAIN_TOKENS = 60
 ROUNDS, STEP, PENALTY = 60, 0.15, 0.02
@@ -312,14 +312,17 @@ def filled_examples(fills: int = FILLS) -> list[tuple[str, list[tuple[str, int,
 def labelled(df: DataFrame, text: str = "text", order: str = "doc_id", texts: int = TRAIN_TEXTS) -> DataFrame:
     """The small labelled table (text, kinds, starts, ends): the filled examples, and regions of at most `texts` texts.
 
-    The texts are those with a digit or `@` and at most TRAIN_CHARS characters that come first by a hash of `order`;
-    their labels are the patterns' spans. A region in which the patterns drop a match is left out, as nothing tells
-    what it holds.
+    A hash of `order` and text picks about LOOKED_AT times `texts` rows, however many there are, so that few go to the
+    driver; of these, the texts are the first by that hash with a digit or `@` and at most TRAIN_CHARS characters. Their
+    labels are the patterns' spans. A region in which the patterns drop a match is left out, as nothing tells what it
+    holds.
     """
     spark = df.sparkSession
-    some = df.select(F.col(order).alias("o"), F.col(text).alias("t")).where((F.char_length("t") <= TRAIN_CHARS) & F.rlike("t", F.lit("[0-9@]")))
+    share = min(1.0, LOOKED_AT * texts / max(1, df.count()))
+    picked = df.select(F.xxhash64(order, text).alias("h"), F.col(text).alias("t")).where(F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = picked.where((F.char_length("t") <= TRAIN_CHARS) & F.rlike("t", F.lit("[0-9@]")))
     rows = []
-    for r in some.orderBy(F.xxhash64("o"), F.xxhash64("t")).limit(texts).select("t").collect():
+    for r in some.orderBy("h").limit(texts).select("t").collect():
         found = list(matches(r["t"]))
         for a, b in regions(r["t"]):
             inside = [x for x in found if x[1] < b and x[2] > a]
