@@ -19,14 +19,19 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ledgerloom.functions import text as T
 from ledgerloom.functions.stem import MAX_TOKEN, STOP_WORDS, stem
 from ledgerloom.operators.retrieval import BLOCK_ROWS, K1, B, idf, top_k
 
-BUCKETS, SHARD_DOCS, BLOCK = 64, 50_000, 128
+BUCKETS, SHARD_DOCS, BLOCK = 64, 10_000, 128
+#: Rows that a worker tokenises at once.
+BATCH_ROWS = 256
 #: Tables of replaced documents and of asked terms are broadcast up to so many rows, else joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -43,7 +48,7 @@ def terms_of(docs: DataFrame, text: str = "text") -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, BATCH_ROWS) for x in batches for i in range(0, x.num_rows, BATCH_ROWS)):
             counts = [Counter(map(stem, (t or "").split())) for t in b.column(len(kept)).to_pylist()]
             own = [sorted(c.items()) for c in counts]
             yield pa.RecordBatch.from_arrays(
@@ -196,6 +201,7 @@ class Bm25Index:
         dead = self.replaced().select("segment", "shard", "doc")
         if allowed is not None:
             dead = dead.unionByName(self.documents().join(allowed.select("doc").distinct(), "doc", "left_anti").select("segment", "shard", "doc"))
+        kinds = [x.type for x in to_arrow_schema(StructType.fromDDL(schema))][:2]
         parts = []
         for b in range(blocks):
             some = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else asked
@@ -204,7 +210,7 @@ class Bm25Index:
             known = self.frequencies(terms).select("term", idf(F.lit(n), F.col("df")).alias("idf")).toPandas()
             own = own.merge(known, on="term")
             hits = self.postings(terms).select("segment", "shard", "term", "docs", "tfs", "lengths", "most", "least")
-            found = hits.groupBy("segment", "shard").cogroup(dead.groupBy("segment", "shard")).applyInPandas(_scorer(own, k, mean), schema)
+            found = hits.groupBy("segment", "shard").cogroup(dead.groupBy("segment", "shard")).applyInArrow(_scorer(own, k, mean, *kinds), schema)
             parts.append(found)
         return top_k(reduce(DataFrame.unionByName, parts), k, "q", "doc").withColumnRenamed("q", query)
 
@@ -219,67 +225,97 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 
 def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of postings of docs(doc, shard, length, terms, tfs): at most BLOCK documents of a shard that have a term, by id."""
-    posts = docs.select("doc", "shard", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("shard", F.col("p.terms").alias("term"), F.struct("doc", F.col("p.tfs").alias("tf"), "length").alias("x"))
-    lists = posts.groupBy("shard", "term").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    starts = F.sequence(F.lit(0), F.floor((F.size("xs") - 1) / BLOCK).cast("int"))
-    rows = lists.select("shard", "term", F.explode(F.transform(starts, lambda i: F.slice("xs", i * BLOCK + 1, F.lit(BLOCK)))).alias("xs"))
-    rows = rows.select(
-        "shard", "term", F.col("xs.doc").alias("docs"), F.col("xs.tf").alias("tfs"), F.col("xs.length").alias("lengths"), F.array_max("xs.tf").alias("most"), F.array_min("xs.length").alias("least"), _bucket(F.col("term"), buckets).alias("bucket")
-    )
-    return rows.repartition("bucket", "shard").sortWithinPartitions("bucket", "term")
-
-
-def _scorer(asked: pd.DataFrame, k: int, mean: float):
-    """Scores the blocks of a shard for asked(q, term, idf); see best_of()."""
+    """Blocks of postings of docs(doc, shard, length, terms, tfs): at most BLOCK documents of a shard that have a term, by id.
+
+    Postings are shuffled once, sorted by spill, and cut as they stream by, so no term's list is held as a whole.
+    """
+    posts = docs.select("shard", "doc", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("shard", F.col("p.terms").alias("term"), "doc", F.col("p.tfs").alias("tf"), "length", _bucket(F.col("p.terms"), buckets).alias("bucket"))
+    posts = posts.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", "term", "doc")
+    kind = posts.schema["doc"].dataType.simpleString()
+    size = BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            terms, shards = b.column(1).dictionary_encode().indices.to_numpy(), b.column(0).to_numpy()
+            new = np.r_[True, (terms[1:] != terms[:-1]) | (shards[1:] != shards[:-1])]
+            place = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            first = np.flatnonzero(place % size == 0)
+            ends = pa.array(np.r_[first, n], pa.int32())
+            tfs, lengths = b.column(3).to_numpy(), b.column(4).to_numpy()
+            at = pa.array(first)
+            lists = [pa.ListArray.from_arrays(ends, b.column(i)) for i in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), b.column(1).take(at), *lists, pa.array(np.maximum.reduceat(tfs, first), pa.int32()), pa.array(np.minimum.reduceat(lengths, first), pa.int64()), b.column(5).take(at)],
+                names=["shard", "term", "docs", "tfs", "lengths", "most", "least", "bucket"],
+            )
+
+    return posts.mapInArrow(run, f"shard int, term string, docs array<{kind}>, tfs array<int>, lengths array<bigint>, most int, least bigint, bucket int")
+
+
+def _scorer(asked: pd.DataFrame, k: int, mean: float, query: pa.DataType, doc: pa.DataType):
+    """Scores the blocks of a shard for asked(q, term, idf); see Shard.best()."""
     questions = {q: dict(zip(g["term"], g["idf"], strict=True)) for q, g in asked.groupby("q", sort=False)}
 
-    def run(hits: pd.DataFrame, dead: pd.DataFrame) -> pd.DataFrame:
+    def run(hits: pa.Table, dead: pa.Table) -> pa.Table:
         rows = []
-        if len(hits):
-            shard = Shard(hits, dead["doc"].to_numpy(), mean)
-            rows = [(q, d, s) for q, idfs in questions.items() for d, s in shard.best(idfs, k)]
-        return pd.DataFrame(rows, columns=["q", "doc", "score"], dtype=object)
+        if hits.num_rows:
+            flat = lambda c: hits.column(c).combine_chunks().flatten()
+            docs = flat("docs").dictionary_encode()
+            order = pc.sort_indices(docs.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            names = docs.dictionary.take(pa.array(order))
+            live = ~pc.is_in(names, dead.column("doc").combine_chunks()).to_numpy(zero_copy_only=False)
+            shard = Shard(hits.column("term").to_numpy(), pc.list_value_length(hits.column("docs")).to_numpy(), rank[docs.indices.to_numpy()], flat("tfs").to_numpy(), flat("lengths").to_numpy(), hits.column("most").to_numpy(), hits.column("least").to_numpy(), live, mean)
+            rows = [(q, d, x) for q, idfs in questions.items() for d, x in shard.best(idfs, k)]
+            found = names.take(pa.array([d for _, d, _ in rows], pa.int64()))
+        else:
+            found = pa.array([], doc)
+        return pa.table({"q": pa.array([q for q, _, _ in rows], query), "doc": found, "score": pa.array([x for _, _, x in rows], pa.float64())})
 
     return run
 
 
 class Shard:
-    """A shard's blocks of the asked terms as flat arrays. skipped: blocks that best() has passed over so far."""
-
-    def __init__(self, hits: pd.DataFrame, dead: np.ndarray, mean: float):
-        hits = hits.sort_values("term", kind="stable")
-        sizes = hits["docs"].map(len).to_numpy()
-        names, self.at = np.unique(np.concatenate(hits["docs"].to_list()), return_inverse=True)
-        self.names, self.live = names, ~np.isin(names, dead)
-        tfs, lengths = np.concatenate(hits["tfs"].to_list()).astype(float), np.concatenate(hits["lengths"].to_list()).astype(float)
-        self.w = weight(tfs, lengths, mean)
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
-        self.bound = weight(hits["most"].to_numpy(float), hits["least"].to_numpy(float), mean)
-        terms = hits["term"].to_numpy()
+    """A shard's blocks of the asked terms as flat arrays; documents are numbers in the order of their ids.
+
+    terms, sizes, most, least: of each block; at, tfs, lengths: of each posting, block by block; live: of each document.
+    skipped: blocks that best() has passed over so far.
+    """
+
+    def __init__(self, terms: np.ndarray, sizes: np.ndarray, at: np.ndarray, tfs: np.ndarray, lengths: np.ndarray, most: np.ndarray, least: np.ndarray, live: np.ndarray, mean: float):
+        ends = np.cumsum(sizes)
+        order = np.argsort(terms, kind="stable")
+        self.at, self.live, self.w = at, live, weight(tfs.astype(float), lengths.astype(float), mean)
+        self.starts, self.ends = (ends - sizes)[order], ends[order]
+        self.bound = weight(most.astype(float), least.astype(float), mean)[order]
+        terms = terms[order]
         first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
         self.blocks = {terms[a]: (a, b) for a, b in zip(first, np.r_[first[1:], len(terms)], strict=True)}
-        self.low, self.high = self.at[self.starts], self.at[self.ends - 1]
+        self.low, self.high = at[self.starts], at[self.ends - 1]
         self.skipped = 0
 
     def best(self, idfs: dict[str, float], k: int) -> list[tuple]:
-        """The best k live documents of one question, and those that tie with the last.
+        """The best k live documents of one question, by score to nine places, then id.
 
         Terms are taken by what they can add at most. Once the rest of them can't lift an unseen document to the k-th
         best score so far, only blocks between whose ends a document stands that may still be among the best are read.
         """
         own = sorted(((i * self.bound[a:b].max(), i, a, b) for t, i in idfs.items() for a, b in [self.blocks.get(t, (0, 0))] if b > a), key=lambda x: (-x[0], x[2]))
         rest = np.cumsum([0.0, *(x[0] for x in reversed(own))])[::-1]
-        scores, hopeful = np.zeros(len(self.names)), None
+        scores, hopeful = np.zeros(len(self.live)), None
         for j, (_, i, a, b) in enumerate(own):
             if hopeful is None and j:
                 seen = scores[self.live]
                 if len(seen) > k and (least := np.partition(seen, len(seen) - k)[len(seen) - k]) > rest[j] + 1e-6:
                     hopeful = np.flatnonzero(self.live & (scores + rest[j] + 1e-6 >= least))
             if hopeful is None:
-                s, e = self.starts[a], self.ends[b - 1]
-                scores[self.at[s:e]] += i * self.w[s:e]  # a document is in a term's blocks once
+                for x in range(a, b):
+                    s, e = self.starts[x], self.ends[x]
+                    scores[self.at[s:e]] += i * self.w[s:e]  # a document is in a term's blocks once
                 continue
             held = np.searchsorted(hopeful, self.high[a:b], "right") > np.searchsorted(hopeful, self.low[a:b])
             self.skipped += int((~held).sum())
@@ -296,4 +332,4 @@ class Shard:
         if len(some) > k:
             some = some[rounded[some] >= np.partition(rounded[some], len(some) - k)[len(some) - k]]
         order = some[np.lexsort((some, -rounded[some]))][:k]
-        return [(self.names[x], scores[x]) for x in order]
+        return [(int(x), scores[x]) for x in order]

@@ -143,10 +143,11 @@ def test_blocks_are_passed_over():
     """Common terms' blocks in which no hopeful document stands aren't read, and the best stay the same."""
     rng = np.random.default_rng(1)
     docs = np.arange(20_000)
-    rows = [("common", docs[i : i + 128], np.ones(len(docs[i : i + 128]), int), np.full(len(docs[i : i + 128]), 50), 1, 50) for i in range(0, len(docs), 128)]
     rare = np.sort(rng.choice(docs[:4000], 40, replace=False))
-    rows.append(("rare", rare, np.arange(1, 41), np.full(40, 50), 40, 50))
-    shard = X.Shard(pd.DataFrame(rows, columns=["term", "docs", "tfs", "lengths", "most", "least"]), np.array([]), 50.0)
+    parts = [docs[i : i + 128] for i in range(0, len(docs), 128)] + [rare]
+    terms = np.array(["common"] * (len(parts) - 1) + ["rare"], object)
+    tfs = np.r_[np.ones(len(docs), int), np.arange(1, 41)]
+    shard = X.Shard(terms, np.array([len(p) for p in parts]), np.concatenate(parts), tfs, np.full(len(tfs), 50), np.r_[np.ones(len(parts) - 1, int), 40], np.full(len(parts), 50), np.ones(len(docs), bool), 50.0)
     best = shard.best({"rare": 9.0, "common": 0.1}, 10)
     assert shard.skipped > 100 and [d for d, _ in best] == sorted(rare[-10:], key=lambda d: -np.searchsorted(rare, d))
     assert best[0][1] == pytest.approx(9.0 * 40 * 2.2 / 41.2 + 0.1)
