@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.stem import STOP_WORDS, stem_sql
+from ledgerloom.operators import retrieval as K
 from ledgerloom.operators.bm25index import Bm25Index
-from ledgerloom.plans.documents import _TOK
+from ledgerloom.operators.vectorindex import VectorIndex, recall
+from ledgerloom.plans.documents import _COS, _TOK
 from ledgerloom.plans.registry import Registry, shared, table
 
 registry = Registry()
@@ -68,3 +70,36 @@ def bm25_index_upsert(spark: SparkSession, sf: str) -> DataFrame:
     n, mean = index.stats()
     terms = index.postings().select("term").distinct()
     return index.frequencies(terms).where("df >= 3").withColumn("n", F.lit(n)).withColumn("avg_len", F.round(F.lit(mean), 6))
+
+
+# ------------------------------------------------------------------ vector index
+
+
+def _vectors(spark: SparkSession, sf: str) -> tuple[VectorIndex, DataFrame]:
+    """An index of all vectors, and every hundredth as a query."""
+    index, rows = VectorIndex(spark, f"{shared(spark)}/ivf"), table(spark, sf, "embeddings")
+    index.build(rows, "vec_id", "embedding")
+    return index, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+
+
+@query(f"WITH {_COS} SELECT qid, vec_id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10")
+def ivf_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest vectors, by probes and then the lists that the radius bound leaves: those of an exhaustive search."""
+    index, asked = _vectors(spark, sf)
+    return index.search(asked, 10, "qid", "vec_id", exact=True).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS qid, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.label < 3)
+SELECT qid, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""")
+def ivf_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest vectors that meet a condition on a column beside them."""
+    index, asked = _vectors(spark, sf)
+    return index.search(asked, 5, "qid", "vec_id", exact=True, where=F.col("label") < 3).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether probes alone reach a recall of 0.9 of the ten nearest."""
+    index, asked = _vectors(spark, sf)
+    exact = K.top_k(K.dense_scores(asked, table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v")), "qid", "vec_id"), 10, "qid", "vec_id")
+    return recall(index.search(asked, 10, "qid", "vec_id", probes=16), exact, "qid", "vec_id").select("queries", (F.col("recall") >= 0.9).alias("reached"))
