@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.stem import STOP_WORDS, stem_sql
 from ledgerloom.operators import retrieval as K
+from ledgerloom.operators import runners
 from ledgerloom.operators.bm25index import Bm25Index
 from ledgerloom.operators.vectorindex import VectorIndex, recall
-from ledgerloom.plans.documents import _COS, _TOK
+from ledgerloom.plans.documents import _COS, _SCORES, _TOK, _top_sql
 from ledgerloom.plans.registry import Registry, shared, table
 
 registry = Registry()
@@ -103,3 +104,60 @@ def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
     index, asked = _vectors(spark, sf)
     exact = K.top_k(K.dense_scores(asked, table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v")), "qid", "vec_id"), 10, "qid", "vec_id")
     return recall(index.search(asked, 10, "qid", "vec_id", probes=16), exact, "qid", "vec_id").select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+# ------------------------------------------------------------------ models over tables
+
+
+def _reverser() -> runners.Model:
+    """A stand-in for a language model: a prompt's length and its text backwards."""
+    return lambda prompts: [f"{len(p)}:{p[::-1]}" for p in prompts]
+
+
+@query("""WITH k AS (SELECT conv_id, turn, sha1(concat_ws(chr(10), 'model', role, text)) AS key, text, role FROM conversations)
+SELECT conv_id, turn, md5(CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN 'edited ' || key WHEN role = 'user' THEN length(text) || ':' || reverse(text) ELSE 'given ' || key END) AS reply
+FROM (SELECT k.*, bool_or(conv_id % 3 = 0) OVER (PARTITION BY key) AS third FROM k) WHERE NOT third OR conv_id % 3 = 0""")
+def memo_last_write(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies remembered over three runs: some asked, some of them edited, others given, and all asked for at the end."""
+    rows = table(spark, sf, "conversations").withColumn("key", F.sha1(F.concat_ws("\n", F.lit("model"), "role", "text")))
+    memo = runners.Memo(spark, f"{shared(spark)}/memo")
+    memo.ask(rows.where("conv_id % 2 = 0 AND role = 'user'"), _reverser, prompt="text")
+    memo.put(rows.where("role <> 'user'").select("key", F.concat(F.lit("given "), "key").alias("reply")))
+    memo.put(rows.where("role = 'user' AND conv_id % 3 = 0").select("key", F.concat(F.lit("edited "), "key").alias("reply")))
+    third = F.max((F.col("conv_id") % 3 == 0).cast("int")).over(Window.partitionBy("key")) == 1
+    out = memo.ask(rows, _reverser, prompt="text").withColumn("third", third).where("NOT third OR conv_id % 3 = 0")
+    return out.select("conv_id", "turn", F.md5("reply").alias("reply"))
+
+
+def _counts() -> runners.Model:
+    """A stand-in for an embedder: tokens, characters, and those of the first token."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(len(t) - len(t.replace("e", "")))] for t in texts]
+
+    return embed
+
+
+@query(r"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\w+|[^\w\s]') AS w FROM ascii),
+n AS (SELECT count(DISTINCT text) AS all_texts, count(DISTINCT text) FILTER (doc_id % 2 = 1) AS odd, count(DISTINCT text) FILTER (len(w) > 512) AS cut FROM t)
+SELECT doc_id, len(w) > 512 AS truncated, CASE WHEN len(w) <= 512 THEN length(text)::DOUBLE END AS chars, all_texts - odd AS second_run, 0 AS third_run FROM t, n""".replace("FROM ascii", "FROM documents WHERE text IS NOT NULL AND strlen(text) = length(text)"))
+def embedding_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of plain letters embedded in three runs: half, all, and all again, which runs nothing."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL AND octet_length(text) = char_length(text)").select("doc_id", "text")
+    store = runners.Embeddings(spark, f"{shared(spark)}/vectors")
+    store.embed(docs.where("doc_id % 2 = 1"), _counts)
+    store.embed(docs, _counts)
+    second = store.last_run().first()["embedded"]
+    out = store.embed(docs, _counts)
+    third = store.last_run().first()["embedded"]
+    return out.select("doc_id", "truncated", F.when(~F.col("truncated"), F.get("v", F.lit(0))).alias("chars"), F.lit(second).alias("second_run"), F.lit(third).alias("third_run"))
+
+
+@query(rf"""WITH {_SCORES}, b AS ({_top_sql(20)}), x AS (SELECT item_id, doc_id, list_distinct(regexp_extract_all(lower(q.text), '{_TOK}')) AS qt, regexp_extract_all(lower(d.text), '{_TOK}') AS dt
+FROM b JOIN benchmark q USING (item_id) JOIN documents d USING (doc_id)), y AS (SELECT item_id, doc_id, len(list_intersect(qt, dt)) / len(qt) AS score FROM x WHERE len(qt) > 0)
+SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM y QUALIFY rank <= 5""")
+def rerank_batched(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents of each passage, scored as pairs in batches by a model that each task makes once."""
+    docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    pool = K.bm25_top(docs, asked, 20)
+    return runners.rerank_batched(pool, asked, docs, "item_id", "doc_id", 5, runners.lexical_pairs).withColumn("score", F.round("score", 6))
