@@ -71,7 +71,8 @@ def unsupported(answer: Column, sources: Column) -> Column:
     """Tokens of claims that no number of the sources supports: exactly, rounded, or in thousands."""
     known = F.array_distinct(F.filter(F.transform(number_tokens(sources), lambda t: F.abs(token_value(t))), lambda v: v.isNotNull()))
     keys = F.array_distinct(F.concat(known, F.flatten(F.transform(known, lambda v: F.array(F.round(v, 0), F.round(v, 1), F.round(v, 2)))), F.flatten(F.transform(known, candidate_keys))))
-    return F.transform(F.filter(claims(answer), lambda p: ~F.array_contains(keys, p["value"])), lambda p: p["token"])
+    # Bound by a list of one, so that the keys are made once and not for each claim.
+    return F.transform(F.array(keys), lambda k: F.transform(F.filter(claims(answer), lambda p: ~F.array_contains(k, p["value"])), lambda p: p["token"]))[0]
 
 
 def format_number(value: Column) -> Column:

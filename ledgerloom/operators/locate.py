@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import html as H
 from ledgerloom.functions import numbers as N
-from ledgerloom.functions.passages import cell_value, norm
+from ledgerloom.functions.tables import cell_value, norm
 from ledgerloom.operators.parsing import frame
 
 # Patterns and names that results depend on.

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import grid as G
 from ledgerloom.functions import html as H
-from ledgerloom.functions import passages as P
-from ledgerloom.operators import audit, evaluation, facts, locate, parsing
+from ledgerloom.operators import answers, evaluation, facts, locate, parsing
 from ledgerloom.plans.registry import Registry, table
 from ledgerloom.sources import manifest
 
@@ -195,13 +194,9 @@ def traced_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers of answers traced to cells and texts of the passages, those cited first."""
     number = lambda e: F.format_number(F.expr(e), 0)
     answer = F.concat(F.lit("Net sales were $"), number("v1"), F.lit(" [1]. Orders were "), number("40000 + k"), F.lit(" [2]. Research of "), number("p3"), F.lit(" [2] fell. Nothing says "), number("900000 + k"), F.lit("."))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{"k": k, **t, **(t["cells"] or [{}])[0]} for k, a, c in zip(b["k"], b["answer"], b["contexts"], strict=True) for t in P.trace(a, list(c))]
-            yield parsing.frame(rows, ["k", "token", "status", "in_cited_source", "row", "col", "column"])
-
-    return _figures(spark, sf).select("k", answer.alias("answer"), _contexts().alias("contexts")).mapInPandas(run, "k long, token string, status string, in_cited_source boolean, `row` int, col int, `column` string")
+    rows = answers.trace_numbers(_figures(spark, sf).select(F.lit("r").alias("run"), F.col("k").alias("qid"), answer.alias("answer"), _contexts().alias("contexts")))
+    cell = F.get("cells", F.lit(0))
+    return rows.select(F.col("qid").alias("k"), "token", "status", "in_cited_source", cell["row"].alias("row"), cell["col"].alias("col"), cell["column"].alias("column"))
 
 
 @query(f"""WITH {_BASE} SELECT 'q' || k AS qid, {_MONEY('v1')} AS token, v1::DOUBLE AS value, true AS key, 'source' AS origin, 'right cell' AS location FROM v
@@ -215,7 +210,66 @@ def audited_locations(spark: SparkSession, sf: str) -> DataFrame:
     answer = F.concat(F.lit("Net sales "), number("v1"), F.lit(" after "), number("p1"), F.lit("; research "), number("v3"), F.lit("; orders "), number("40000 + k"), F.lit(" and "), number("900000 + k"), F.lit("."))
     fact = F.array(F.struct(F.lit("Net sales").alias("row_label"), number("v1").alias("value")))
     rows = _figures(spark, sf).select(F.lit("r").alias("run"), _id("q").alias("qid"), answer.alias("answer"), _contexts().alias("contexts"), fact.alias("facts"), F.array(number("v1")).alias("answer_values"), F.array(number("900000 + k")).alias("unverified"))
-    return audit.audit_numbers(rows).drop("run")
+    return answers.audit_numbers(rows).drop("run", "n")
+
+
+def _change_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers to questions for a change: both values, the change, a number of the question, one of another filing or table, one of none."""
+    number = lambda e: F.format_number(F.expr(e), 0)
+    head = lambda n, who, when: F.concat(F.lit(f"Source {n}:\ncompany: {who} "), F.col("k").cast("string"), F.lit(f"\nperiod: fiscal {when}\n\n"))
+    other = lambda label, value: F.concat(F.lit(f"| {label} | "), number(value), F.lit(" | n/a |"))
+    earlier = F.concat(head(2, "Supplier", "2024 Q4"), F.lit("|  | 2024 | 2023 |\n|---|---|---|\n"), other("Net sales", "60000 + k"), F.lit("\n"), other("Mixed", "70000 + k"))
+    beside = F.concat(head(3, "Supplier", "2025 Q1"), F.lit("|  | Segment |\n|---|---|\n"), other("Net sales", "CASE WHEN k % 2 = 0 THEN 60000 + k ELSE 80000 + k END"), F.lit("\n"), other("Cost of sales", "50000 + k"))
+    first = F.concat(head(1, "Supplier", "2025 Q1"), _statement())
+    answer = F.concat(F.lit("Sales rose by $"), number("v1 - p1 + CASE WHEN k % 5 = 0 THEN 41 ELSE 0 END"), F.lit(" from "), number("p1"), F.lit(" to "), number("v1"), F.lit(" or 1"), (F.col("k") % 10).cast("string"), F.lit("%, past "), number("90000 + k"), F.lit(" and "), number("60000 + k"), F.lit(" and "), number("50000 + k"), F.lit(" and "), number("950000 + k"), F.lit(" [1]."))
+    fact = F.array(F.struct(F.lit("Net sales").alias("row_label"), number("v1").alias("value")))
+    rows = _figures(spark, sf).withColumn("wrong", F.expr("k % 5 = 0"))
+    return rows.select(
+        F.lit("r").alias("run"), _id("q").alias("qid"), F.concat(F.lit("Did it pass "), number("90000 + k"), F.lit("?")).alias("question"), answer.alias("answer"), F.array(first, earlier, beside).alias("contexts"), fact.alias("facts"),
+        F.array(number("v1"), number("p1")).alias("answer_values"), F.expr("CAST(v1 - p1 AS DOUBLE)").alias("expected_change"), F.array(number("950000 + k")).alias("unverified"), (~F.col("wrong")).alias("correct"), F.expr("k % 15 = 0").alias("refused"),
+        F.expr("wrong AND k % 2 = 0").alias("values_ok"), F.expr("NOT wrong").alias("calc_ok"), F.expr("k % 3 <> 0 AND k % 7 <> 0").alias("facts_in_context"),
+    )
+
+
+@query(f"""WITH {_BASE}, {_ROWS}, c AS (SELECT k, v1 - p1 + CASE WHEN k % 5 = 0 THEN 41 ELSE 0 END AS v, '$' AS d, 0 AS n FROM v UNION ALL SELECT k, p1, '', 1 FROM v UNION ALL SELECT k, v1, '', 2 FROM v UNION ALL SELECT k, 10 + k % 10, '', 3 FROM v
+UNION ALL SELECT k, 90000 + k, '', 4 FROM v UNION ALL SELECT k, 60000 + k, '', 5 FROM v UNION ALL SELECT k, 50000 + k, '', 6 FROM v UNION ALL SELECT k, 950000 + k, '', 7 FROM v),
+g AS (SELECT k, i, 1 AS tbl, 1 AS col, lower(label) AS label, v AS val FROM l UNION ALL SELECT k, i, 1, 2, lower(label), p FROM l UNION ALL SELECT k, 0, 2, 1, 'net sales', 60000 + k FROM v UNION ALL SELECT k, 1, 2, 1, 'mixed', 70000 + k FROM v
+UNION ALL SELECT k, 0, 3, 1, 'net sales', CASE WHEN k % 2 = 0 THEN 60000 + k ELSE 80000 + k END FROM v UNION ALL SELECT k, 1, 3, 1, 'cost of sales', 50000 + k FROM v UNION ALL SELECT k, -1, 1, 1, '', 2025 FROM v UNION ALL SELECT k, -1, 1, 2, '', 2024 FROM v
+UNION ALL SELECT k, -1, 2, 1, '', 2024 FROM v UNION ALL SELECT k, -1, 2, 2, '', 2023 FROM v),
+s AS (SELECT k, val FROM g UNION ALL SELECT k, 90000 + k FROM v UNION ALL SELECT k, 31 FROM v UNION ALL SELECT k, x FROM v, (VALUES (1), (2), (3), (4)) y(x) UNION ALL SELECT k, k FROM v),
+h AS (SELECT c.k, c.n, bool_or(g.label = 'net sales' AND val IN (v1, p1)) AS r, bool_or(tbl = 1 AND i = 0) AS in_row, bool_or(g.label = 'net sales') AS item, bool_and(CASE WHEN g.label = 'net sales' THEN tbl = 2 END) AS apart, bool_or(tbl = 1) AS in_col, count(*) AS n_hits
+FROM c JOIN v ON c.k = v.k JOIN g ON g.k = c.k AND (c.v = val OR val >= 1000 AND c.v IN (round(val / 1000.0, 1), round(val / 1000.0, 2))) GROUP BY ALL),
+o AS (SELECT c.*, CASE WHEN n = 3 THEN 'unchecked percentage' WHEN n = 7 THEN 'unverified' WHEN EXISTS (SELECT 1 FROM s WHERE s.k = c.k AND (s.val = c.v OR s.val >= 1000 AND c.v IN (round(s.val / 1000.0, 1), round(s.val / 1000.0, 2)))) THEN 'source' ELSE 'calculation' END AS origin FROM c)
+SELECT 'q' || o.k AS qid, d || format('{{:,}}', o.v) AS token, o.v::DOUBLE AS value, o.v IN (v1, p1) OR abs(o.v - (v1 - p1)) < 0.5 OR v1 >= 1000 AND o.v IN (round(v1 / 1000.0, 1), round(v1 / 1000.0, 2), round(p1 / 1000.0, 1), round(p1 / 1000.0, 2)) AS key, origin,
+CASE WHEN origin = 'calculation' THEN origin WHEN r THEN 'right cell' WHEN in_row THEN 'same row, other column' WHEN item AND apart THEN 'same line item, other filing or period' WHEN item THEN 'same line item, other table' WHEN in_col THEN 'same column, other row'
+WHEN n_hits > 0 THEN 'other table' ELSE 'not in sources' END AS location FROM o JOIN v ON v.k = o.k LEFT JOIN h ON h.k = o.k AND h.n = o.n""")
+def audited_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of answers that state a change: key values of two periods, the change, numbers of the question, mixed places of one item."""
+    return answers.audit_numbers(_change_answers(spark, sf)).drop("run", "n")
+
+
+@query(f"""WITH {_BASE} SELECT 'q' || k AS qid, CASE WHEN k % 5 <> 0 THEN 'correct' WHEN k % 15 = 0 THEN 'refused' ELSE 'wrong, flagged' END AS outcome,
+CASE WHEN k % 5 <> 0 THEN '' WHEN k % 15 = 0 THEN 'facts not in context' WHEN k % 2 = 0 THEN 'values right, change missing or wrong' WHEN k % 3 = 0 OR k % 7 = 0 THEN 'facts not in context' ELSE 'by number' END AS cause FROM v""")
+def audited_causes(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of answers and what a wrong one comes from."""
+    rows = _change_answers(spark, sf)
+    out = answers.outcomes(rows, answers.audit_numbers(rows))
+    fixed = ("", "facts not in context", "values right, change missing or wrong", "refused with facts in context")
+    return out.select("qid", "outcome", F.when(F.col("cause").isin(*fixed), F.col("cause")).otherwise("by number").alias("cause"))
+
+
+@query(f"""WITH {_BASE}, p AS (SELECT k, 'invented' AS kind, 'last digit +1' AS plant, v1 + 1 AS x FROM v UNION ALL SELECT k, 'invented', '+10%', round_even(v1 * 1.1::DOUBLE, 0) FROM v UNION ALL SELECT k, 'invented', '-10%', round_even(v1 * 0.9::DOUBLE, 0) FROM v
+UNION ALL SELECT k, 'wrong cell', 'same row, other column', p1 FROM v WHERE p1 <> v1 UNION ALL SELECT k, 'wrong cell', 'same column, other row', 2025 FROM v)
+SELECT 'q' || k AS qid, kind, plant, '$' || {_MONEY('v1')} AS original, '$' || {_MONEY('CAST(x AS BIGINT)')} AS planted FROM p JOIN v USING (k)""")
+def planted_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors planted in right answers: invented ones and other cells' values, written as the number they replace.
+
+    The nearest other cell of the column is the year above it.
+    """
+    number = F.format_number(F.col("v1"), 0)
+    fact = F.array(F.struct(F.lit("Net sales").alias("row_label"), number.alias("value")))
+    rows = _figures(spark, sf).select(F.lit("r").alias("run"), _id("q").alias("qid"), F.lit("What were net sales?").alias("question"), F.concat(F.lit("Net sales were $"), number, F.lit(" [1].")).alias("answer"), F.array(_contexts()[0]).alias("contexts"), fact.alias("facts"), F.array(number).alias("answer_values"), F.lit(True).alias("correct"), F.array().cast("array<string>").alias("unverified"))
+    return answers.stress(rows).where("plant <> 'transposed digits'").select("qid", "kind", "plant", "original", "planted")
 
 
 @query(f"""WITH {_BASE}, s AS (SELECT k, k % 5 = 0 AS wrong, CASE k % 3 WHEN 0 THEN 'numeric' WHEN 1 THEN 'yoy' ELSE 'pct_change' END AS type FROM v)
