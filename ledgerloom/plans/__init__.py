@@ -1,5 +1,5 @@
 """Registered queries by theme."""
 
-from ledgerloom.plans import documents, evaluation, filings, prose, relational, scalars, stored, streams
+from ledgerloom.plans import documents, evaluation, filings, lateral, prose, relational, scalars, stored, streams
 
-REGISTRIES = (relational.registry, documents.registry, evaluation.registry, filings.registry, prose.registry, scalars.registry, stored.registry, streams.registry)
+REGISTRIES = (relational.registry, documents.registry, evaluation.registry, filings.registry, lateral.registry, prose.registry, scalars.registry, stored.registry, streams.registry)
