@@ -1,11 +1,13 @@
 """A stored inverted index for BM25: stemmed terms in buckets, postings in blocks, segments that replace each other's documents.
 
-Each upsert writes one segment: its documents, its postings, and a row for each older document that it replaces. A
-segment counts once its row in `segments` is there, which is written last, so an upsert that dies midway leaves nothing
-that a reader sees, and runs of one upsert give one segment. Postings are in folders by segment and hash bucket of the
-term, in blocks of at most BLOCK documents with the largest count and the least length, by which a question passes over
-blocks that hold none of its best documents. A segment's documents are spread over shards of bounded size by a hash, so
-that a large filing is no hot spot, and a shard is what one task scores.
+A task inverts the documents that it reads in shards of bounded size, so texts and single postings are never shuffled;
+only blocks are, to the folders of their terms' hash buckets. A posting is six bytes: its document's place in the shard
+and its count. A block has at most BLOCK postings, the largest count and the least length, by which a question passes
+over blocks that hold none of its best documents. A shard is what one task scores.
+
+Each upsert writes one segment: its shards, its blocks, and a row for each older document that it replaces. A segment
+counts once its row in `segments` is there, which is written last, so an upsert that dies midway leaves nothing that a
+reader sees, and runs of one upsert give one segment.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ from ledgerloom.functions import text as T
 from ledgerloom.functions.stem import MAX_TOKEN, STOP_WORDS, stem
 from ledgerloom.operators.retrieval import BLOCK_ROWS, K1, B, idf, top_k
 
-BUCKETS, SHARD_DOCS, BLOCK = 64, 10_000, 128
+#: Documents of a shard at most (a place takes two bytes), and tokens after which a shard ends.
+BUCKETS, SHARD_DOCS, SHARD_TOKENS, BLOCK = 64, 10_000, 4_000_000, 128
 #: Rows that a worker tokenises at once.
 BATCH_ROWS = 256
 #: Tables of replaced documents and of asked terms are broadcast up to so many rows, else joined by shuffle.
 BROADCAST_ROWS = 500_000
+_ORD, _TF = np.dtype("<u2"), np.dtype("<u4")
 
 
 def kept_tokens(text: Column) -> Column:
@@ -41,22 +45,20 @@ def kept_tokens(text: Column) -> Column:
     return F.filter(T.tokens(text), lambda t: ~t.isin(*STOP_WORDS) & (F.length(t) <= MAX_TOKEN))
 
 
-def terms_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without `text`, with length (tokens kept), terms (distinct stems, sorted) and tfs. Stems are remembered by each worker."""
-    kept = [c for c in docs.columns if c != text]
-    rows = docs.select(*kept, F.array_join(kept_tokens(F.col(text)), " ").alias("_t"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+def _counts(column: pa.Array) -> list[Counter]:
+    return [Counter(map(stem, (t or "").split())) for t in column.to_pylist()]
+
+
+def terms_of(questions: DataFrame, query: str, text: str) -> DataFrame:
+    """(q, term): the distinct stems of each question. Stems are remembered by each worker."""
+    rows = questions.select(F.col(query).alias("q"), F.array_join(kept_tokens(F.col(text)), " ").alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(i, BATCH_ROWS) for x in batches for i in range(0, x.num_rows, BATCH_ROWS)):
-            counts = [Counter(map(stem, (t or "").split())) for t in b.column(len(kept)).to_pylist()]
-            own = [sorted(c.items()) for c in counts]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([sum(c.values()) for c in counts], pa.int64()), pa.array([[t for t, _ in x] for x in own], pa.list_(pa.string())), pa.array([[n for _, n in x] for x in own], pa.list_(pa.int32()))],
-                names=[*kept, "length", "terms", "tfs"],
-            )
+        for b in batches:
+            found = [(i, t) for i, c in enumerate(_counts(b.column(1))) for t in c]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array([t for _, t in found], pa.string())], names=["q", "term"])
 
-    return rows.mapInArrow(run, f"{fields}, length bigint, terms array<string>, tfs array<int>")
+    return rows.mapInArrow(run, f"q {rows.schema['q'].dataType.simpleString()}, term string")
 
 
 def weight(tf, length, avg_len: float, k1: float = K1, b: float = B):
@@ -64,6 +66,64 @@ def weight(tf, length, avg_len: float, k1: float = K1, b: float = B):
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
 
 
+def _packed(values: np.ndarray, dtype: np.dtype, starts: np.ndarray) -> pa.Array:
+    """Runs of values as binaries: one buffer for all."""
+    offsets = np.r_[starts, len(values)].astype(np.int32) * dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.astype(dtype).tobytes())])
+
+
+def unpacked(column: pa.ChunkedArray | pa.Array, dtype: np.dtype) -> np.ndarray:
+    """All values of a column of binaries, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).astype(np.int64)
+
+
+_COLUMNS = "shard bigint, filings array<{filing}>, docs array<{doc}>, lengths array<int>, term string, ords binary, tfs binary, n int, most int, least int"
+
+
+def _inverted(rows: DataFrame, filing_type: str, doc_type: str, shard_docs: int) -> DataFrame:
+    """A row for each shard (filings, docs, lengths) and one for each of its blocks (term, ords, tfs, n, most, least)."""
+    rows = rows.select("filing", "doc", F.array_join(kept_tokens(F.col("text")), " ").alias("_t"), F.spark_partition_id().cast("long").alias("_p"))
+    schema = _COLUMNS.format(filing=filing_type, doc=doc_type)
+    size = BLOCK
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def shard(number: int, filings: list, docs: list, own: list[Counter]) -> Iterator[pa.RecordBatch]:
+        lengths = np.array([sum(c.values()) for c in own], np.int64)
+        first = {"shard": [number], "filings": [filings], "docs": [docs], "lengths": [lengths.tolist()]}
+        yield pa.RecordBatch.from_arrays([pa.array(first.get(f.name, [None]), f.type) for f in fields], schema=fields)
+        names: dict[str, int] = {}
+        ids = np.array([names.setdefault(t, len(names)) for c in own for t in c], np.int64)
+        if not len(ids):
+            return
+        ords, tfs = np.repeat(np.arange(len(own)), [len(c) for c in own]), np.array([n for c in own for n in c.values()], np.int64)
+        order = np.argsort(ids, kind="stable")
+        ids, ords, tfs = ids[order], ords[order], tfs[order]
+        runs = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        place = np.arange(len(ids)) - np.repeat(runs, np.diff(np.r_[runs, len(ids)]))
+        starts = np.flatnonzero(place % size == 0)
+        n = len(starts)
+        blocks = {
+            "shard": pa.array(np.full(n, number)), "term": pa.array(list(names)).take(pa.array(ids[starts])), "ords": _packed(ords, _ORD, starts), "tfs": _packed(tfs, _TF, starts),
+            "n": pa.array(np.diff(np.r_[starts, len(ids)]), pa.int32()), "most": pa.array(np.maximum.reduceat(tfs, starts), pa.int32()), "least": pa.array(np.minimum.reduceat(lengths[ords], starts), pa.int32()),
+        }
+        yield pa.RecordBatch.from_arrays([blocks.get(f.name, pa.nulls(n, f.type)) for f in fields], schema=fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, filings, docs, own, held = None, [], [], [], 0
+        for b in (x.slice(i, BATCH_ROWS) for x in batches for i in range(0, x.num_rows, BATCH_ROWS)):
+            number = b.column(3)[0].as_py() << 32 if number is None else number
+            for f, d, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _counts(b.column(2)), strict=True):
+                filings.append(f), docs.append(d), own.append(c)
+                held += len(c)
+                if len(docs) == shard_docs or held >= SHARD_TOKENS:
+                    yield from shard(number, filings, docs, own)
+                    number, filings, docs, own, held = number + 1, [], [], [], 0
+        if docs:
+            yield from shard(number, filings, docs, own)
+
+    return rows.mapInArrow(run, schema)
+
+
 @dataclass
 class Bm25Index:
     """An index under `path`. avg_len: a fixed mean length, else that of the documents at the time of asking.
@@ -81,11 +141,14 @@ class Bm25Index:
 
     # ---------------------------------------------------------------- reading
 
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _committed(self) -> list[Row]:
         """(segment, docs, length, ends) of all upserts that were finished, a row each; none without an index."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/segments")
-        there = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root)
-        return self.spark.read.schema("segment string, docs bigint, length bigint, ends array<string>").parquet(f"{self.path}/segments").collect() if there else []
+        root, fs = self._at("segments")
+        return self.spark.read.schema("segment string, docs bigint, length bigint, ends array<string>").parquet(f"{self.path}/segments").collect() if fs.exists(root) else []
 
     def segments(self) -> list[Row]:
         """The committed segments that no compaction has ended."""
@@ -95,9 +158,9 @@ class Bm25Index:
 
     def _read(self, name: str) -> DataFrame:
         schemas = {
-            "docs": f"filing {self.filing_type}, doc {self.doc_type}, shard int, length bigint, terms array<string>, tfs array<int>, segment string",
-            "replaced": f"segment string, shard int, doc {self.doc_type}, length bigint, terms array<string>, by string",
-            "postings": f"shard int, term string, docs array<{self.doc_type}>, tfs array<int>, lengths array<bigint>, most int, least bigint, segment string, bucket int",
+            "shards": f"shard bigint, filings array<{self.filing_type}>, docs array<{self.doc_type}>, lengths array<int>, segment string",
+            "replaced": f"segment string, shard bigint, ord int, doc {self.doc_type}, length int, by string",
+            "postings": "shard bigint, term string, ords binary, tfs binary, n int, most int, least int, segment string, bucket int",
         }
         return self.spark.read.schema(schemas[name]).parquet(f"{self.path}/{name}")
 
@@ -106,22 +169,41 @@ class Bm25Index:
         return self._read(name).where(F.col("segment").isin([r["segment"] for r in self.segments()]))
 
     def replaced(self) -> DataFrame:
-        """(segment, shard, doc, length, terms) of documents of live segments that a later segment replaced."""
+        """(segment, shard, ord, doc, length) of documents of live segments that a later segment replaced."""
         return self._table("replaced").where(F.col("by").isin([r["segment"] for r in self._committed()])).drop("by")
 
     def documents(self) -> DataFrame:
-        """(filing, doc, segment, shard, length, terms) of the live documents."""
-        gone = self.replaced().select("segment", "doc")
-        return self._table("docs").join(_bounded(gone), ["segment", "doc"], "left_anti")
-
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """Blocks (segment, bucket, shard, term, docs, tfs, lengths, most, least), of all terms or of those of terms(term)."""
-        blocks = self._table("postings")
+        """(filing, doc, length, segment, shard, ord) of the live documents."""
+        rows = self._table("shards").select("segment", "shard", F.posexplode(F.arrays_zip("filings", "docs", "lengths")).alias("ord", "x"))
+        rows = rows.select(F.col("x.filings").alias("filing"), F.col("x.docs").alias("doc"), F.col("x.lengths").alias("length"), "segment", "shard", "ord").where("length IS NOT NULL")
+        return rows.join(_bounded(self.replaced().select("segment", "shard", "ord")), ["segment", "shard", "ord"], "left_anti")
+
+    def blocks(self, terms: DataFrame | None = None) -> DataFrame:
+        """Blocks (segment, bucket, shard, term, ords, tfs, n, most, least), of all terms or of those of terms(term)."""
+        rows = self._table("postings")
         if terms is None:
-            return blocks
+            return rows
         asked = terms.select("term", _bucket(F.col("term"), self.buckets).alias("bucket")).distinct()
         wanted = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most `buckets`: folders that are read
-        return blocks.where(F.col("bucket").isin(wanted)).join(_bounded(asked.select("term")), "term", "left_semi")
+        return rows.where(F.col("bucket").isin(wanted)).join(_bounded(asked.select("term")), "term", "left_semi")
+
+    def _shards(self, dead: DataFrame) -> DataFrame:
+        """(segment, shard, docs, lengths, dead): a row for each shard, with the places in dead(segment, shard, ord)."""
+        gone = dead.groupBy("segment", "shard").agg(F.collect_set("ord").alias("dead"))
+        return self._table("shards").select("segment", "shard", "docs", "lengths").join(gone, ["segment", "shard"], "left")
+
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, doc, tf) of live documents."""
+
+        def run(hits: pa.Table, shard: pa.Table) -> pa.Table:
+            ords, live, docs, _ = _shard(shard)
+            at, tfs = unpacked(hits.column("ords"), _ORD), unpacked(hits.column("tfs"), _TF)
+            term = np.repeat(np.arange(hits.num_rows), hits.column("n").to_numpy())
+            on = live[at]
+            return pa.table({"term": hits.column("term").combine_chunks().take(pa.array(term[on])), "doc": docs.take(pa.array(at[on])), "tf": pa.array(tfs[on])})
+
+        rows = self.blocks(terms).select("segment", "shard", "term", "ords", "tfs", "n")
+        return rows.groupBy("segment", "shard").cogroup(self._shards(self.replaced()).groupBy("segment", "shard")).applyInArrow(run, f"term string, doc {self.doc_type}, tf bigint")
 
     def stats(self) -> tuple[int, float]:
         """Live documents with a term, and their mean length."""
@@ -130,53 +212,63 @@ class Bm25Index:
         n, length = sum(r["docs"] for r in own) - gone["n"], sum(r["length"] for r in own) - (gone["l"] or 0)
         return n, length / n if n else 1.0
 
-    def frequencies(self, terms: DataFrame) -> DataFrame:
-        """(term, df) of the asked terms over the live documents: block sizes, less the replaced documents that have the term."""
-        found = self.postings(terms).groupBy("term").agg(F.sum(F.size("docs")).alias("n"))
-        gone = self.replaced().select(F.explode("terms").alias("term")).join(_bounded(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("gone"))
-        return found.join(gone, "term", "left").select("term", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("df")).where("df > 0")
+    def frequencies(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, df) of the asked terms over the live documents: block sizes, less the postings of replaced documents."""
+        found = self.blocks(terms)
+        dead = self.replaced().groupBy("segment", "shard").agg(F.collect_list("ord").alias("dead"))
+        if not dead.isEmpty():
+            held = found.join(_bounded(dead), ["segment", "shard"], "left")
+            found = held.select("term", "n", "ords", "dead").mapInArrow(_live_sizes, "term string, n bigint")
+        return found.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
 
     # ---------------------------------------------------------------- writing
 
     def upsert(self, docs: DataFrame, filings: DataFrame | None = None, filing: str = "filing", doc: str = "doc", text: str = "text", name: str | None = None) -> str:
         """Replaces the documents of the filings that docs(filing, doc, text) or filings(filing) names; returns the segment.
 
-        A filing of `filings` without rows in docs loses its documents. A document's id is its own in all filings. name: a name for the segment, with which a rerun
-        of an upsert that was committed does nothing.
+        A filing of `filings` without rows in docs loses its documents. A document's id is its own in all filings. name:
+        a name for the segment, with which a rerun of an upsert that was committed does nothing.
         """
         name = name or uuid.uuid4().hex
         if any(r["segment"] == name for r in self._committed()):
             return name
-        rows = terms_of(docs.select(F.col(filing).cast(self.filing_type).alias("filing"), F.col(doc).cast(self.doc_type).alias("doc"), F.col(text).alias("text")))
-        stored = self._put_docs(rows, docs.count(), name)
-        touched = stored.select("filing").distinct()
+        rows = docs.select(F.col(filing).cast(self.filing_type).alias("filing"), F.col(doc).cast(self.doc_type).alias("doc"), F.col(text).alias("text"))
+        built = _inverted(rows, self.filing_type, self.doc_type, self.shard_docs)
+        # One job writes shards and blocks, so that both are of the same reading of the documents.
+        built.withColumn("kind", F.when(F.col("term").isNull(), "shard").otherwise("block")).write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/built/{name}")
+        built = self.spark.read.schema(f"{_COLUMNS.format(filing=self.filing_type, doc=self.doc_type)}, kind string").parquet(f"{self.path}/built/{name}")
+        stored = built.where("kind = 'shard'").select("shard", "filings", "docs", "lengths")
+        touched = stored.select(F.explode("filings").alias("filing")).distinct()
         if filings is not None:
             touched = touched.unionByName(filings.select(F.col(filing).cast(self.filing_type).alias("filing"))).distinct()
-        if self.segments():
-            gone = self.documents().join(_bounded(touched), "filing", "left_semi").select("segment", "shard", "doc", "length", "terms")
-            self._write(gone.withColumn("by", F.lit(name)), "replaced", "by")
-        else:
-            self._write(stored.limit(0).select(F.lit(name).alias("segment"), "shard", "doc", "length", "terms", F.lit(name).alias("by")), "replaced", "by")
-        self._commit(stored, name, [])
+        live = self.documents() if self.segments() else self.spark.createDataFrame([], f"filing {self.filing_type}, segment string, shard bigint, ord int, doc {self.doc_type}, length int")
+        gone = live.join(_bounded(touched), "filing", "left_semi").select("segment", "shard", "ord", "doc", "length")
+        self._write(gone.withColumn("by", F.lit(name)), "replaced", "by")
+        self._commit(stored, built.where("kind = 'block'").drop("kind", "filings", "docs", "lengths"), name, [])
+        path, fs = self._at(f"built/{name}")
+        fs.delete(path, True)
         return name
 
     def compact(self) -> str:
-        """All live documents as one segment that ends the others, whose blocks and replaced documents nothing reads any more."""
-        live, name = self.documents(), uuid.uuid4().hex
-        ended = [r["segment"] for r in self.segments()]
-        self._commit(self._put_docs(live.drop("segment", "shard"), live.count(), name), name, ended)
+        """All live segments as one that ends them, without their replaced documents' postings."""
+        name, ended, dead = uuid.uuid4().hex, [r["segment"] for r in self.segments()], self.replaced()
+        gone = dead.groupBy("segment", "shard").agg(F.collect_set("ord").alias("dead"))
+        key = F.xxhash64("segment", "shard").alias("shard")
+        shards = self._table("shards").join(gone, ["segment", "shard"], "left")
+        keep = lambda c: F.transform(c, lambda x, i: F.when(~F.coalesce(F.array_contains("dead", i), F.lit(False)), x)).alias(c)
+        stored = shards.select(key, keep("filings"), keep("docs"), keep("lengths"))
+        held = self._table("postings").join(_bounded(gone), ["segment", "shard"], "left").select(key, "term", "ords", "tfs", "n", "most", "least", "dead")
+        schema = "shard bigint, term string, ords binary, tfs binary, n int, most int, least int"
+        self._commit(stored, held.mapInArrow(_without_dead, schema), name, ended)
         return name
 
-    def _put_docs(self, rows: DataFrame, n: int, name: str) -> DataFrame:
-        """Writes a segment's n documents, spread over shards, and reads them back."""
-        shard = F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-n // self.shard_docs)))).cast("int")
-        self._write(rows.select("filing", "doc", shard.alias("shard"), "length", "terms", "tfs", F.lit(name).alias("segment")), "docs", "segment")
-        return self._read("docs").where(F.col("segment") == name).drop("segment")
-
-    def _commit(self, stored: DataFrame, name: str, ends: list[str]) -> None:
-        """Writes a segment's blocks, and last its row in `segments`."""
-        self._write(_blocks(stored, self.buckets).withColumn("segment", F.lit(name)), "postings", "segment", "bucket")
-        full = stored.where("length > 0").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
+    def _commit(self, stored: DataFrame, blocks: DataFrame, name: str, ends: list[str]) -> None:
+        """Writes a segment's shards and blocks, and last its row in `segments`."""
+        self._write(stored.withColumn("segment", F.lit(name)), "shards", "segment")
+        rows = blocks.withColumn("bucket", _bucket(F.col("term"), self.buckets)).withColumn("segment", F.lit(name))
+        self._write(rows.repartition("bucket", "shard").sortWithinPartitions("bucket"), "postings", "segment", "bucket")
+        lengths = self._read("shards").where(F.col("segment") == name).select(F.explode("lengths").alias("l")).where("l > 0")
+        full = lengths.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("l"), F.lit(0)).alias("length"))
         row = full.select(F.lit(name).alias("segment"), "docs", "length", F.lit(ends).cast("array<string>").alias("ends"))
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
 
@@ -190,29 +282,29 @@ class Bm25Index:
         """(query, doc, score, rank): the best k documents of each question, equal to those of the exhaustive score.
 
         Each distinct stem of a question counts once; a term's rarity is that of the whole index. allowed: (doc) that
-        may be ranked, all if None. Questions are counted and go out in blocks of at most `block`;
-        documents whose scores agree to nine places are ranked by id.
+        may be ranked, all if None. Questions are counted and go out in blocks of at most `block`; documents whose
+        scores agree to nine places are ranked by id.
         """
-        asked = terms_of(questions.select(F.col(query).alias("q"), F.col(text).alias("text"))).select("q", F.explode("terms").alias("term"))
+        asked = terms_of(questions, query, text)
         n, mean = self.stats()
         mean = self.avg_len or mean
         blocks = max(1, -(-questions.count() // block))
         schema = f"q {questions.schema[query].dataType.simpleString()}, doc {self.doc_type}, score double"
-        dead = self.replaced().select("segment", "shard", "doc")
+        dead = self.replaced().select("segment", "shard", "ord")
         if allowed is not None:
-            dead = dead.unionByName(self.documents().join(allowed.select("doc").distinct(), "doc", "left_anti").select("segment", "shard", "doc"))
+            dead = dead.unionByName(self.documents().join(allowed.select("doc").distinct(), "doc", "left_anti").select("segment", "shard", "ord"))
+        shards = self._shards(dead)
         kinds = [x.type for x in to_arrow_schema(StructType.fromDDL(schema))][:2]
-        parts = []
+        out = []
         for b in range(blocks):
             some = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else asked
             own = some.toPandas()  # the stated questions' terms
             terms = self.spark.createDataFrame(pd.DataFrame({"term": sorted(set(own["term"]))}, dtype=object), "term string")
             known = self.frequencies(terms).select("term", idf(F.lit(n), F.col("df")).alias("idf")).toPandas()
             own = own.merge(known, on="term")
-            hits = self.postings(terms).select("segment", "shard", "term", "docs", "tfs", "lengths", "most", "least")
-            found = hits.groupBy("segment", "shard").cogroup(dead.groupBy("segment", "shard")).applyInArrow(_scorer(own, k, mean, *kinds), schema)
-            parts.append(found)
-        return top_k(reduce(DataFrame.unionByName, parts), k, "q", "doc").withColumnRenamed("q", query)
+            hits = self.blocks(terms).select("segment", "shard", "term", "ords", "tfs", "n", "most", "least")
+            out.append(hits.groupBy("segment", "shard").cogroup(shards.groupBy("segment", "shard")).applyInArrow(_scorer(own, k, mean, *kinds), schema))
+        return top_k(reduce(DataFrame.unionByName, out), k, "q", "doc").withColumnRenamed("q", query)
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -224,72 +316,66 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of postings of docs(doc, shard, length, terms, tfs): at most BLOCK documents of a shard that have a term, by id.
+def _on(ords: np.ndarray, dead: list | None) -> np.ndarray:
+    return ~np.isin(ords, dead) if dead else np.ones(len(ords), bool)
 
-    Postings are shuffled once, sorted by spill, and cut as they stream by, so no term's list is held as a whole.
-    """
-    posts = docs.select("shard", "doc", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("shard", F.col("p.terms").alias("term"), "doc", F.col("p.tfs").alias("tf"), "length", _bucket(F.col("p.terms"), buckets).alias("bucket"))
-    posts = posts.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", "term", "doc")
-    kind = posts.schema["doc"].dataType.simpleString()
-    size = BLOCK
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            terms, shards = b.column(1).dictionary_encode().indices.to_numpy(), b.column(0).to_numpy()
-            new = np.r_[True, (terms[1:] != terms[:-1]) | (shards[1:] != shards[:-1])]
-            place = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            first = np.flatnonzero(place % size == 0)
-            ends = pa.array(np.r_[first, n], pa.int32())
-            tfs, lengths = b.column(3).to_numpy(), b.column(4).to_numpy()
-            at = pa.array(first)
-            lists = [pa.ListArray.from_arrays(ends, b.column(i)) for i in (2, 3, 4)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), *lists, pa.array(np.maximum.reduceat(tfs, first), pa.int32()), pa.array(np.minimum.reduceat(lengths, first), pa.int64()), b.column(5).take(at)],
-                names=["shard", "term", "docs", "tfs", "lengths", "most", "least", "bucket"],
-            )
-
-    return posts.mapInArrow(run, f"shard int, term string, docs array<{kind}>, tfs array<int>, lengths array<bigint>, most int, least bigint, bucket int")
+def _live_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n, ords, dead) to (term, n) of what isn't dead."""
+    for b in batches:
+        sizes = [n if not d else int(_on(np.frombuffer(o, _ORD), d).sum()) for n, o, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["term", "n"])
+
+
+def _without_dead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks without the postings of dead places; their bounds stay, which are no less right for it."""
+    for b in batches:
+        rows = []
+        for s, t, o, f, most, least, d in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6, 7)), strict=True):
+            on = _on(np.frombuffer(o, _ORD), d)
+            if on.any():
+                rows.append((s, t, np.frombuffer(o, _ORD)[on].tobytes(), np.frombuffer(f, _TF)[on].tobytes(), int(on.sum()), most, least))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], b.schema.field(i).type) for i in range(7)], names=b.schema.names[:7])
+
+
+def _shard(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(rank of each place by document id, whether it is live, ids, lengths) of a shard's one row."""
+    docs = table.column("docs").combine_chunks().flatten()
+    lengths = table.column("lengths").combine_chunks().flatten().fill_null(0).to_numpy().astype(float)
+    live = np.ones(len(docs), bool)
+    live[table.column("dead")[0].as_py() or []] = False
+    rank = np.empty(len(docs), np.int64)
+    rank[pc.sort_indices(docs).to_numpy()] = np.arange(len(docs))
+    return rank, live, docs, lengths
 
 
 def _scorer(asked: pd.DataFrame, k: int, mean: float, query: pa.DataType, doc: pa.DataType):
     """Scores the blocks of a shard for asked(q, term, idf); see Shard.best()."""
     questions = {q: dict(zip(g["term"], g["idf"], strict=True)) for q, g in asked.groupby("q", sort=False)}
 
-    def run(hits: pa.Table, dead: pa.Table) -> pa.Table:
-        rows = []
+    def run(hits: pa.Table, table: pa.Table) -> pa.Table:
+        rows, found = [], pa.array([], doc)
         if hits.num_rows:
-            flat = lambda c: hits.column(c).combine_chunks().flatten()
-            docs = flat("docs").dictionary_encode()
-            order = pc.sort_indices(docs.dictionary).to_numpy()
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            names = docs.dictionary.take(pa.array(order))
-            live = ~pc.is_in(names, dead.column("doc").combine_chunks()).to_numpy(zero_copy_only=False)
-            shard = Shard(hits.column("term").to_numpy(), pc.list_value_length(hits.column("docs")).to_numpy(), rank[docs.indices.to_numpy()], flat("tfs").to_numpy(), flat("lengths").to_numpy(), hits.column("most").to_numpy(), hits.column("least").to_numpy(), live, mean)
+            rank, live, docs, lengths = _shard(table)
+            shard = Shard(hits.column("term").to_numpy(), hits.column("n").to_numpy(), unpacked(hits.column("ords"), _ORD), unpacked(hits.column("tfs"), _TF), hits.column("most").to_numpy(), hits.column("least").to_numpy(), lengths, live, rank, mean)
             rows = [(q, d, x) for q, idfs in questions.items() for d, x in shard.best(idfs, k)]
-            found = names.take(pa.array([d for _, d, _ in rows], pa.int64()))
-        else:
-            found = pa.array([], doc)
+            found = docs.take(pa.array([d for _, d, _ in rows], pa.int64()))
         return pa.table({"q": pa.array([q for q, _, _ in rows], query), "doc": found, "score": pa.array([x for _, _, x in rows], pa.float64())})
 
     return run
 
 
 class Shard:
-    """A shard's blocks of the asked terms as flat arrays; documents are numbers in the order of their ids.
+    """A shard's blocks of the asked terms as flat arrays; documents are their places.
 
-    terms, sizes, most, least: of each block; at, tfs, lengths: of each posting, block by block; live: of each document.
-    skipped: blocks that best() has passed over so far.
+    terms, sizes, most, least: of each block; at, tfs: of each posting, block by block; lengths, live, rank: of each
+    document. skipped: blocks that best() has passed over so far.
     """
 
-    def __init__(self, terms: np.ndarray, sizes: np.ndarray, at: np.ndarray, tfs: np.ndarray, lengths: np.ndarray, most: np.ndarray, least: np.ndarray, live: np.ndarray, mean: float):
+    def __init__(self, terms: np.ndarray, sizes: np.ndarray, at: np.ndarray, tfs: np.ndarray, most: np.ndarray, least: np.ndarray, lengths: np.ndarray, live: np.ndarray, rank: np.ndarray, mean: float):
         ends = np.cumsum(sizes)
         order = np.argsort(terms, kind="stable")
-        self.at, self.live, self.w = at, live, weight(tfs.astype(float), lengths.astype(float), mean)
+        self.at, self.live, self.rank, self.w = at, live, rank, weight(tfs.astype(float), lengths[at], mean)
         self.starts, self.ends = (ends - sizes)[order], ends[order]
         self.bound = weight(most.astype(float), least.astype(float), mean)[order]
         terms = terms[order]
@@ -312,16 +398,14 @@ class Shard:
                 seen = scores[self.live]
                 if len(seen) > k and (least := np.partition(seen, len(seen) - k)[len(seen) - k]) > rest[j] + 1e-6:
                     hopeful = np.flatnonzero(self.live & (scores + rest[j] + 1e-6 >= least))
-            if hopeful is None:
-                for x in range(a, b):
-                    s, e = self.starts[x], self.ends[x]
-                    scores[self.at[s:e]] += i * self.w[s:e]  # a document is in a term's blocks once
-                continue
-            held = np.searchsorted(hopeful, self.high[a:b], "right") > np.searchsorted(hopeful, self.low[a:b])
-            self.skipped += int((~held).sum())
-            for x in np.flatnonzero(held) + a:
+            held = range(a, b)
+            if hopeful is not None:
+                some = np.searchsorted(hopeful, self.high[a:b], "right") > np.searchsorted(hopeful, self.low[a:b])
+                self.skipped += int((~some).sum())
+                held = np.flatnonzero(some) + a
+            for x in held:
                 s, e = self.starts[x], self.ends[x]
-                scores[self.at[s:e]] += i * self.w[s:e]
+                scores[self.at[s:e]] += i * self.w[s:e]  # a document is in a term's blocks once
         scores[~self.live] = 0
         if hopeful is not None:
             only = np.zeros(len(scores), bool)
@@ -331,5 +415,5 @@ class Shard:
         some = np.flatnonzero(scores > 0)
         if len(some) > k:
             some = some[rounded[some] >= np.partition(rounded[some], len(some) - k)[len(some) - k]]
-        order = some[np.lexsort((some, -rounded[some]))][:k]
+        order = some[np.lexsort((self.rank[some], -rounded[some]))][:k]
         return [(int(x), scores[x]) for x in order]
