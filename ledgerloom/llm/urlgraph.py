@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import ascii_lower, cut
 
 DAMPING, ROUNDS, CUT_EACH = 0.85, 8, 4
+#: Rankings converge until what further rounds can change is below this share of all mass; trust and distrust that
+#: differ by less than this share of the larger are alike.
+TOLERANCE, ALIKE = 1e-3, 1e-9
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _HREF = r"(?i)href\s*=\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"
 
@@ -68,36 +71,42 @@ def host_edges(links: DataFrame) -> DataFrame:
     return found.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
+def rounds_for(tolerance: float, damping: float = DAMPING) -> int:
+    """Rounds after which further ones change less than the tolerance: damping ** k of the mass is still on its way after k."""
+    return math.ceil(math.log(tolerance / 2) / math.log(damping))
+
+
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(host, score) over edges(src, dst, w) from seeds(host, mass), whose mass is scaled to 1.
 
-    Without a tolerance, after a fixed number of rounds; with one, when what further rounds can change is below it in all.
+    Without a tolerance, after a fixed number of rounds; with one, when what further rounds can change is below it in
+    all. by: columns of edges and seeds whose values have rankings of their own, which then go on together. Seeds without
+    mass have no score but 0.
     """
-    total = seeds.agg(F.sum("mass")).first()[0]
-    if not total:
-        return seeds.select("host", F.lit(0.0).alias("score"))
-    start = cut(seeds.select("host", (F.col("mass") / F.lit(float(total))).alias("score")))
-    out = edges.groupBy("src").agg(F.sum("w").alias("out"))
-    share = cut(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")))
+    by, at = list(by), [*by, "host"]
+    totals = seeds.groupBy(*by).agg(F.sum("mass").alias("_all"))
+    scaled = seeds.join(F.broadcast(totals), by) if by else seeds.crossJoin(F.broadcast(totals))  # a row for each ranking
+    mass = F.when(F.col("_all") > 0, F.col("mass") / F.col("_all").cast("double")).otherwise(0.0)
+    start = cut(scaled.select(*at, mass.alias("score")))
+    out = edges.groupBy(*by, "src").agg(F.sum("w").alias("out"))
+    share = cut(edges.join(out, [*by, "src"]).select(*by, F.col("src").alias("host"), "dst", (F.col("w") / F.col("out")).alias("p")))
     rank = start
-    if tolerance is not None:  # after k rounds, damping ** k of the mass is still on its way
-        rounds = math.ceil(math.log(tolerance / 2) / math.log(damping))
-    for k in range(rounds):
-        flow = rank.join(share, rank["host"] == share["src"]).select(F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
-        rank = flow.unionByName(start.select("host", (F.col("score") * (1 - damping)).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
+    for k in range(rounds if tolerance is None else rounds_for(tolerance, damping)):
+        flow = rank.join(share, at).select(*by, F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
+        rank = flow.unionByName(start.select(*at, (F.col("score") * (1 - damping)).alias("score"))).groupBy(*at).agg(F.sum("score").alias("score"))
         if (k + 1) % CUT_EACH == 0:
             rank = cut(rank)
     return rank
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, page_id: str = "page_id", url: str = "url", html: str = "html", damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, page_id: str = "page_id", url: str = "url", html: str = "html", damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, trust, distrust, verdict.
 
-    With a tolerance the rankings converge to it, and trust and distrust are alike if they differ by less than 1e-9 of
-    the larger; without, rounds and places are those of the query's SQL.
+    The rankings converge to the tolerance; without one they end after `rounds`. Trust and distrust are alike if they
+    differ by less than ALIKE of the distrust, so a verdict doesn't depend on how many hosts share the mass.
 
     A URL that is null or has no `://` has empty host and path, fits no rule and is allowed, as is a host that neither
-    trust nor distrust reaches, or both alike (to 12 places). Repeated rows count repeatedly. An empty table gives no
+    trust nor distrust reaches, or both alike. Repeated rows count repeatedly. An empty table gives no
     rows.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
@@ -111,13 +120,12 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, page_id: str = "pag
     weights = pairs.where("dst is not null and dst <> '' and src <> dst").select("src", "dst", F.col("n").cast("double").alias("w"))
     edges = cut(counted.join(weights, ["src", "dst"], "left").select("src", "dst", F.coalesce("w", F.lit(1.0)).alias("w")))
     seeds = cut(rows.where("host <> '' and r is not null").groupBy("host", F.col("r.verdict").alias("v")).agg(F.count(F.lit(1)).alias("mass")))
-    trust = personalised_pagerank(edges, seeds.where("v = 'allow'"), damping, rounds, tolerance)
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = personalised_pagerank(against, seeds.where("v = 'block'"), damping, rounds, tolerance)
-    marks = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
-    hosts = cut(marks.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+    against = edges.select(F.lit("block").alias("v"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    both = edges.select(F.lit("allow").alias("v"), "src", "dst", "w").unionByName(against)
+    marks = personalised_pagerank(both, seeds, damping, rounds, tolerance, ("v",))
+    score = lambda v: F.sum(F.when(F.col("v") == v, F.col("score")).otherwise(0.0))
+    hosts = cut(marks.groupBy("host").agg(score("allow").alias("trust"), score("block").alias("distrust")))
     out = rows.drop("html").join(hosts, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
-    more = F.col("distrust") - F.col("trust")
-    worse = F.round(more, 12) > 0 if tolerance is None else more > F.col("distrust") * 1e-9
+    worse = F.col("distrust") - F.col("trust") > F.col("distrust") * ALIKE
     own = F.when(worse, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("r.text").alias("rule"), "trust", "distrust", F.coalesce(F.col("r.verdict"), own).alias("verdict"))
