@@ -48,6 +48,10 @@ def test_store_replaces_filings(spark, tmp_path):
     ids = spark.createDataFrame([("p0",), ("p2",), ("q0",), ("missing",)], "node_id string")
     assert {r["node_id"] for r in store.get(ids).collect()} == {"p0", "q0"}
     assert store.stale(nodes("F1", 3, "p").unionByName(nodes("F2", 1, "q"))).count() == 1
+    store.replace(nodes("a=b/c", 2, "r"), spark.createDataFrame([("F2",), ("a=b/c",), ("never",)], "filing_id string"))
+    assert {r["node_id"] for r in store.read().collect()} == {"p0", "p1", "r0", "r1"}
+    store.replace(nodes("F1", 0, "p"), spark.createDataFrame([("a=b/c",)], "filing_id string"))
+    assert {r["node_id"] for r in store.read().collect()} == {"p0", "p1"}
     with pytest.raises(PermissionError):
         L.NodeStore(spark, str(tmp_path / "p"), readonly=True).replace(nodes("F3", 1, "r"))
 
@@ -85,6 +89,14 @@ def test_config_overrides(tmp_path, monkeypatch):
     assert L.config(tmp_path / "c.json", {"INDEX_URL": ("index", "url")})["index"]["url"] == "http://b"
 
 
+def test_deep_spans_count(spark):
+    at = dt.datetime(2031, 1, 1)
+    rows = [("t", "s0", None, O.ROOT, "CHAIN", at, at, "q", 900.0)] + [("t", f"s{i}", f"s{i - 1}", "step", "CHAIN", at, at, None, 1.0) for i in range(1, 90)]
+    rows += [("t", "deep", "s89", "rerank.cross_encoder", "CHAIN", at, at, None, 40.0), ("t", "loop", "loop", "query.decompose", "CHAIN", at, at, None, 5.0)]
+    got = O.breakdown(spark.createDataFrame(rows, SPANS), 1).first()
+    assert (got["rerank"], got["decompose"], got["other"]) == (40.0, 0.0, 860.0)
+
+
 def test_breakdown_counts_outermost_stages(spark):
     def row(sid, parent, name, kind, start, ms):
         t = dt.datetime(2026, 1, 1) + dt.timedelta(milliseconds=start)
