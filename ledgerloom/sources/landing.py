@@ -120,11 +120,21 @@ class NodeStore:
     def __init__(self, spark: SparkSession, path: str, readonly: bool = False) -> None:
         self.spark, self.path, self.readonly = spark, path, readonly
 
-    def replace(self, nodes: DataFrame) -> None:
-        """Writes nodes(filing_id, node_id, ...): each of their filings has these nodes and no others from now on."""
+    def replace(self, nodes: DataFrame, filings: DataFrame | None = None) -> None:
+        """Writes nodes(filing_id, node_id, ...): each of their filings, and of filings(filing_id), has these nodes and no others from now on.
+
+        A filing of `filings` without nodes loses its partition after the others are written; a run that dies between
+        is done by running it again.
+        """
         if self.readonly:
             raise PermissionError("the store is read-only")
         nodes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("filing_id").parquet(self.path)
+        if filings is not None:
+            empty = filings.select(F.col("filing_id").cast("string")).distinct().join(nodes.select(F.col("filing_id").cast("string")).distinct(), "filing_id", "left_anti")
+            for r in empty.toLocalIterator():  # folder names, one after the other
+                folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(r["filing_id"])
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/filing_id={folder}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)

@@ -14,13 +14,14 @@ from ledgerloom.sources.landing import NodeStore
 
 
 def ingest(files: DataFrame, store: NodeStore, checkpoint: str, build: Callable[[DataFrame], DataFrame]) -> None:
-    """Takes all new files once: build() makes nodes(filing_id, ...) of a batch, which replace their filings' nodes.
+    """Takes all new files once: build() makes nodes(filing_id, ...) of a batch, which replace their filings' nodes; a
+    filing of the batch (its filing_id) that has none any more loses those it had.
 
     A batch that is run again after a failure writes the same partitions again, so each file counts once.
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        store.replace(build(batch))
+        store.replace(build(batch), batch.select("filing_id") if "filing_id" in batch.columns else None)
 
     files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
