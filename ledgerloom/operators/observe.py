@@ -19,6 +19,8 @@ from ledgerloom.schemas import SPANS
 STAGES = {"query.decompose": "decompose", "retrieve.candidate_pool": "pool", "rerank.cross_encoder": "rerank", "answer.calc_and_verify": "calc_verify"}
 NAMES = ("decompose", "pool", "rerank", "llm", "calc_verify")
 ROOT = "rag.answer"
+#: Spans deeper than this are an error.
+DEPTH = 64
 
 
 class Tracer:
@@ -67,23 +69,23 @@ def breakdown(spans: DataFrame, last: int) -> DataFrame:
     """(trace, question, total_ms, ms by stage, other) of the newest answers. Only outermost stage spans count.
 
     A staged span is followed up to its root one level a round, and dropped at a staged ancestor; a round takes the
-    parents of what is left, so the rounds are the depth of the deepest trace. A span that is its own ancestor counts
-    nowhere.
+    parents of what is left, so the rounds are the depth of the deepest trace. Spans deeper than DEPTH, or above
+    themselves, are an error.
     """
     roots = spans.where(F.col("name") == ROOT).orderBy(F.desc("start"), "trace").limit(last)
     spans = spans.join(roots.select("trace"), "trace", "left_semi").withColumn("stage", stage_of(F.col("name"), F.col("kind")))
     parents = spans.select("trace", F.col("span").alias("at"), F.col("parent").alias("_up"), F.col("stage").isNotNull().alias("_staged"))
     left = spans.where("stage is not null").select("trace", "span", "stage", "ms", F.col("parent").alias("at"))
-    outer, depth = None, 0
-    deepest = spans.groupBy("trace").count().agg(F.max("count")).first()[0] or 0  # no chain of parents is longer
-    while depth <= deepest:
-        depth += 1
+    outer = None
+    for _ in range(DEPTH):
         step = left.join(parents, ["trace", "at"], "left")
         top = step.where("_staged is null").select("trace", "stage", "ms")
         outer = top if outer is None else outer.unionByName(top)
         left = step.where("not _staged").select("trace", "span", "stage", "ms", F.col("_up").alias("at"))
         if left.isEmpty():
             break
+    else:
+        raise ValueError(f"spans deeper than {DEPTH}")
     totals = outer.groupBy("trace").pivot("stage", list(NAMES)).agg(F.sum("ms")).na.fill(0.0)
     rows = roots.select("trace", F.substring(F.coalesce("input", F.lit("")), 1, 60).alias("question"), F.col("ms").alias("total_ms")).join(totals, "trace", "left").na.fill(0.0)
     other = F.greatest(F.col("total_ms") - sum((F.col(n) for n in NAMES[1:]), F.col(NAMES[0])), F.lit(0.0))

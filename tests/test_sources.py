@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import observe as O
+from ledgerloom.schemas import SPANS
 from ledgerloom.sources import landing as L
 from ledgerloom.sources import manifest as M
 from ledgerloom.streaming import incremental as S
@@ -89,12 +90,14 @@ def test_config_overrides(tmp_path, monkeypatch):
     assert L.config(tmp_path / "c.json", {"INDEX_URL": ("index", "url")})["index"]["url"] == "http://b"
 
 
-def test_deep_spans_count(spark):
+def test_deep_spans_are_no_silent_loss(spark, monkeypatch):
+    monkeypatch.setattr(O, "DEPTH", 3)
     at = dt.datetime(2031, 1, 1)
-    rows = [("t", "s0", None, O.ROOT, "CHAIN", at, at, "q", 900.0)] + [("t", f"s{i}", f"s{i - 1}", "step", "CHAIN", at, at, None, 1.0) for i in range(1, 90)]
-    rows += [("t", "deep", "s89", "rerank.cross_encoder", "CHAIN", at, at, None, 40.0), ("t", "loop", "loop", "query.decompose", "CHAIN", at, at, None, 5.0)]
-    got = O.breakdown(spark.createDataFrame(rows, SPANS), 1).first()
-    assert (got["rerank"], got["decompose"], got["other"]) == (40.0, 0.0, 860.0)
+    rows = [("t", "s0", None, O.ROOT, "CHAIN", at, at, "q", 900.0)] + [("t", f"s{i}", f"s{i - 1}", "step", "CHAIN", at, at, None, 1.0) for i in range(1, 4)]
+    deep = lambda parent: spark.createDataFrame([*rows, ("t", "deep", parent, "rerank.cross_encoder", "CHAIN", at, at, None, 40.0)], SPANS)
+    assert O.breakdown(deep("s1"), 1).first()["rerank"] == 40.0
+    with pytest.raises(ValueError):
+        O.breakdown(deep("s3"), 1)
 
 
 def test_breakdown_counts_outermost_stages(spark):
