@@ -15,9 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ascii_lower, cut
+from ledgerloom.llm.common import BROADCAST_ROWS, ascii_lower, cut
 
 DAMPING, ROUNDS, CUT_EACH = 0.85, 8, 4
+#: Edges in a partition, where the graph is small enough that a ranking is broadcast to its edges.
+PART_EDGES = 200_000
 #: Rankings converge until what further rounds can change is below this share of all mass; trust and distrust that
 #: differ by less than this share of the larger are alike.
 TOLERANCE, ALIKE = 1e-3, 1e-9
@@ -90,12 +92,18 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = D
     start = cut(scaled.select(*at, mass.alias("score")))
     out = edges.groupBy(*by, "src").agg(F.sum("w").alias("out"))
     share = cut(edges.join(out, [*by, "src"]).select(*by, F.col("src").alias("host"), "dst", (F.col("w") / F.col("out")).alias("p")))
+    # A ranking has a row for each host at most: counted, and broadcast to the edges if they are few, else joined by shuffle.
+    hosts = share.select(*by, F.col("dst").alias("host")).unionByName(start.select(*at)).distinct().count()
+    few = hosts <= BROADCAST_ROWS
+    parts = max(1, -(-share.count() // PART_EDGES))
+    packed = (lambda df: df.coalesce(parts)) if few else lambda df: df
+    share, start = packed(share), packed(start)
     rank = start
     for k in range(rounds if tolerance is None else rounds_for(tolerance, damping)):
-        flow = rank.join(share, at).select(*by, F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
+        flow = share.join(F.broadcast(rank) if few else rank, at).select(*by, F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
         rank = flow.unionByName(start.select(*at, (F.col("score") * (1 - damping)).alias("score"))).groupBy(*at).agg(F.sum("score").alias("score"))
         if (k + 1) % CUT_EACH == 0:
-            rank = cut(rank)
+            rank = cut(packed(rank))
     return rank
 
 
