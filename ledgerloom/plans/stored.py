@@ -10,7 +10,7 @@ from ledgerloom.operators import retrieval as K
 from ledgerloom.operators import runners
 from ledgerloom.operators.bm25index import Bm25Index
 from ledgerloom.operators.vectorindex import VectorIndex, recall
-from ledgerloom.plans.documents import _COS, _SCORES, _TOK, _top_sql
+from ledgerloom.plans.documents import _COS, _TOK
 from ledgerloom.plans.registry import Registry, shared, table
 
 registry = Registry()
@@ -31,6 +31,8 @@ def _stems(name: str, source: str, keys: str) -> str:
 _INDEX = rf"""p AS (SELECT doc_id, term, count(*) AS tf FROM d_t GROUP BY ALL), l AS (SELECT doc_id, sum(tf)::BIGINT AS length FROM p GROUP BY 1),
 c AS (SELECT count(*) AS n, avg(length) AS avg_len FROM l), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1)"""
 
+_INDEX_SCORES = "s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_len))) AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc_id), c GROUP BY ALL)"
+
 
 def _index(spark: SparkSession, sf: str) -> Bm25Index:
     index = Bm25Index(spark, f"{shared(spark)}/bm25")
@@ -51,7 +53,7 @@ def bm25_index_build(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(rf"""WITH {_stems("d", "documents", "doc_id")}, {_INDEX}, {_stems("q", "benchmark", "item_id")}, q AS (SELECT DISTINCT item_id, term FROM q_t),
-s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_len))) AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc_id), c GROUP BY ALL)
+{_INDEX_SCORES}
 SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def bm25_index_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The best documents of each benchmark passage, from the stored index."""
@@ -151,11 +153,13 @@ def embedding_cache(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "truncated", F.when(~F.col("truncated"), F.get("v", F.lit(0))).alias("chars"), F.lit(second).alias("second_run"), F.lit(third).alias("third_run"))
 
 
-@query(rf"""WITH {_SCORES}, b AS ({_top_sql(20)}), x AS (SELECT item_id, doc_id, list_distinct(regexp_extract_all(lower(q.text), '{_TOK}')) AS qt, regexp_extract_all(lower(d.text), '{_TOK}') AS dt
-FROM b JOIN benchmark q USING (item_id) JOIN documents d USING (doc_id)), y AS (SELECT item_id, doc_id, len(list_intersect(qt, dt)) / len(qt) AS score FROM x WHERE len(qt) > 0)
+@query(rf"""WITH {_stems("d", "documents", "doc_id")}, {_INDEX}, {_stems("q", "benchmark", "item_id")}, q AS (SELECT DISTINCT item_id, term FROM q_t), {_INDEX_SCORES},
+b AS (SELECT item_id, doc_id FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) <= 20),
+x AS (SELECT item_id, doc_id, list_distinct(regexp_extract_all(lower(q.text), '{_TOK}')) AS qt, regexp_extract_all(lower(d.text), '{_TOK}') AS dt FROM b JOIN benchmark q USING (item_id) JOIN documents d USING (doc_id)),
+y AS (SELECT item_id, doc_id, len(list_intersect(qt, dt)) / len(qt) AS score FROM x WHERE len(qt) > 0)
 SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM y QUALIFY rank <= 5""")
 def rerank_batched(spark: SparkSession, sf: str) -> DataFrame:
     """The best documents of each passage, scored as pairs in batches by a model that each task makes once."""
     docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    pool = K.bm25_top(docs, asked, 20)
+    pool = _index(spark, sf).search(asked, 20, "item_id").withColumnRenamed("doc", "doc_id")
     return runners.rerank_batched(pool, asked, docs, "item_id", "doc_id", 5, runners.lexical_pairs).withColumn("score", F.round("score", 6))
