@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import tables
-from ledgerloom.plans.filings import _BASE, _MONEY, _ROWS, _figures, _id, _money, _statement
+from ledgerloom.plans.filings import _BASE, _PLACED, _ROWS, _figures, _id, _money, _statement
 from ledgerloom.plans.registry import Registry, table
 
 registry = Registry()
@@ -26,9 +26,7 @@ def _sql(spark: SparkSession, text: str, rows: DataFrame) -> DataFrame:
         spark.catalog.dropTempView(name)
 
 
-@query(f"""WITH {_BASE}, {_ROWS}, r AS (SELECT k, CASE WHEN i < 2 THEN i + 2 ELSE i + 3 END AS "row", label, i, v, p FROM l)
-SELECT k, 'cell' AS kind, "row", 1 AS col, label, v::DOUBLE AS value, '2025' AS "column" FROM r UNION ALL SELECT k, 'cell', "row", 2, label, p, '2024' FROM r
-UNION ALL SELECT k, 'cell', 0, 1, '(In millions)', 31, '' FROM v UNION ALL SELECT k, 'cell', 1, 1, '', 2025, '' FROM v UNION ALL SELECT k, 'cell', 1, 2, '', 2024, '' FROM v
+@query(f"""WITH {_BASE}, {_ROWS}, {_PLACED} SELECT k, 'cell' AS kind, "row", col, label, val::DOUBLE AS value, "column" FROM m
 UNION ALL SELECT k, 'header', NULL, NULL, 'company', NULL, NULL FROM v UNION ALL SELECT k, 'prose', NULL, NULL, NULL, v1, NULL FROM v""")
 def lateral_passages(spark: SparkSession, sf: str) -> DataFrame:
     """Header lines, cells with their column headers, and numbers of text of each passage."""
