@@ -84,6 +84,23 @@ def test_bootstrap_bounds(spark):
     assert out["low"] < out["diff"] < out["high"] and out["significant"]
 
 
+def test_draws_are_made_in_tasks(spark):
+    """No list of places stands in the plan: 100,000 rows would be a literal of as many numbers."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(100_000).select("id", F.lit(0.0).alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    out = E.paired_bootstrap(rows, "id", "a", "b", n=2)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert out.first()["diff"] == pytest.approx(1.0, abs=1e-4)
+
+
+@pytest.mark.parametrize("most", [7, 1000])
+def test_numbers_by_ranges(spark, most):
+    keys = [f"k{i * 37 % 101:03}" for i in range(101)] + [None]
+    got = {r["k"]: r["i"] for r in E.numbered(spark.createDataFrame([(k,) for k in keys], "k string").repartition(5), "k", len(keys), most).collect()}
+    assert got == {k: i for i, k in enumerate([*sorted(keys[:-1]), None])}
+
+
 def test_upsert_and_as_of(spark):
     log = spark.createDataFrame([("v1", None, 1.0), ("v2", "d", 2.0)], "version string, dataset string, x double")
     new = spark.createDataFrame([("v1", None, 3.0, 7)], "version string, dataset string, x double, extra int")
