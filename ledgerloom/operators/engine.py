@@ -79,7 +79,7 @@ class Engine:
 
     def dense(self, questions: DataFrame, k: int, where: Column | None = None, vector: Column | None = None) -> DataFrame:
         q = questions.select("qid", (self.models.embed(F.col("question")) if vector is None else vector).alias("q"))
-        return K.top_k(K.dense_scores(q, self._filtered("vectors", where), "qid", "node_id"), k, "qid", "node_id")
+        return K.nearest(q, self._filtered("vectors", where), k, "qid", "node_id")
 
     def hyde_dense(self, questions: DataFrame, k: int, where: Column | None = None) -> DataFrame:
         """Dense by the mean of the question's vector and that of a passage that might answer it."""

@@ -120,3 +120,31 @@ def test_best_by_document_is_the_best_of_all(spark, block):
     rows = lambda df: sorted((r["item_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
     assert rows(K.bm25_top(docs, queries, 7, block=block)) == rows(want) and want.count() == 21
     assert K.bm25_top(docs.limit(0), queries, 7).count() == 0
+
+
+@pytest.mark.parametrize(("by", "block"), [("cosine", 2000), ("distance", 2), ("distance", 2000)])
+def test_nearest_is_the_best_of_all_pairs(spark, by, block):
+    """Copies, ties, far-off and null vectors; no plan holds a row for each pair."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * (1e6 if i % 50 == 7 else 1)]) for i in range(1, 2500)]
+    rows = [(i, rows[i % 40][1] if i % 3 == 0 else v) for i, v in rows] + [(9001, None), (9002, None)]
+    vectors = spark.createDataFrame(rows, "doc bigint, v array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, v) for i, v in rows if i % 500 == 3 or i == 9001] + [(-1, rows[0][1])], "qid bigint, q array<double>")
+    pairs = {"cosine": K.dense_scores, "distance": K.distance_scores}[by](asked, vectors, "qid", "doc")
+    got = lambda df: sorted((r["qid"], r["rank"], r["doc"], None if r["score"] is None else round(r["score"], 8)) for r in df.collect())
+    out = K.nearest(asked, vectors, 30, "qid", "doc", by, block=block)
+    assert got(out) == got(K.top_k(pairs, 30, "qid", "doc"))
+    assert got(K.nearest(asked, vectors.where("doc IS NULL OR doc > 2490"), 30, "qid", "doc", by)) == got(K.top_k(pairs.where("doc > 2490"), 30, "qid", "doc"))
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gold_by_class_is_that_of_pairs(spark):
+    docs = spark.createDataFrame([(i, i % 4 if i % 7 else None, i % 2) for i in range(40)] + [(50, 9, 0)], "doc int, kind int, fact int")
+    asked = docs.where("doc % 5 = 0").select(docs.doc.alias("qid"), "kind")
+    run = asked.join(docs.select("doc"), (docs.doc * 7 + asked.qid) % 3 == 0).selectExpr("qid", "doc", "CAST(row_number() OVER (PARTITION BY qid ORDER BY doc) AS BIGINT) AS rank").where("rank <= 6")
+    gold = docs.join(asked, "kind").where("qid <> doc").select("qid", "fact", "doc")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(E.class_metrics(run, asked, docs, "qid", "doc", "kind", "fact").na.fill(-1)) == rows(E.ranking_metrics(run, gold, "qid", "doc").na.fill(-1))
+    assert rows(E.class_pool_recall(run, asked, docs, "qid", "doc", "kind", "fact")) == rows(E.pool_recall(run, gold, "qid", "doc"))
