@@ -113,6 +113,16 @@ class VectorIndex:
         schema = f"{query} {queries.schema[query].dataType.simpleString()}, {doc} {self.doc_type}, score double"
         return top_k(reduce(DataFrame.unionByName, out) if out else self.spark.createDataFrame([], schema), k, query, doc)
 
+    def probes_for(self, queries: DataFrame, exact: DataFrame, k: int, query: str, doc: str, target: float = 0.9, least: int = 16) -> int:
+        """Probes that reach the recall against exact(query, doc): doubled from the least until they do, all lists at most."""
+        lists, probes = self.spark.read.parquet(f"{self.path}/lists").count(), least
+        while probes < lists:
+            reached = recall(self.search(queries, k, query, doc, probes=probes), exact, query, doc).first()["recall"]
+            if reached is None or reached >= target:
+                break
+            probes *= 2
+        return min(probes, max(1, lists))
+
     def _probed(self, some: pa.Table, table: pa.Table, k: int, query: str, doc: str, probes: int, exact: bool, where: Column | None) -> list[DataFrame]:
         """Scores of one block of queries: those of the first probes, and those of further lists if the search is exact."""
         if not some.num_rows or not table.num_rows:

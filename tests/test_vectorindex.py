@@ -78,3 +78,16 @@ def test_empty(spark, tmp_path):
     index = X.VectorIndex(spark, str(tmp_path))
     index.build(spark.createDataFrame([(1, None)], "vec_id bigint, embedding array<double>"), "vec_id", "embedding")
     assert index.search(asked(spark), 3, "qid", "vec_id", exact=True).count() == 0
+
+
+def test_probes_are_as_many_as_the_recall_needs(spark, tmp_path):
+    """Vectors without clusters: sixteen of their lists hold too few of the nearest."""
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(RNG.normal(size=(3000, 24)))]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").cache()
+    index = X.VectorIndex(spark, str(tmp_path / "ivf"))
+    index.build(table, "vec_id", "embedding", lists=80)
+    asked = table.where("vec_id % 60 = 0").selectExpr("vec_id AS qid", "embedding AS q")
+    exact = index.search(asked, 10, "qid", "vec_id", exact=True).select("qid", "vec_id").cache()
+    reached = lambda probes: X.recall(index.search(asked, 10, "qid", "vec_id", probes=probes), exact, "qid", "vec_id").first()["recall"]
+    probes = index.probes_for(asked, exact, 10, "qid", "vec_id")
+    assert reached(16) < 0.9 <= reached(probes) and 16 < probes <= 80
