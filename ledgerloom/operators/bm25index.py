@@ -214,11 +214,9 @@ class Bm25Index:
 
     def frequencies(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, df) of the asked terms over the live documents: block sizes, less the postings of replaced documents."""
-        found = self.blocks(terms)
-        dead = self.replaced().groupBy("segment", "shard").agg(F.collect_list("ord").alias("dead"))
-        if not dead.isEmpty():
-            held = found.join(_bounded(dead), ["segment", "shard"], "left")
-            found = held.select("term", "n", "ords", "dead").mapInArrow(_live_sizes, "term string, n bigint")
+        found, dead = self.blocks(terms).select("segment", "shard", "term", "ords", "n"), self.replaced().select("segment", "shard", "ord")
+        if not dead.isEmpty():  # a shard's blocks meet its dead places once, not each with a copy of them
+            found = found.groupBy("segment", "shard").cogroup(dead.groupBy("segment", "shard")).applyInArrow(_live_sizes, "term string, n bigint")
         return found.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
 
     # ---------------------------------------------------------------- writing
@@ -320,11 +318,16 @@ def _on(ords: np.ndarray, dead: list | None) -> np.ndarray:
     return ~np.isin(ords, dead) if dead else np.ones(len(ords), bool)
 
 
-def _live_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, n, ords, dead) to (term, n) of what isn't dead."""
-    for b in batches:
-        sizes = [n if not d else int(_on(np.frombuffer(o, _ORD), d).sum()) for n, o, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["term", "n"])
+def _live_sizes(blocks: pa.Table, dead: pa.Table) -> pa.Table:
+    """(term, n) of what isn't dead in the blocks of a shard."""
+    if not blocks.num_rows:
+        return pa.table({"term": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+    live = np.ones(1 << 16, bool)
+    live[dead.column("ord").to_numpy()] = False
+    upto = np.concatenate([[0], np.cumsum(live[unpacked(blocks.column("ords"), _ORD)])])
+    sizes = blocks.column("n").to_numpy().astype(np.int64)
+    ends = np.cumsum(sizes)
+    return pa.table({"term": blocks.column("term").combine_chunks(), "n": pa.array(upto[ends] - upto[ends - sizes], pa.int64())})
 
 
 def _without_dead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

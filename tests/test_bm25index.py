@@ -152,3 +152,18 @@ def test_blocks_are_passed_over():
     best = shard.best({"rare": 9.0, "common": 0.1}, 10)
     assert shard.skipped > 100 and [d for d, _ in best] == sorted(rare[-10:], key=lambda d: -np.searchsorted(rare, d))
     assert best[0][1] == pytest.approx(9.0 * 40 * 2.2 / 41.2 + 0.1)
+
+
+def test_dead_places_are_not_copied_to_blocks(spark, tmp_path):
+    """Half of a shard's documents replaced: frequencies are those of the live ones, and no block carries the dead places."""
+    from ledgerloom.operators.bm25index import Bm25Index
+
+    index = Bm25Index(spark, str(tmp_path / "dead"))
+    rows = [(f"f{i % 2}", i, f"common word{i % 5} own{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "source string, doc_id bigint, text string")
+    index.upsert(docs, filing="source", doc="doc_id")
+    index.upsert(docs.where("source = 'f1' AND doc_id < 101"), docs.where("source = 'f1'").select("source"), filing="source", doc="doc_id")
+    found = index.frequencies()
+    got = {r["term"]: r["df"] for r in found.collect()}
+    assert got["common"] == 250 and len([t for t in got if t.startswith("own")]) == 250
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
