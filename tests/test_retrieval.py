@@ -112,6 +112,13 @@ def test_upsert_and_as_of(spark):
     assert got == {("k", 1): None, ("k", 5): "b", ("z", 5): None}
 
 
+def test_postings_are_counted_within_their_row(spark):
+    docs = spark.createDataFrame([(1, "b a b, B"), (2, ""), (3, None), (4, "é 7 é" + " x" * 300)], "doc_id bigint, text string").selectExpr("*", "doc_id % 2 AS odd")
+    posts = K.postings(docs, keep=("odd",))
+    assert sorted(map(tuple, posts.collect())) == [(1, 1, "a", 1, 4), (1, 1, "b", 3, 4), (4, 0, "7", 1, 303), (4, 0, "x", 300, 303), (4, 0, "é", 2, 303)]
+    assert "Exchange" not in posts._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("block", [2, 2000])
 def test_best_by_document_is_the_best_of_all(spark, block):
     docs = spark.createDataFrame([(i, f"w{i % 3} common w{i % 7} " * (1 + i % 4) + "filler " * (i % 5)) for i in range(120)] + [(200, None), (201, "")], "doc_id bigint, text string").repartition(5)
