@@ -129,6 +129,17 @@ def test_best_by_document_is_the_best_of_all(spark, block):
     assert K.bm25_top(docs.limit(0), queries, 7).count() == 0
 
 
+def test_no_posting_is_shuffled_for_the_best(spark):
+    """Texts are moved for rows of one id only, which count as one document."""
+    docs = spark.createDataFrame([(i, f"w{i % 3} common w{i % 7} " * (1 + i % 4)) for i in range(60)], "doc_id bigint, text string").repartition(3)
+    queries = spark.createDataFrame([(1, "common w1"), (2, "w2 w5")], "item_id bigint, text string")
+    rows = lambda df: sorted((r["item_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    spread = K.bm25_top(docs, queries, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in spread and "Aggregate" not in spread and "MapInArrow" in spread
+    twice = docs.unionByName(docs.where("doc_id % 5 = 1"))
+    assert rows(K.bm25_top(twice, queries, 5)) == rows(K.top_k(K.bm25_scores(twice, queries), 5, "item_id", "doc_id"))
+
+
 @pytest.mark.parametrize(("by", "block"), [("cosine", 2000), ("distance", 2), ("distance", 2000)])
 def test_nearest_is_the_best_of_all_pairs(spark, by, block):
     """Copies, ties, far-off and null vectors; no plan holds a row for each pair."""
