@@ -140,6 +140,15 @@ def test_no_posting_is_shuffled_for_the_best(spark):
     assert rows(K.bm25_top(twice, queries, 5)) == rows(K.top_k(K.bm25_scores(twice, queries), 5, "item_id", "doc_id"))
 
 
+def test_rerank_moves_no_text_that_its_pool_lacks(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 3} common w{i}") for i in range(60)], "doc_id bigint, text string").repartition(3)
+    queries = spark.createDataFrame([(1, "common w1 w7"), (2, "w2 w5")], "item_id bigint, text string")
+    out = K.rerank(spark.createDataFrame([(1, 7), (1, 3), (2, 5), (2, 4)], "item_id bigint, doc_id bigint"), queries, docs, "item_id", "doc_id", 2)
+    assert sorted((r["item_id"], r["rank"], r["doc_id"]) for r in out.collect()) == [(1, 1, 7), (1, 2, 3), (2, 1, 5), (2, 2, 4)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("strategy=broadcast") > 0
+
+
 @pytest.mark.parametrize(("by", "block"), [("cosine", 2000), ("distance", 2), ("distance", 2000)])
 def test_nearest_is_the_best_of_all_pairs(spark, by, block):
     """Copies, ties, far-off and null vectors; no plan holds a row for each pair."""
