@@ -12,7 +12,9 @@ reader sees, and runs of one upsert give one segment.
 
 from __future__ import annotations
 
+import itertools
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,8 +47,8 @@ def kept_tokens(text: Column) -> Column:
     return F.filter(T.tokens(text), lambda t: ~t.isin(*STOP_WORDS) & (F.length(t) <= MAX_TOKEN))
 
 
-def _counts(column: pa.Array) -> list[Counter]:
-    return [Counter(map(stem, (t or "").split())) for t in column.to_pylist()]
+def _counts(column: pa.Array) -> Iterator[Counter]:
+    return (Counter(map(stem, (t or "").split())) for t in column.to_pylist())
 
 
 def terms_of(questions: DataFrame, query: str, text: str) -> DataFrame:
@@ -77,6 +79,19 @@ def unpacked(column: pa.ChunkedArray | pa.Array, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).astype(np.int64)
 
 
+class Held:
+    """The postings of a shard's documents as flat numbers, eight bytes each: ids of terms and counts, and each document's terms and length."""
+
+    def __init__(self) -> None:
+        self.ids, self.tfs, self.sizes, self.lengths = array("i"), array("i"), [], []
+
+    def add(self, counts: Counter, names: dict[str, int]) -> None:
+        self.ids.extend([names.setdefault(t, len(names)) for t in counts])
+        self.tfs.extend(counts.values())
+        self.sizes.append(len(counts))
+        self.lengths.append(counts.total())
+
+
 _COLUMNS = "shard bigint, filings array<{filing}>, docs array<{doc}>, lengths array<int>, term string, ords binary, tfs binary, n int, most int, least int"
 
 
@@ -87,20 +102,18 @@ def _inverted(rows: DataFrame, filing_type: str, doc_type: str, shard_docs: int)
     size = BLOCK
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
-    def shard(number: int, filings: list, docs: list, own: list[Counter]) -> Iterator[pa.RecordBatch]:
-        lengths = np.array([sum(c.values()) for c in own], np.int64)
-        first = {"shard": [number], "filings": [filings], "docs": [docs], "lengths": [lengths.tolist()]}
+    def shard(number: int, filings: list, docs: list, names: dict[str, int], own: Held) -> Iterator[pa.RecordBatch]:
+        lengths = np.array(own.lengths, np.int32)
+        first = {"shard": [number], "filings": [filings], "docs": [docs], "lengths": [own.lengths]}
         yield pa.RecordBatch.from_arrays([pa.array(first.get(f.name, [None]), f.type) for f in fields], schema=fields)
-        names: dict[str, int] = {}
-        ids = np.array([names.setdefault(t, len(names)) for c in own for t in c], np.int64)
-        if not len(ids):
+        if not len(own.ids):
             return
-        ords, tfs = np.repeat(np.arange(len(own)), [len(c) for c in own]), np.array([n for c in own for n in c.values()], np.int64)
-        order = np.argsort(ids, kind="stable")
-        ids, ords, tfs = ids[order], ords[order], tfs[order]
+        ids = np.frombuffer(own.ids, np.int32)
+        order = np.argsort(ids, kind="stable").astype(np.int32)
+        ids, ords, tfs = ids[order], np.repeat(np.arange(len(docs), dtype=_ORD), own.sizes)[order], np.frombuffer(own.tfs, np.int32)[order]
+        del order
         runs = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        place = np.arange(len(ids)) - np.repeat(runs, np.diff(np.r_[runs, len(ids)]))
-        starts = np.flatnonzero(place % size == 0)
+        starts = np.concatenate([np.arange(x, y, size) for x, y in itertools.pairwise(np.r_[runs, len(ids)].tolist())])
         n = len(starts)
         blocks = {
             "shard": pa.array(np.full(n, number)), "term": pa.array(list(names)).take(pa.array(ids[starts])), "ords": _packed(ords, _ORD, starts), "tfs": _packed(tfs, _TF, starts),
@@ -109,17 +122,16 @@ def _inverted(rows: DataFrame, filing_type: str, doc_type: str, shard_docs: int)
         yield pa.RecordBatch.from_arrays([blocks.get(f.name, pa.nulls(n, f.type)) for f in fields], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, filings, docs, own, held = None, [], [], [], 0
+        number, filings, docs, names, own = None, [], [], {}, Held()
         for b in (x.slice(i, BATCH_ROWS) for x in batches for i in range(0, x.num_rows, BATCH_ROWS)):
             number = b.column(3)[0].as_py() << 32 if number is None else number
             for f, d, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _counts(b.column(2)), strict=True):
-                filings.append(f), docs.append(d), own.append(c)
-                held += len(c)
-                if len(docs) == shard_docs or held >= SHARD_TOKENS:
-                    yield from shard(number, filings, docs, own)
-                    number, filings, docs, own, held = number + 1, [], [], [], 0
+                filings.append(f), docs.append(d), own.add(c, names)
+                if len(docs) == shard_docs or len(own.ids) >= SHARD_TOKENS:
+                    yield from shard(number, filings, docs, names, own)
+                    number, filings, docs, names, own = number + 1, [], [], {}, Held()
         if docs:
-            yield from shard(number, filings, docs, own)
+            yield from shard(number, filings, docs, names, own)
 
     return rows.mapInArrow(run, schema)
 

@@ -167,3 +167,20 @@ def test_dead_places_are_not_copied_to_blocks(spark, tmp_path):
     got = {r["term"]: r["df"] for r in found.collect()}
     assert got["common"] == 250 and len([t for t in got if t.startswith("own")]) == 250
     assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_shard_holds_numbers_not_words(spark, tmp_path):
+    """A posting that waits for its shard takes eight bytes, whatever the number of documents."""
+    import tracemalloc
+    from collections import Counter
+
+    from ledgerloom.operators.bm25index import Held
+
+    counts, names, own = [Counter({f"w{(i * 7 + j) % 900}": 1 + j % 3 for j in range(300)}) for i in range(1, 50)], {}, Held()
+    tracemalloc.start()
+    for _ in range(20):
+        for c in counts:
+            own.add(c, names)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(own.ids) == len(own.tfs) == 20 * 49 * 300 and held < 12 * len(own.ids) and own.lengths[0] == counts[0].total()
