@@ -37,6 +37,8 @@ from ledgerloom.operators.retrieval import BLOCK_ROWS, K1, B, idf, top_k
 BUCKETS, SHARD_DOCS, SHARD_TOKENS, BLOCK = 64, 10_000, 4_000_000, 128
 #: Rows that a worker tokenises at once.
 BATCH_ROWS = 256
+#: Blocks that are unpacked at once.
+BLOCKS_AT_ONCE = 5_000
 #: Tables of replaced documents and of asked terms are broadcast up to so many rows, else joined by shuffle.
 BROADCAST_ROWS = 500_000
 _ORD, _TF = np.dtype("<u2"), np.dtype("<u4")
@@ -208,11 +210,15 @@ class Bm25Index:
         """(term, doc, tf) of live documents."""
 
         def run(hits: pa.Table, shard: pa.Table) -> pa.Table:
-            ords, live, docs, _ = _shard(shard)
-            at, tfs = unpacked(hits.column("ords"), _ORD), unpacked(hits.column("tfs"), _TF)
-            term = np.repeat(np.arange(hits.num_rows), hits.column("n").to_numpy())
-            on = live[at]
-            return pa.table({"term": hits.column("term").combine_chunks().take(pa.array(term[on])), "doc": docs.take(pa.array(at[on])), "tf": pa.array(tfs[on])})
+            _, live, docs, _ = _shard(shard)
+
+            def part(some: pa.Table) -> pa.Table:
+                at, tfs = unpacked(some.column("ords"), _ORD), unpacked(some.column("tfs"), _TF)
+                term = np.repeat(np.arange(some.num_rows), some.column("n").to_numpy())
+                on = live[at]
+                return pa.table({"term": some.column("term").combine_chunks().take(pa.array(term[on])), "doc": docs.take(pa.array(at[on])), "tf": pa.array(tfs[on])})
+
+            return pa.concat_tables([part(hits.slice(i, BLOCKS_AT_ONCE)) for i in range(0, max(1, hits.num_rows), BLOCKS_AT_ONCE)])
 
         rows = self.blocks(terms).select("segment", "shard", "term", "ords", "tfs", "n")
         return rows.groupBy("segment", "shard").cogroup(self._shards(self.replaced()).groupBy("segment", "shard")).applyInArrow(run, f"term string, doc {self.doc_type}, tf bigint")
