@@ -167,6 +167,31 @@ def test_nearest_is_the_best_of_all_pairs(spark, by, block):
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("by", ["cosine", "distance"])
+@pytest.mark.parametrize("scale", [1e-20, 1.0, 1e20])
+def test_single_precision_loses_no_near_vector(by, scale):
+    """Scores that single precision can't tell apart, beside far-off vectors, and squares that it can't hold."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(3, 16))
+    x = np.concatenate([base[rng.integers(0, 3, 3000)] + rng.normal(size=(3000, 16)) * 1e-5, rng.normal(size=(1000, 16)) * 1e3]) * scale
+    x = x[rng.permutation(len(x))]
+    q = x[:7]
+    search = K._Nearest(q, 20, by)
+    for at in range(0, len(x), 1000):
+        search.add(pa.array(np.arange(at, at + 1000)), x[at : at + 1000])
+    unit = lambda m: m / np.sqrt((m * m).sum(axis=1))[:, None]
+    scores = unit(q) @ unit(x).T if by == "cosine" else -np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2))
+    j, ids, got = K._k_best(search.best, 20)
+    for n in range(len(q)):
+        want = np.lexsort((np.arange(len(x)), -np.round(scores[n], 9)))[:20]
+        assert np.allclose(np.sort(got[j == n]), np.sort(scores[n][want]), rtol=1e-12, atol=1e-8)
+        if scale == 1.0:
+            assert len(set(ids.to_numpy()[j == n]) & set(want)) >= 19  # roundings of the last place aside
+
+
 def test_gold_by_class_is_that_of_pairs(spark):
     docs = spark.createDataFrame([(i, i % 4 if i % 7 else None, i % 2) for i in range(40)] + [(50, 9, 0)], "doc int, kind int, fact int")
     asked = docs.where("doc % 5 = 0").select(docs.doc.alias("qid"), "kind")
