@@ -192,6 +192,39 @@ def test_single_precision_loses_no_near_vector(by, scale):
             assert len(set(ids.to_numpy()[j == n]) & set(want)) >= 19  # roundings of the last place aside
 
 
+@pytest.mark.parametrize("name", ["rrf_fusion"])
+def test_both_lists_come_from_one_pass(spark, sf, name):
+    """Cosine and distance list: the vectors go to Python once, and no list is joined with the other."""
+    from ledgerloom.plans import REGISTRIES
+
+    query = next(r.queries[name] for r in REGISTRIES if name in r.queries)
+    df = query(spark, sf)
+    assert df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert ran.count("MapInArrow") == 1 and "FullOuter" not in ran
+
+
+def test_lists_by_several_measures_are_those_of_each(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7) + 1, float(i % 5), i / 9]) for i in range(60)] + [(90, None)], "doc int, v array<double>")
+    asked = vectors.where("doc % 20 = 0 OR doc = 90").selectExpr("doc AS qid", "v AS q")
+    rows = lambda df: sorted((r["qid"], r["rank"], r["doc"]) for r in df.collect())
+    out = K.nearest_lists(asked, vectors, 9, "qid", "doc", ("distance", "cosine"))
+    for n, by in enumerate(("distance", "cosine")):
+        assert rows(out.where(f"list_no = {n}")) == rows(K.nearest(asked, vectors, 9, "qid", "doc", by))
+
+
+def test_scaled_pairs_are_a_full_outer_join(spark):
+    """Rows of one id meet each other, those without an id none; a null score counts as 0."""
+    dense = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.1), (1, 2, 0.2), (1, None, 0.3), (2, 1, None), (2, 3, 4.0), (2, 4, 5.0)], "q int, doc int, score double")
+    sparse = spark.createDataFrame([(1, 2, 3.0), (1, 2, 4.0), (1, None, 2.0), (1, 7, 1.0), (2, 1, 7.0), (2, 3, None)], "q int, doc int, score double")
+    for name, x in (("_a", dense), ("_b", sparse)):
+        x.createOrReplaceTempView(f"scaled{name}")
+    part = "SELECT q, doc, coalesce(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END, 0) AS x FROM {} WINDOW w AS (PARTITION BY q)"
+    want = spark.sql(f"SELECT q, doc, coalesce(a.x, 0), coalesce(b.x, 0) FROM ({part.format('scaled_a')}) a FULL JOIN ({part.format('scaled_b')}) b USING (q, doc)")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert rows(K.scaled_pairs([dense, sparse], "q", "doc")) == rows(want)
+
+
 def test_gold_by_class_is_that_of_pairs(spark):
     docs = spark.createDataFrame([(i, i % 4 if i % 7 else None, i % 2) for i in range(40)] + [(50, 9, 0)], "doc int, kind int, fact int")
     asked = docs.where("doc % 5 = 0").select(docs.doc.alias("qid"), "kind")
