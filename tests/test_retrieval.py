@@ -192,7 +192,7 @@ def test_single_precision_loses_no_near_vector(by, scale):
             assert len(set(ids.to_numpy()[j == n]) & set(want)) >= 19  # roundings of the last place aside
 
 
-@pytest.mark.parametrize("name", ["rrf_fusion", "relative_fusion", "candidate_pool_union", "round_robin_interleave"])
+@pytest.mark.parametrize("name", ["rrf_fusion", "relative_fusion", "candidate_pool_union", "round_robin_interleave", "pool_recall"])
 def test_both_lists_come_from_one_pass(spark, sf, name):
     """Cosine and distance list: the vectors go to Python once, and no list is joined with the other."""
     from ledgerloom.plans import REGISTRIES
