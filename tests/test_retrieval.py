@@ -204,6 +204,16 @@ def test_both_lists_come_from_one_pass(spark, sf, name):
     assert ran.count("MapInArrow") == 1 and "FullOuter" not in ran
 
 
+def test_sweep_fuses_stored_lists(spark, sf):
+    """Six variants: none scores vectors again, nothing stays cached, and labels are counted once for all."""
+    from ledgerloom.plans.evaluation import fusion_sweep
+
+    df = fusion_sweep(spark, sf)
+    assert len(df.collect()) == 12
+    ran = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "MapInArrow" not in ran and "InMemoryTableScan" not in ran and ran.count("FileScan") <= 12
+
+
 def test_lists_by_several_measures_are_those_of_each(spark):
     vectors = spark.createDataFrame([(i, [float(i % 7) + 1, float(i % 5), i / 9]) for i in range(60)] + [(90, None)], "doc int, v array<double>")
     asked = vectors.where("doc % 20 = 0 OR doc = 90").selectExpr("doc AS qid", "v AS q")
@@ -225,6 +235,17 @@ def test_scaled_pairs_are_a_full_outer_join(spark):
     assert rows(K.scaled_pairs([dense, sparse], "q", "doc")) == rows(want)
 
 
+def test_metrics_by_run_are_those_of_each_run(spark):
+    docs = spark.createDataFrame([(i, i % 4, i % 2) for i in range(40)], "doc int, kind int, fact int")
+    asked = docs.where("doc % 5 = 0").select(docs.doc.alias("qid"), "kind")
+    run = asked.join(docs.select("doc"), (docs.doc * 7 + asked.qid) % 3 == 0).selectExpr("qid", "doc", "CAST(row_number() OVER (PARTITION BY qid ORDER BY doc) AS BIGINT) AS rank").where("rank <= 6")
+    both = run.selectExpr("'a' AS run", "*").unionByName(run.where("qid > 10 AND rank % 2 = 1").selectExpr("'b' AS run", "*"))
+    rows = lambda df: sorted(map(tuple, df.na.fill(-1).collect()))
+    out = E.class_metrics(both, asked, docs, "qid", "doc", "kind", "fact", {"run": ["a", "b", "none"]})
+    for name in ("a", "b", "none"):
+        assert rows(out.where(f"run = '{name}'").drop("run")) == rows(E.class_metrics(both.where(f"run = '{name}'").drop("run"), asked, docs, "qid", "doc", "kind", "fact"))
+
+
 def test_gold_by_class_is_that_of_pairs(spark):
     docs = spark.createDataFrame([(i, i % 4 if i % 7 else None, i % 2) for i in range(40)] + [(50, 9, 0)], "doc int, kind int, fact int")
     asked = docs.where("doc % 5 = 0").select(docs.doc.alias("qid"), "kind")
