@@ -27,7 +27,7 @@ o AS (SELECT doc_id, i, lv, phrase, string_split(page, phrase) AS parts FROM p J
 q AS (SELECT doc_id, i, length(phrase) AS len, phrase, parts, unnest(range(1, len(parts))) AS j FROM o), z AS (SELECT doc_id, i, len, CAST(list_sum(list_transform(parts[1:j], lambda x: length(x))) AS BIGINT) + (j - 1) * len + 1 AS pos FROM q),
 h AS (SELECT z.doc_id, z.i, min(pos) AS pos, CASE WHEN x.node = y.node THEN x.node ELSE 1 END AS node, CASE WHEN x.node = y.node THEN x.code WHEN length(page) < 150 THEN '1' END AS code FROM z
 JOIN s x ON x.doc_id = z.doc_id AND z.pos BETWEEN x.start AND x.start + length(x.t) JOIN s y ON y.doc_id = z.doc_id AND z.pos + z.len - 1 BETWEEN y.start AND y.start + length(y.t) - 1 JOIN f ON f.doc_id = z.doc_id GROUP BY ALL),
-g AS (SELECT *, coalesce(code = CAST(1 + i % 3 AS VARCHAR), false) AS fits, row_number() OVER (PARTITION BY doc_id, i ORDER BY pos, node) AS r FROM h QUALIFY r <= 20),
+g AS (SELECT *, coalesce(code = CAST(1 + i % 3 AS VARCHAR), false) AS fits, row_number() OVER (PARTITION BY doc_id, i ORDER BY pos, node) AS r FROM h),
 v AS (SELECT * FROM g QUALIFY fits = bool_or(fits) OVER (PARTITION BY doc_id, i))
 SELECT doc_id, CAST(i AS INTEGER) AS line, CAST(node AS INTEGER) AS node, count(*) OVER (PARTITION BY doc_id, i) = 1 AS is_unique FROM v QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY r) = 1""")
 def located_prose(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,4 +46,4 @@ def located_prose(spark: SparkSession, sf: str) -> DataFrame:
     before = F.transform(F.slice("w", first, F.col("k") - first), changed)
     after = F.transform(F.slice("w", F.col("k") + 1, F.lit(8)), lambda x: F.when(F.col("line") % 4 == 2, "qqq").otherwise(x))
     asked = rows.select(F.struct("doc_id", "line").alias("id"), "doc_id", F.get("w", F.col("k") - 1).alias("token"), F.array_join(before, " ").alias("before"), F.array_join(after, " ").alias("after"), (1 + F.col("line") % 3).cast("string").alias("item"))
-    return prose.locate_prose(asked, spark.read.parquet(at), "doc_id").select("id.doc_id", "id.line", "node", "is_unique")
+    return prose.locate_prose(asked, spark.read.parquet(at), "doc_id", most=None).select("id.doc_id", "id.line", "node", "is_unique")

@@ -80,6 +80,42 @@ def test_at_most_twenty_elements_are_told_apart(spark):
     assert X.index(docs).where(F.col("item") == "2").count() == 5
 
 
+def test_all_elements_are_told_apart(spark):
+    """Without a bound the asked Item is found however many elements of others come before it."""
+    body = "".join(f"<p>Item {1 + (i >= 25)}. Part</p><p>revenue in the year was 500 million in all</p>" for i in range(30))
+    page = f"<html><body>{body}</body></html>"
+    asked = [("late", "F", "500", "in the year was", "million in all", "2"), ("first", "F", "500", "in the year was", "million in all", "1"), ("none", "F", "500", "in the year was", "million in all", "3")]
+    places = X.index(spark.createDataFrame([("F", page)], "filing_id string, content string"))
+    got = X.locate_prose(spark.createDataFrame(asked, "id string, filing_id string, token string, before string, after string, item string"), places, most=None)
+    want = {i: L.locate_text(H.parse(page), *q, most=1000) for i, _, *q in asked}
+    assert {r["id"]: (r["node"], r["is_unique"]) for r in got.collect()} == {i: (w["node"], w["unique"]) for i, w in want.items()}
+    assert want["late"]["node"] == 53
+
+
+def test_query_has_no_bound(spark, tmp_path):
+    """Lines of Item 3 that come after more than twenty of the others'."""
+    import duckdb
+
+    from ledgerloom.plans import prose as P
+    from tests.oracle import check
+
+    lines = ["no such words" if 14 <= i <= 20 else "revenue in the year was 500 million in all" for i in range(42)]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    df = P.located_prose(spark, str(tmp_path))
+    assert {r["node"] for r in df.where("line % 3 = 2").collect()} == {3 + 35 + 35 // 7}
+    check(df, con, P.registry.sql["located_prose"])
+
+
+def test_like_questions_are_asked_once(spark):
+    """Each of them has its answer; an absent context or Item is like another absent one."""
+    places = X.index(spark.createDataFrame([(f, "<p>Item 1. Part</p><p>revenue in the year was 500 million in all</p>") for f in "FG"], "filing_id string, content string"))
+    asked = [(f"{f}{k}", f, "500", "in the year was", after, None) for f in "FG" for k in range(5) for after in [None if k else "million in all"]]
+    got = X.locate_prose(spark.createDataFrame(asked, "id string, filing_id string, token string, before string, after string, item string"), places, most=None)
+    assert sorted((r["id"], r["node"], r["is_unique"]) for r in got.collect()) == [(f"{f}{k}", 2, True) for f in "FG" for k in range(5)]
+
+
 def test_words_without_a_digit_cost_nothing():
     """Work for a word of the index is done for those with a digit alone, of any kind, and an element is read no further than a heading reaches."""
     import sys
