@@ -94,6 +94,48 @@ def test_draws_are_made_in_tasks(spark):
     assert out.first()["diff"] == pytest.approx(1.0, abs=1e-4)
 
 
+def test_bootstrap_makes_all_rounds(spark, sf):
+    """The query draws 10,000 times, as its SQL does, and so does the operator where nothing else is asked."""
+    import inspect
+    import re
+
+    from ledgerloom.plans import evaluation
+
+    assert inspect.signature(E.paired_bootstrap).parameters["n"].default == 10_000
+    assert re.search(r"range\((\d+)\) r", evaluation.registry.sql["paired_bootstrap"])[1] == "10000"
+    plan = evaluation.paired_bootstrap(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    work, rows = int(re.search(r"Range \(0, (\d+)", plan)[1]), spark.read.parquet(f"{sf}/labels.parquet").count()
+    assert work * E.DRAWS >= 10_000 * rows
+
+
+@pytest.mark.parametrize("held", [0, 10_000])
+@pytest.mark.parametrize("size,n", [(1, 3), (60, 120), (20_000, 7)])
+def test_bootstrap_against_plain_draws(spark, size, n, held):
+    """Held or joined, over several rows of work: the draws are those of hashlib, and a null difference counts in no mean."""
+    import hashlib
+
+    import numpy as np
+
+    d = [None if size > 1 and i % 7 == 3 else float(i * 37 % 11 - 4) for i in range(size)]
+    rows = spark.createDataFrame([(i, 0.0, x) for i, x in enumerate(d)], "id int, a double, b double").repartition(3)
+    hashed = lambda r, s: int(hashlib.md5(f"x:{r}:{s}".encode()).hexdigest()[:13], 16) % size
+    means = [np.mean(some) for r in range(n) if (some := [x for s in range(size) if (x := d[hashed(r, s)]) is not None])]
+    out = E.paired_bootstrap(rows, "id", "a", "b", n=n, seed="x", held=held).first()
+    assert (out["low"], out["high"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+
+
+@pytest.mark.parametrize("seed", ["0", "é" * 20, "x" * 44, "x" * 47, "y" * 60])
+def test_places_are_those_of_hashlib(seed):
+    """Rounds and slots of unlike lengths, and texts up to and beyond one block."""
+    import hashlib
+
+    from ledgerloom.functions import draws
+
+    rounds, slots = range(7, 13), range(95, 1205, 3)
+    got = {r: p for some, at in draws.places(seed, rounds, slots, 977) for r, p in zip(some, at.tolist(), strict=True)}
+    assert got == {r: [int(hashlib.md5(f"{seed}:{r}:{s}".encode()).hexdigest()[:13], 16) % 977 for s in slots] for r in rounds}
+
+
 @pytest.mark.parametrize("most", [7, 1000])
 def test_numbers_by_ranges(spark, most):
     keys = [f"k{i * 37 % 101:03}" for i in range(101)] + [None]
