@@ -256,6 +256,27 @@ def test_sweep_fuses_stored_lists(spark, sf):
     assert "MapInArrow" not in ran and "InMemoryTableScan" not in ran and ran.count("FileScan") <= 12
 
 
+def test_best_of_the_sweep_is_chosen_on_dev(spark, tmp_path):
+    """Labels by length, which the cosine doesn't see: the distance list is best on dev, and its test questions are reported."""
+    import math
+
+    import duckdb
+
+    from ledgerloom.plans import evaluation as P
+    from tests.oracle import check
+
+    rows = [(i, [(1 + i % 5) * math.cos(i * 0.7), (1 + i % 5) * math.sin(i * 0.7) + i / 1e4], (i + (i % 100 == 0 and i % 300 == 0)) % 5) for i in range(900)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    df = P.sweep_best(spark, str(tmp_path))
+    check(df, con, P.registry.sql["sweep_best"])
+    swept = P.fusion_sweep(spark, str(tmp_path)).where("chosen").collect()
+    (best,) = df.collect()
+    assert {r["split"]: (r["variant"], r["n"], r["mrr_10"]) for r in swept}["test"] == (best["variant"], best["n"], best["mrr"])
+    assert best["variant"] != "dense" and {r["split"]: r["mrr_10"] for r in swept}["dev"] == best["dev_mrr"]
+
+
 def test_lists_by_several_measures_are_those_of_each(spark):
     vectors = spark.createDataFrame([(i, [float(i % 7) + 1, float(i % 5), i / 9]) for i in range(60)] + [(90, None)], "doc int, v array<double>")
     asked = vectors.where("doc % 20 = 0 OR doc = 90").selectExpr("doc AS qid", "v AS q")
